@@ -3,7 +3,7 @@
 Two zstandard dictionaries are made, one from windows that set toxic texts apart, one from windows of ordinary text.
 A window is one word of at least ``LEAST`` letters, lower-cased and stripped of punctuation, between a constant header
 and trailer that both dictionaries hold, so that words of any length can match. Its length under each dictionary
-gives a difference and a residue; counts of windows beyond several thresholds are calibrated into a probability by
+gives a difference and a residue; counts of distinct windows beyond several thresholds are calibrated into a probability by
 boosted trees on labelled texts that the dictionaries have not seen. All windows of the whole text count.
 
 The labelled rows used are at most ``toxic`` and ``ordinary`` texts, those with the least hash of ``doc_id`` whose
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import WORD, arrow_map, crc_mod, table, texts_of
 from ._gbdt import BoostedTrees
 
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 7500
+TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 6000
 DICTIONARY_BYTES, LEVEL, LEAST = 8192, 9, 4
 EDGES = ".,;:!?#*$%&|<>\"'()[]"
 HEAD = bytes(range(128, 192))
@@ -41,7 +41,8 @@ _words = re.compile(WORD).findall
 
 
 def windows(text: str) -> list[str]:
-    return [w for x in _words(text.lower()) if len(w := x.strip(EDGES)) >= LEAST]
+    """The distinct windows of a text, sorted."""
+    return sorted({w for x in set(_words(text.lower())) if len(w := x.strip(EDGES)) >= LEAST})
 
 
 def _dictionary(words: list[str]) -> bytes:
@@ -67,7 +68,7 @@ def train_dictionaries(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple
     n, m = len(toxic) + 1, len(ordinary) + 1
     weight = {s: c * np.log((c / n) / ((b[s] + 0.5) / m)) for s, c in a.items() if c >= 3 and b[s] / m < 0.05 * c / n}
     best = {w: max((weight.get(w[:k], 0.0) for k in STEMS if len(w) >= k), default=0.0) for w in in_toxic}
-    apart = sorted((w for w, x in best.items() if x > 15), key=lambda w: (-best[w], w))
+    apart = sorted((w for w, x in best.items() if x > 25), key=lambda w: (-best[w], w))
     return _dictionary(apart), _dictionary(sorted(in_ordinary, key=lambda w: (-in_ordinary[w], w)))
 
 
@@ -125,15 +126,15 @@ def _distances(toxic: bytes, ordinary: bytes) -> Distances:
 
 
 def fit(rows: list[tuple[list[str], int]]) -> ToxicityModel:
-    """From (windows, label) rows: dictionaries from two thirds calibrate on the rest, then all rows make the final ones."""
+    """From (windows, label) rows: dictionaries from two thirds, calibration on the rest."""
     toxic, ordinary = ([(i, w) for i, (w, y) in enumerate(rows) if y == label] for label in (1, 0))
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", None)
-    first = lambda xs: [set(w) for i, w in xs if i % 3]
-    early = Distances(*train_dictionaries(first(toxic), first(ordinary)))
+    pair = train_dictionaries(*([set(w) for i, w in xs if i % 3] for xs in (toxic, ordinary)))
+    distances = Distances(*pair)
     held = [(w, y) for i, (w, y) in enumerate(rows) if i % 3 == 0]
-    trees = BoostedTrees(trees=40, depth=3).fit(np.array([early.features(w) for w, _ in held]), np.array([y for _, y in held]))
-    return ToxicityModel(*train_dictionaries([set(w) for _, w in toxic], [set(w) for _, w in ordinary]), trees)
+    trees = BoostedTrees(trees=40, depth=3).fit(np.array([distances.features(w) for w, _ in held]), np.array([y for _, y in held]))
+    return ToxicityModel(*pair, trees)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, ordinary: int = ORDINARY_SAMPLE) -> ToxicityModel:
@@ -143,11 +144,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE
     picked = F.broadcast(drawn[0].union(drawn[1]))
 
     def run(ids, labels_, texts):
-        return [ids, labels_, [windows(t) for t in texts_of(texts)]]
+        return [ids, labels_, [" ".join(windows(t)) for t in texts_of(texts)]]
 
     joined = docs.select("doc_id", "text").join(picked, "doc_id")
-    rows = arrow_map(joined, run, "doc_id long, toxic int, words array<string>", "doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic + ordinary).collect()
-    return fit([(r["words"], r["toxic"]) for r in rows])
+    rows = arrow_map(joined, run, "doc_id long, toxic int, words string", "doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic + ordinary).collect()
+    return fit([(r["words"].split(" ") if r["words"] else [], r["toxic"]) for r in rows])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
