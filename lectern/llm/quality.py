@@ -69,7 +69,7 @@ def learn(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float,
     A rule has two accuracies: how often it votes good on good documents and bad on bad ones. Prior counts keep both
     on the right side: good documents seldom get a bad vote, bad ones get one from about every third rule.
     """
-    prior = np.array([[[1.0, 45.0, 4.0]] * len(RULES), [[18.0, 27.0, 5.0]] * len(RULES)])[::-1]  # bad class first; votes bad, good, abstain
+    prior = np.array([[[0.2, 46.8, 3.0]] * len(RULES), [[14.0, 33.0, 3.0]] * len(RULES)])[::-1]  # bad class first; votes bad, good, abstain
     share, table_ = 0.8, prior / prior.sum(axis=2, keepdims=True)
     if not counts:
         return share, table_
@@ -86,7 +86,8 @@ def learn(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float,
 def posterior(v: np.ndarray, share: float, table_: np.ndarray) -> np.ndarray:
     """Probability of good for rows of votes."""
     rules = np.arange(len(RULES))
-    odds = np.log(share / (1 - share)) + (np.log(table_[1][rules, v]) - np.log(table_[0][rules, v])).sum(axis=1)
+    told = np.log(table_[1][rules, v]) - np.log(table_[0][rules, v])
+    odds = np.log(share / (1 - share)) + np.where(v == ABSTAIN, 0.0, told).sum(axis=1)  # who abstains says nothing
     return 1 / (1 + np.exp(-odds))
 
 
