@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from sys import intern
 
 import numpy as np
 import zstandard
@@ -35,7 +36,8 @@ TAIL = HEAD[:16]
 STEMS = (4, 5, 6, 7)
 #: (difference, residue): a window counts when at least the one and at most the other.
 THRESHOLDS = tuple((d, r) for d in (1, 2, 3, 4) for r in (3, 4, 5))
-KEPT_WINDOWS = 500_000
+#: Window lengths kept in a worker; beyond that the store starts anew. Workers outlive a task, so one model is kept.
+KEPT_WINDOWS = 100_000
 
 _words = re.compile(WORD).findall
 
@@ -57,8 +59,8 @@ def _dictionary(words: list[str]) -> bytes:
     return b"".join(out[1:][::-1]) + HEAD
 
 
-def train_dictionaries(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes, bytes]:
-    """Toxic windows are those with a stem seldom met in ordinary texts, by its log-likelihood; ordinary ones the most frequent."""
+def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
+    """From the distinct windows of each text. Toxic windows are those with a stem seldom met in ordinary texts, by its log-likelihood; ordinary ones the most frequent."""
     stems = lambda ws: {w[:k] for w in ws for k in STEMS if len(w) >= k}
     a, b, in_toxic, in_ordinary = Counter(), Counter(), Counter(), Counter()
     for ws in toxic:
@@ -82,23 +84,22 @@ class Distances:
         make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings).compress
         self.toxic, self.ordinary = make(toxic), make(ordinary)
         self.floor = len(self.toxic(HEAD + b" " + TAIL))
-        self.kept: dict[str, int] = {}
-        self.pairs: list[tuple[int, int]] = []
+        self.kept: dict[str, tuple[int, int]] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
 
     def of(self, words: list[str]) -> np.ndarray:
         """Rows (difference, residue)."""
         if len(self.kept) > KEPT_WINDOWS:
-            self.kept, self.pairs = {}, []
-        kept, pairs = self.kept, self.pairs
-        at = []
+            self.kept, self.pairs = {}, {}
+        kept, at = self.kept, []
         for w in words:
-            i = kept.get(w)
-            if i is None:
+            pair = kept.get(w)
+            if pair is None:
                 x = HEAD + f" {w} ".encode() + TAIL
                 t = len(self.toxic(x))
-                i = kept[w] = len(pairs)
-                pairs.append((len(self.ordinary(x)) - t, t - self.floor))
-            at.append(pairs[i])
+                pair = (len(self.ordinary(x)) - t, t - self.floor)
+                pair = kept[w] = self.pairs.setdefault(pair, pair)  # equal pairs share one object
+            at.append(pair)
         return np.array(at or [(0, 99)], np.int32)
 
     def features(self, words: list[str]) -> np.ndarray:
@@ -120,7 +121,7 @@ class ToxicityModel:
         return self.trees.score(np.array([distances.features(windows(t)) for t in texts])).tolist()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _distances(toxic: bytes, ordinary: bytes) -> Distances:
     return Distances(toxic, ordinary)
 
@@ -130,7 +131,7 @@ def fit(rows: list[tuple[list[str], int]]) -> ToxicityModel:
     toxic, ordinary = ([(i, w) for i, (w, y) in enumerate(rows) if y == label] for label in (1, 0))
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", None)
-    pair = train_dictionaries(*([set(w) for i, w in xs if i % 3] for xs in (toxic, ordinary)))
+    pair = train_dictionaries(*([w for i, w in xs if i % 3] for xs in (toxic, ordinary)))
     distances = Distances(*pair)
     held = [(w, y) for i, (w, y) in enumerate(rows) if i % 3 == 0]
     trees = BoostedTrees(trees=40, depth=3).fit(np.array([distances.features(w) for w, _ in held]), np.array([y for _, y in held]))
@@ -148,7 +149,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE
 
     joined = docs.select("doc_id", "text").join(picked, "doc_id")
     rows = arrow_map(joined, run, "doc_id long, toxic int, words string", "doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic + ordinary).collect()
-    return fit([(r["words"].split(" ") if r["words"] else [], r["toxic"]) for r in rows])
+    return fit([([intern(w) for w in r["words"].split(" ") if w], r["toxic"]) for r in rows])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
