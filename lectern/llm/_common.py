@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six characters that part words.
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most rows and bytes of one Arrow batch: what a worker holds at once must not grow with Spark's default of 10,000 rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -36,7 +38,9 @@ def crc_mod(key: Column, n: int) -> Column:
 def arrow_map(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
     """mapInArrow over the named columns: ``fn`` gets each batch's columns as Arrow arrays and returns a list of
     arrays or Python lists, one per column of ``schema`` (all of one length, which need not be the batch's)."""
-    ship(df.sparkSession)
+    spark = ship(df.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
