@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,28 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
 
 
+_models: dict[tuple, object] = {}
+
+
+def worker_model(key: tuple, make):
+    """``make()``, kept by this worker process under ``key`` until another model or another operator takes over."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = make()
+    return _models[key]
+
+
+def release_models(owner: str) -> None:
+    """Drop models that other operators than ``owner`` left in this worker, which outlives stages, and return their memory."""
+    if all(k[0] == owner for k in _models):
+        return
+    _models.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
     """mapInArrow over the named columns: ``fn`` gets each batch's columns as Arrow arrays and returns a list of
     arrays or Python lists, one per column of ``schema`` (all of one length, which need not be the batch's)."""
@@ -43,7 +68,10 @@ def arrow_map(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
 
+    owner = fn.__module__
+
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_models(owner)
         for batch in batches:
             out = fn(*batch.columns)
             arrays = [x.cast(k.type) if isinstance(x, pa.Array) else pa.array(x, type=k.type) for x, k in zip(out, kinds)]

@@ -14,13 +14,12 @@ import base64
 import hashlib
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import arrow_map, table, texts_of
+from ._common import arrow_map, table, texts_of, worker_model
 
 #: Pieces kept per worker with their ids; longer pieces are never kept.
 CACHED_PIECES, CACHED_BYTES = 400_000, 64
@@ -197,12 +196,15 @@ def in_runs(texts: list[str], chars: int = 2_000_000):
         yield run
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> BytePairCodec:
-    """One codec per worker process and vocabulary."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return BytePairCodec(ranks, pattern)
+    """The worker process's codec of a vocabulary."""
+
+    def make() -> BytePairCodec:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return BytePairCodec(ranks, pattern)
+
+    return worker_model((__name__, path, pattern), make)
 
 
 def ids_digest(ids) -> str:

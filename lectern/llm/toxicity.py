@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 from sys import intern
 
 import numpy as np
@@ -25,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, arrow_map, crc_mod, table, texts_of
+from ._common import WORD, arrow_map, crc_mod, table, texts_of, worker_model
 from ._gbdt import BoostedTrees
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 6000
@@ -121,9 +120,8 @@ class ToxicityModel:
         return self.trees.score(np.array([distances.features(windows(t)) for t in texts])).tolist()
 
 
-@lru_cache(maxsize=1)
 def _distances(toxic: bytes, ordinary: bytes) -> Distances:
-    return Distances(toxic, ordinary)
+    return worker_model((__name__, toxic, ordinary), lambda: Distances(toxic, ordinary))
 
 
 def fit(rows: list[tuple[list[str], int]]) -> ToxicityModel:
