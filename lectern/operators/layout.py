@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Height of the bands of a page in which words meet cells.
+BAND = 160
+
 
 def assemble_lines(words: DataFrame) -> DataFrame:
     """(page_id, text): words by (block, paragraph, line), left to right, a line each."""
@@ -15,12 +18,17 @@ def assemble_lines(words: DataFrame) -> DataFrame:
 
 
 def words_in_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """(word_id, cell_id): the one cell of its page that holds the word's centre; none if there are several."""
+    """(word_id, cell_id): the one cell of its page that holds the word's centre; none if there are several.
+
+    A word meets only the cells that reach into its horizontal band, so a long page does not pair all with all.
+    """
     x, y = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
-    w = words.select("page_id", "word_id", x.alias("x"), y.alias("y"))
-    c = cells.select("page_id", "cell_id", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1"))
-    hits = w.join(c, "page_id").filter("x >= x0 and x < x1 and y >= y0 and y < y1")
-    return hits.groupBy("word_id").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).filter("n = 1").select("word_id", "cell_id")
+    band = lambda c: F.floor(c / BAND)
+    w = words.select("page_id", "word_id", x.alias("x"), y.alias("y")).withColumn("band", band(F.col("y")))
+    c = cells.select("page_id", "cell_id", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1")).filter("x1 > x0 and y1 > y0")
+    c = c.withColumn("band", F.explode(F.sequence(band(F.col("y0")), band(F.col("y1")))))
+    hits = w.join(c, ["page_id", "band"]).filter("x >= x0 and x < x1 and y >= y0 and y < y1")
+    return hits.groupBy("page_id", "word_id").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).filter("n = 1").select("word_id", "cell_id")
 
 
 def weighted_confidence(words: DataFrame, low: float = 60.0) -> DataFrame:

@@ -439,6 +439,35 @@ def ocr_confidence(spark, read):
     return layout.weighted_confidence(_words(read))
 
 
+def _all_words(read):
+    """Every word of every document, keyed by page and place: no place reaches 2 ** 31, so no two words share a key."""
+    w = read("documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", r"\s+")).alias("i", "text")).filter("text <> ''")
+    return w.select("page_id", (F.col("page_id") * (1 << 31) + F.col("i")).alias("word_id"), "text", F.lit(0).alias("block"), F.lit(0).alias("paragraph"), F.floor(F.col("i") / 10).alias("line"), ((F.col("i") % 10) * 50).cast("int").alias("left"), (F.floor(F.col("i") / 10) * 20).alias("top"), F.lit(40).alias("width"), F.lit(16).alias("height"), (F.lit(40.0) + F.col("i") % 60).alias("confidence"))
+
+
+_ALL_WORDS = r"""v AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, string_split_regex(text, '\s+') AS w FROM documents)),
+  o AS (SELECT doc_id AS page_id, doc_id * 2147483648 + i AS word_id, t, i // 10 AS line, i % 10 * 50 AS l, i // 10 * 20 AS top, 40.0::DOUBLE + i % 60 AS conf FROM v WHERE t <> '')"""
+
+
+@query(f"WITH {_ALL_WORDS}, n AS (SELECT page_id, line, string_agg(t, ' ' ORDER BY l) AS s FROM o GROUP BY ALL) SELECT page_id, string_agg(s, chr(10) ORDER BY line) AS text FROM n GROUP BY page_id")
+def line_assembly_all(spark, read):
+    return layout.assemble_lines(_all_words(read))
+
+
+@query(f"WITH {_ALL_WORDS} SELECT word_id, ((top + 8) // 80 * 5 + (l + 20) // 100)::BIGINT AS cell_id FROM o")
+def words_in_cells_all(spark, read):
+    words = _all_words(read)
+    pages = words.groupBy("page_id").agg(F.floor(F.max(F.col("top") + F.col("height")) / 80).alias("last"))
+    cells = pages.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") * 5 + 4)).alias("k"))
+    cells = cells.select("page_id", F.col("k").alias("cell_id"), (F.col("k") % 5 * 100).alias("left"), (F.floor(F.col("k") / 5) * 80).alias("top"), (F.col("k") % 5 * 100 + 100).alias("right"), (F.floor(F.col("k") / 5) * 80 + 80).alias("bottom"))
+    return layout.words_in_cells(words, cells)
+
+
+@query(f"WITH {_ALL_WORDS} SELECT page_id, round(sum(conf * greatest(length(t), 1)) / sum(greatest(length(t), 1)), 6) AS confidence, round(avg(CASE WHEN conf < 60 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low_ratio FROM o GROUP BY page_id")
+def ocr_confidence_all(spark, read):
+    return layout.weighted_confidence(_all_words(read))
+
+
 @query("SELECT c_custkey, '| ' || replace(c_name, '|', '\\|') || ' | ' || replace(c_mktsegment, '|', '\\|') || ' |' AS row FROM customer")
 def markdown_table(spark, read):
     return read("customer").select("c_custkey", layout.markdown_row(F.array("c_name", "c_mktsegment")).alias("row"))

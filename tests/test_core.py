@@ -4,6 +4,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
+from lectern import registry
 from lectern.functions import text as T
 from lectern.operators import chunking, jobs, layout, privacy, reports, retrieval
 from lectern.plans import pipelines
@@ -139,3 +140,22 @@ def test_failures_of_an_engine_are_rows(spark, tmp_path):
 
     rows = stores.extract_pages(files, engine).collect()
     assert sorted((r["page_number"] or 0, r["error"]) for r in rows) == [(0, "ValueError: bad"), (1, None), (2, None)]
+
+def test_every_word_of_a_long_page_gets_its_line_and_cell(spark):
+    def read(name):
+        return spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(2500))), (2, "a b"), (3, None)], "doc_id long, text string")
+
+    words = registry._all_words(read)
+    assert words.count() == words.select("word_id").distinct().count() == 2502
+    text = {r["page_id"]: r["text"] for r in layout.assemble_lines(words).collect()}
+    assert text[1].split() == [f"w{i}" for i in range(2500)] and len(text[1].split("\n")) == 250
+    cells = {r["word_id"]: r["cell_id"] for r in registry.words_in_cells_all(spark, read).collect()}
+    assert len(cells) == 2502 and cells[(1 << 31) + 2499] == 249 * 20 // 80 * 5 + 4
+    low = {r["page_id"]: r["low_ratio"] for r in layout.weighted_confidence(words).collect()}
+    assert low[1] == round(sum(i % 60 < 20 for i in range(2500)) / 2500, 6)
+
+
+def test_pages_may_use_the_same_word_numbers(spark):
+    words = spark.createDataFrame([(p, 7, 10, 10, 10, 10) for p in (1, 2)], "page_id long, word_id long, left int, top int, width int, height int")
+    cells = spark.createDataFrame([(p, p, 0, 0, 50, 5000) for p in (1, 2)], "page_id long, cell_id long, left int, top int, right int, bottom int")
+    assert sorted(r["cell_id"] for r in layout.words_in_cells(words, cells).collect()) == [1, 2]
