@@ -204,6 +204,31 @@ def rrf_fusion(spark, read):
     return retrieval.fuse(semantic, semantic.drop("score").join(label, "item").select("question_id", "item", F.col("l").alias("score")))
 
 
+_DUE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  z AS (SELECT a.vec_id AS question_id, b.vec_id AS item, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)"""
+
+
+def _due(read, k=None):
+    e = read("embeddings").select(F.col("vec_id").alias("item"), "embedding")
+    return retrieval.similar(e, e.filter("item % 20 = 0").withColumnRenamed("item", "question_id"), k)
+
+
+@query(f"WITH {_DUE} SELECT question_id, item, score FROM z QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) <= 5")
+def cosine_topk_all(spark, read):
+    ranked = retrieval.top_chunks(_due(read, retrieval.TOP).select("question_id", F.lit(0).alias("doc_id"), F.col("item").alias("chunk_index"), "score"))
+    return ranked.select("question_id", F.col("chunk_index").alias("item"), "score")
+
+
+@query(f"""WITH {_DUE}, y AS (SELECT z.question_id, item, (label + 0.0)::DOUBLE - 1 AS score FROM z JOIN embeddings ON vec_id = item),
+  ra AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) AS r FROM z),
+  rb AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) AS r FROM y WHERE score > 0)
+  SELECT question_id, item, round(coalesce(1 / (60 + ra.r)::DOUBLE, 0) + coalesce(1 / (60 + rb.r)::DOUBLE, 0), 9) AS rrf FROM ra FULL JOIN rb USING (question_id, item)""")
+def rrf_fusion_all(spark, read):
+    semantic = _due(read)
+    label = read("embeddings").select(F.col("vec_id").alias("item"), (F.col("label") - 1).cast("double").alias("l"))
+    return retrieval.fuse(semantic, semantic.drop("score").join(label, "item").select("question_id", "item", F.col("l").alias("score")))
+
+
 _CARDS = r"SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{13,19}')) AS number FROM documents"
 
 

@@ -159,3 +159,15 @@ def test_pages_may_use_the_same_word_numbers(spark):
     words = spark.createDataFrame([(p, 7, 10, 10, 10, 10) for p in (1, 2)], "page_id long, word_id long, left int, top int, width int, height int")
     cells = spark.createDataFrame([(p, p, 0, 0, 50, 5000) for p in (1, 2)], "page_id long, cell_id long, left int, top int, right int, bottom int")
     assert sorted(r["cell_id"] for r in layout.words_in_cells(words, cells).collect()) == [1, 2]
+
+def test_similarity_in_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    vectors = [(i, [float(i % 5), float(i % 3), 0.0 if i % 7 else 1.0]) for i in range(60)]
+    items = spark.createDataFrame(vectors, "item long, embedding array<float>")
+    questions = items.filter("item % 20 = 0").withColumnRenamed("item", "question_id")
+    pairs = items.join(questions.withColumnRenamed("embedding", "q"), F.col("item") != F.col("question_id"))
+    want = pairs.select("question_id", "item", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    assert sorted(map(tuple, retrieval.similar(items, questions).collect())) == sorted(map(tuple, want.collect()))
+    best = lambda df: sorted((r["question_id"], r["chunk_index"]) for r in retrieval.top_chunks(df.selectExpr("question_id", "0 AS doc_id", "item AS chunk_index", "score")).collect())
+    assert best(retrieval.similar(items, questions, 5)) == best(want) and len(best(want)) == 15
+    assert retrieval.similar(items, questions.limit(0), 5).count() == 0
