@@ -8,7 +8,8 @@ from a cost estimate over the band's counted sets. Candidates are verified on th
 
 Links become components without expanding groups: each index entry ties its members to one of them (a star), then,
 while its members are in several components, to others; at last all pairs across components follow. A bound on the
-symmetric difference thins the pairs before verification. No link between components is lost.
+symmetric difference thins the pairs before verification. No link between components is lost. Within each component all
+pairs are then counted, block by block, so that every text has its true number of links.
 
 Sets are told apart by 64-bit hashes of their shingles (chance of a wrong match: 2 ** -64 a comparison).
 
@@ -41,6 +42,8 @@ _powers = np.ones(1, np.uint64)
 COMMON, SHARING = 0.03, 0.02
 #: Rounds in which entries with several components are tied to one more of their members.
 HUB_TURNS = 2
+#: Sets and shingles in one block of a component, and columns of the tables by which two blocks are compared.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 8192
 #: Ratio of a band's bounds, the words of 64 bits in a sketch, and the set size above which sets have a wide one.
 BAND, SKETCH, WIDE_FROM = 1.25, 16, 1000
 
@@ -319,21 +322,78 @@ def _may_pass(marks: list[str], num: int, den: int):
     return (F.col("n_l") * den >= F.col("n_r") * num) & (F.col("n_r") * den >= F.col("n_l") * num) & (apart <= most)
 
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _met(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the sets shares with each of the others."""
+    out = np.zeros((len(sets), len(others)), np.int64)
+    both = np.intersect1d(np.concatenate(sets), np.concatenate(others))
+
+    def places(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in both) of the common shingles, by place."""
+        values, rows = np.concatenate(group), np.repeat(np.arange(len(group)), [len(x) for x in group])
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        known = both[at] == values
+        order = np.argsort(at[known], kind="stable")
+        return rows[known][order], at[known][order]
+
+    if not len(both):
+        return out
+    sides = places(sets), places(others)
+    for low in range(0, len(both), COLUMNS):
+        tables = []
+        for (rows, at), n in zip(sides, out.shape):
+            part = slice(*np.searchsorted(at, (low, low + COLUMNS)))
+            table_ = np.zeros((n, min(COLUMNS, len(both) - low)), np.float32)
+            table_[rows[part], at[part] - low] = 1
+            tables.append(table_)
+        out += np.rint(tables[0] @ tables[1].T).astype(np.int64)
+    return out
 
 
-def similar_sets(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document.
+def _degrees(limit: Threshold):
+    """(node, links) that the pairs of two blocks, or of one with itself, give to each of their nodes."""
+
+    def run(x, y, nodes, blocks, copies, shingles):
+        found, links = [], []
+        for low, high, node, block, copy, sets in zip(x.to_pylist(), y.to_pylist(), nodes, blocks, copies, shingles):
+            node, block, copy = (c.values.to_numpy() for c in (node, block, copy))
+            sets = [np.frombuffer(b.as_buffer(), U) for b in sets.values]
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            size = np.array([len(b) for b in sets])
+            total = size[left][:, None] + size[right]
+            both = _met([sets[i] for i in left], [sets[i] for i in right])
+            passes = (limit.den * both >= limit.num * (total - both)) & (node[left][:, None] != node[right])
+            found.append(node[left]), links.append(passes @ copy[right])
+            if low != high:
+                found.append(node[right]), links.append(copy[left] @ passes)
+        return [np.concatenate(found), np.concatenate(links)] if found else [[], []]
+
+    return run
+
+
+def true_degrees(members: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """(node, links): the rows with other sets that each node links with, for (node, root, n, copies) of whole components.
 
-    ``component_id`` is the least ``doc_id`` of the component; ``n_links`` counts the verified links of the
-    document's set with different sets that tied the component together.
+    A component is cut into blocks, and each two blocks are compared by one row, so a large one spreads over many tasks.
     """
+    per = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("size")).filter("k > 1")
+    per = per.select("root", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_SHINGLES)).alias("parts"))
+    placed = members.join(per, "root").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.groupBy("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("node", "block", "copies", "shingles")).alias("m"))
+    dealt = dealt.select("x", "y", *[F.col(f"m.{c}").alias(c) for c in ("node", "block", "copies", "shingles")])
+    return arrow_map(dealt, _degrees(limit), "node long, links long", *dealt.columns).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The profile of every document, the nodes (distinct sets), and the roots (node, root) of those with links."""
     limit = Threshold(num, den)
-    docs = docs.select("doc_id", "text")
     marks = [f"s{i}" for i in range(SKETCH)]
     profile = materialise(arrow_map(docs, _profile(width), "doc_id long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in marks) + ", wide binary", "doc_id", "text"))
-    nodes = materialise(profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in [*marks, "wide"]]))
+    nodes = materialise(profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in [*marks, "wide"]]))
     largest = nodes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     bounds = bands(limit, {}, largest)
     in_band = [F.struct(F.count_if((F.col("n") >= b.least) & (F.col("n") < b.high)), F.coalesce(F.sum(F.when((F.col("n") >= b.least) & (F.col("n") < b.high), F.col("n"))), F.lit(0))) for b in bounds]
@@ -394,15 +454,28 @@ def similar_sets(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100)
         rest = materialise(pairs.join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             found = materialise(_verified(rest, _sets_of(ends_of(rest), nodes, docs, width), limit))
-            links, roots = links.union(found), _merged(roots, found)
+            roots = _merged(roots, found)
         if turn == HUB_TURNS:
             break
         tried = tried.union(rest)
 
-    degree = links.distinct().select(F.col("a").alias("node")).union(links.distinct().select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return profile, nodes, roots
+
+
+def similar_sets(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document.
+
+    ``component_id`` is the least ``doc_id`` of the component; ``n_links`` counts the other rows whose sets pass the
+    threshold with the document's, equal ones included.
+    """
+    docs = docs.select("doc_id", "text")
+    profile, nodes, roots = grouped(docs, width, num, den)
+    members = materialise(nodes.select("node", "n", "copies").join(roots, "node"))
+    sets = _sets_of(members.select("node"), nodes, docs, width).dropDuplicates(["node"])
+    degree = true_degrees(members, sets, Threshold(num, den))
+    known = nodes.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = known.join(least, "root").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_node = known.join(least, "root").join(degree, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = profile.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

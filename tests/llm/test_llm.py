@@ -116,6 +116,19 @@ def test_ngram_join_odd(odd):
     assert ngram_join.similar_sets(odd.limit(0)).count() == 0
 
 
+def test_ngram_join_counts_every_link(spark, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    words = " ".join(f"t{i}" for i in range(200)).split()
+    alike = [[*words[:k], f"x{k}", *words[k + 1 :]] for k in range(0, 200, 9)]
+    many = {d: t for d, t in texts.items() if d < 40} | {1000 + k: " ".join(w) for k, w in enumerate([*alike, alike[0], words])}
+    sets = {d: {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set() for d, w in ((d, WORD.findall((t or "").lower())) for d, t in many.items())}
+    want = {d: sum(e != d and 100 * len(x & y) >= 85 * len(x | y) > 0 for e, y in sets.items()) for d, x in sets.items()}
+    docs = spark.createDataFrame(list(many.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.similar_sets(docs).collect()} == want
+    assert want[1000] == len(alike) + 1
+
+
 def test_lm_base_is_exact_and_the_model_beats_it(spark, sf_dir, texts):
     rows = lm.op4_lm_scores(spark, sf_dir).collect()
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
