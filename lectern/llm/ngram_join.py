@@ -213,7 +213,7 @@ def bands(limit: Threshold, counts: dict[int, tuple[int, int]], largest: int) ->
 
 
 def _profile(width: int):
-    def run(ids, texts):
+    def run(ids, texts, hashes):
         n, keys, sketches, wide = [], [], [], []
         for t in texts_of(texts):
             s = shingle_set(t, width)
@@ -222,7 +222,7 @@ def _profile(width: int):
             sketches.append(sketch(s))
             wide.append(wide_sketch(s))
         marks = np.array(sketches, np.int64).reshape(len(n), SKETCH).T
-        return [ids, n, keys, *map(pa.array, marks), wide]
+        return [ids, hashes, n, keys, *map(pa.array, marks), wide]
 
     return run
 
@@ -391,8 +391,9 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The profile of every document, the nodes (distinct sets), and the roots (node, root) of those with links."""
     limit = Threshold(num, den)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     marks = [f"s{i}" for i in range(SKETCH)]
-    profile = materialise(arrow_map(docs, _profile(width), "doc_id long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in marks) + ", wide binary", "doc_id", "text"))
+    profile = materialise(arrow_map(hashed, _profile(width), "doc_id long, text_hash long, n_shingles long, node long, " + ", ".join(f"{s} long" for s in marks) + ", wide binary", "doc_id", "text", "text_hash"))
     nodes = materialise(profile.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in [*marks, "wide"]]))
     largest = nodes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     bounds = bands(limit, {}, largest)
@@ -481,9 +482,26 @@ def similar_sets(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The documents of which none with a lower ``doc_id`` is in the same component, with their columns."""
-    kept = similar_sets(docs, width, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each component, that of the least ``doc_id`` (null last), with its columns; documents without
+    words all stay.
+
+    Rows are told apart by ``doc_id`` and a hash of the text; of rows alike in both, any one stays.
+    """
+    profile, _, roots = grouped(docs.select("doc_id", "text"), width, num, den)
+    rows = profile.filter("node is not null").select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    alike = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "rows")).alias("k")
+    kept = materialise(alike.groupBy("root").agg(first).select("k.doc_id", "k.text_hash", "k.rows"))
+    wordless = profile.filter("node is null").select("doc_id", "text_hash").distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+
+    def of(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+        return hashed.join(keys, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
+
+    single = of(kept.filter("rows = 1").select("doc_id", "text_hash").union(wordless))
+    repeated = of(kept.filter("rows > 1")).dropDuplicates(["doc_id", "_text_hash"])
+    return single.unionByName(repeated).drop("_text_hash")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -129,6 +129,20 @@ def test_ngram_join_counts_every_link(spark, texts, monkeypatch):
     assert want[1000] == len(alike) + 1
 
 
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    words = [f"t{i}" for i in range(200)]
+    a, near, b, c = " ".join(words), " ".join(["x", *words[1:]]), "another text of its own", "one more text without a name"
+    rows = [(1, a), (1, a), (1, near), (2, near), (None, a), (3, b), (3, c), (None, b), (None, "only here"), (None, None), (4, None), (4, None), (5, " "), (2, "second of two"), (None, "twice"), (None, "twice")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = ngram_join.drop_near_duplicates(docs, 4, 85, 100)
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    group = [k for k in kept if k in ((1, a), (1, near))]
+    assert len(group) == 1
+    kept.remove(group[0])
+    assert kept == sorted([(3, b), (3, c), (0, "only here"), (0, ""), (4, ""), (4, ""), (5, " "), (2, "second of two"), (0, "twice")])
+
+
 def test_lm_base_is_exact_and_the_model_beats_it(spark, sf_dir, texts):
     rows = lm.op4_lm_scores(spark, sf_dir).collect()
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
