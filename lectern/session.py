@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -41,21 +43,58 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster that is an error, as no executor would see it.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_written: dict[str, object] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and no executor holds the only copy."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and no executor holds the only copy.
+
+    Folders go when ``discard`` is called on the result, or with the driver process.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_discard_all)
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``materialise`` wrote for tables that nothing will read again, and let shuffle files go with it."""
+    for t in tables:
+        path = t._lectern_path
+        _remove(_written.pop(path), path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def _discard_all() -> None:
+    for path, spark in _written.items():
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone
+            _remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
