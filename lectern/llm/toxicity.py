@@ -1,25 +1,31 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one from windows that set toxic texts apart, one from windows of ordinary text.
-A window is one word of at least ``LEAST`` letters, lower-cased and stripped of punctuation, between a constant header
-and trailer that both dictionaries hold, so that words of any length can match. Its length under each dictionary
-gives a difference and a residue; counts of distinct windows beyond several thresholds are calibrated into a probability by
-boosted trees on labelled texts that the dictionaries have not seen. All windows of the whole text count.
+zstandard's trainer makes dictionaries from windows of running words: a base and an ordinary one from ordinary texts,
+a toxic one from toxic texts. Both sides compress with the base, so that they differ by their own part alone. Which
+windows of a toxic text are the toxic ones is not labelled, so the toxic dictionary is trained in rounds: on all
+windows of toxic texts first, then on those that it shortens, against the ordinary side, by more than nearly all ordinary
+windows. No words are chosen or listed; dictionary content is what the trainer takes from windows.
+
+A text is scored by its distinct windows of one word each, lower-cased and stripped of punctuation, between a constant
+header and trailer that both sides hold (zstandard stores shorter input as it is). Each has a difference of the two
+lengths and a residue, its toxic length above that of no word at all; parts of words match as well as whole ones.
+Counts of windows beyond several thresholds, under dictionaries of two shapes, are calibrated into a probability by
+boosted trees on labelled texts that the dictionaries have not seen.
 
 The labelled rows used are at most ``toxic`` and ``ordinary`` texts, those with the least hash of ``doc_id`` whose
 crc32 modulo 5 is not 0. Other columns are never inputs of a score.
 
-Defined cases: null and empty texts get the score of a text without windows; without labelled rows of both kinds
-every score is 0; repeated rows give repeated results; an empty table gives an empty result.
+Defined cases: null and empty texts get the score of a text without windows; without labelled rows of both kinds, or
+with too little text to train a dictionary on, every score is 0; repeated rows give repeated results; an empty table
+gives an empty result; further columns are kept by ``drop_toxic`` and ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from sys import intern
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +34,17 @@ from ._common import WORD, arrow_map, crc_mod, table, texts_of, worker_model
 from ._gbdt import BoostedTrees
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 6000
-DICTIONARY_BYTES, LEVEL, LEAST = 8192, 9, 4
+#: Words of a training window of the base and the ordinary dictionary, and of a window that rounds choose from.
+LONG_WINDOW, SHORT_WINDOW = 16, 2
+#: Shapes of the two pairs of dictionaries: bytes of the base and of a part, the trainer's segment and unit for parts.
+SHAPES = ((65536, 4096, 16, 6), (32768, 8192, 16, 8))
+BASE_SEGMENT, BASE_UNIT = 64, 8
+#: Rounds of the toxic dictionary, and the share of ordinary windows that a chosen window must exceed.
+ROUNDS, BEYOND = 3, 0.99
 EDGES = ".,;:!?#*$%&|<>\"'()[]"
-HEAD = bytes(range(128, 192))
-TAIL = HEAD[:16]
-STEMS = (4, 5, 6, 7)
+HEAD, TAIL = bytes(range(128, 160)), bytes(range(192, 208))
 #: (difference, residue): a window counts when at least the one and at most the other.
-THRESHOLDS = tuple((d, r) for d in (1, 2, 3, 4) for r in (3, 4, 5))
+THRESHOLDS = tuple((d, r) for d in (1, 2, 3, 4, 5) for r in (3, 4, 5))
 #: Window lengths kept in a worker; beyond that the store starts anew. Workers outlive a task, so one model is kept.
 KEPT_WINDOWS = 100_000
 
@@ -43,97 +53,116 @@ _words = re.compile(WORD).findall
 
 def windows(text: str) -> list[str]:
     """The distinct windows of a text, sorted."""
-    return sorted({w for x in set(_words(text.lower())) if len(w := x.strip(EDGES)) >= LEAST})
-
-
-def _dictionary(words: list[str]) -> bytes:
-    """Dictionary content: the foremost words last, where matches are cheapest, then the constant header."""
-    out, size = [HEAD], len(HEAD)
-    for w in words:
-        item = f" {w} ".encode()
-        if size + len(item) > DICTIONARY_BYTES:
-            break
-        out.append(item)
-        size += len(item)
-    return b"".join(out[1:][::-1]) + HEAD
-
-
-def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
-    """From the distinct windows of each text. Toxic windows are those with a stem seldom met in ordinary texts, by its log-likelihood; ordinary ones the most frequent."""
-    stems = lambda ws: {w[:k] for w in ws for k in STEMS if len(w) >= k}
-    a, b, in_toxic, in_ordinary = Counter(), Counter(), Counter(), Counter()
-    for ws in toxic:
-        a.update(stems(ws)), in_toxic.update(ws)
-    for ws in ordinary:
-        b.update(stems(ws)), in_ordinary.update(ws)
-    n, m = len(toxic) + 1, len(ordinary) + 1
-    weight = {s: c * np.log((c / n) / ((b[s] + 0.5) / m)) for s, c in a.items() if c >= 3 and b[s] / m < 0.05 * c / n}
-    best = {w: max((weight.get(w[:k], 0.0) for k in STEMS if len(w) >= k), default=0.0) for w in in_toxic}
-    apart = sorted((w for w, x in best.items() if x > 25), key=lambda w: (-best[w], w))
-    return _dictionary(apart), _dictionary(sorted(in_ordinary, key=lambda w: (-in_ordinary[w], w)))
+    return sorted({w for x in set(_words(text.lower())) if (w := x.strip(EDGES))})
+
+
+def running(texts: list[str], width: int) -> list[bytes]:
+    """Windows of ``width`` words that follow one another, of all texts."""
+    out = []
+    for t in texts:
+        words = _words(t.lower())
+        out += [f" {' '.join(words[i : i + width])} ".encode() for i in range(0, len(words), width)]
+    return out
+
+
+def _compressor(dictionary: bytes):
+    settings = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
+        window_log=18, hash_log=16, chain_log=17, search_log=4, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
+    )
+    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(dict_data=content, compression_params=settings).compress
+
+
+def _trained(samples: list[bytes], size: int, segment: int, unit: int) -> bytes:
+    return zstandard.train_dictionary(size, samples, k=segment, d=unit).as_bytes()
+
+
+def _lengths(compress, samples: list[bytes]) -> np.ndarray:
+    return np.array([len(compress(HEAD + x + TAIL)) for x in samples], np.int64)
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str], base_bytes: int, part_bytes: int, segment: int, unit: int) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary side, base included."""
+    base = _trained(running(ordinary[::2], LONG_WINDOW), base_bytes, BASE_SEGMENT, BASE_UNIT)
+    plain = base + _trained(running(ordinary[1::2], LONG_WINDOW), part_bytes, segment, unit) + TAIL + HEAD
+    pool, others = running(toxic, SHORT_WINDOW), running(ordinary[1::4], SHORT_WINDOW)
+    pool_plain, others_plain = (_lengths(_compressor(plain), x) for x in (pool, others))
+    chosen = pool
+    for turn in range(ROUNDS + 1):
+        marked = base + _trained(chosen, part_bytes, segment, unit) + TAIL + HEAD
+        if turn < ROUNDS:
+            shorter, by_chance = (x - _lengths(_compressor(marked), y) for x, y in ((pool_plain, pool), (others_plain, others)))
+            picked = np.flatnonzero(shorter > np.quantile(by_chance, BEYOND))
+            if sum(len(pool[i]) for i in picked) > 2 * part_bytes:  # else too few to train on
+                chosen = [pool[i] for i in picked]
+    return marked, plain
 
 
 class Distances:
-    """Window lengths under two dictionaries, kept per window."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        settings = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, dict_size=DICTIONARY_BYTES, source_size=96, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3
-        )
-        make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings).compress
-        self.toxic, self.ordinary = make(toxic), make(ordinary)
-        self.floor = len(self.toxic(HEAD + b" " + TAIL))
-        self.kept: dict[str, tuple[int, int]] = {}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+    """Window lengths under pairs of dictionaries, kept per window."""
+
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.sides = [(_compressor(toxic), _compressor(ordinary)) for toxic, ordinary in pairs]
+        self.floors = [len(toxic(HEAD + b" " + TAIL)) for toxic, _ in self.sides]
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.known: dict[tuple[int, ...], tuple[int, ...]] = {}
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        x, out = HEAD + f" {word} ".encode() + TAIL, []
+        for (toxic, ordinary), floor in zip(self.sides, self.floors):
+            n = len(toxic(x))
+            out += [len(ordinary(x)) - n, n - floor]
+        return tuple(out)
 
     def of(self, words: list[str]) -> np.ndarray:
-        """Rows (difference, residue)."""
+        """Rows of difference and residue, by pair."""
         if len(self.kept) > KEPT_WINDOWS:
-            self.kept, self.pairs = {}, {}
+            self.kept, self.known = {}, {}
         kept, at = self.kept, []
         for w in words:
-            pair = kept.get(w)
-            if pair is None:
-                x = HEAD + f" {w} ".encode() + TAIL
-                t = len(self.toxic(x))
-                pair = (len(self.ordinary(x)) - t, t - self.floor)
-                pair = kept[w] = self.pairs.setdefault(pair, pair)  # equal pairs share one object
-            at.append(pair)
-        return np.array(at or [(0, 99)], np.int32)
+            row = kept.get(w)
+            if row is None:
+                row = self._of(w)
+                row = kept[w] = self.known.setdefault(row, row)  # equal rows share one object
+            at.append(row)
+        return np.array(at or [(0, 99) * len(self.sides)], np.int32)
 
     def features(self, words: list[str]) -> np.ndarray:
-        v = self.of(words)
-        d, r = v[:, 0], v[:, 1]
-        counts = [int(((d >= x) & (r <= y)).sum()) for x, y in THRESHOLDS]
-        top = np.sort(d)[::-1]
-        return np.array([*counts, *[c / len(d) for c in counts], top[0], top[min(1, len(top) - 1)], len(words)], float)
+        v, out = self.of(words), [len(words)]
+        for k in range(0, v.shape[1], 2):
+            d, r = v[:, k], v[:, k + 1]
+            counts = [int(((d >= x) & (r <= y)).sum()) for x, y in THRESHOLDS]
+            out += [*counts, *[c / len(d) for c in counts], int(d.max())]
+        return np.array(out, float)
 
 
 class ToxicityModel:
-    def __init__(self, toxic: bytes, ordinary: bytes, trees: BoostedTrees | None):
-        self.dictionaries, self.trees = (toxic, ordinary), trees
+    def __init__(self, pairs: list[tuple[bytes, bytes]], trees: BoostedTrees | None):
+        self.pairs, self.trees = pairs, trees
 
     def score(self, texts: list[str]) -> list[float]:
         if self.trees is None or not texts:
             return [0.0] * len(texts)
-        distances = _distances(*self.dictionaries)
+        distances = worker_model((__name__, *self.pairs), lambda: Distances(self.pairs))
         return self.trees.score(np.array([distances.features(windows(t)) for t in texts])).tolist()
 
 
-def _distances(toxic: bytes, ordinary: bytes) -> Distances:
-    return worker_model((__name__, toxic, ordinary), lambda: Distances(toxic, ordinary))
-
-
-def fit(rows: list[tuple[list[str], int]]) -> ToxicityModel:
-    """From (windows, label) rows: dictionaries from two thirds, calibration on the rest."""
-    toxic, ordinary = ([(i, w) for i, (w, y) in enumerate(rows) if y == label] for label in (1, 0))
-    if not toxic or not ordinary:
-        return ToxicityModel(b"", b"", None)
-    pair = train_dictionaries(*([w for i, w in xs if i % 3] for xs in (toxic, ordinary)))
-    distances = Distances(*pair)
-    held = [(w, y) for i, (w, y) in enumerate(rows) if i % 3 == 0]
-    trees = BoostedTrees(trees=40, depth=3).fit(np.array([distances.features(w) for w, _ in held]), np.array([y for _, y in held]))
-    return ToxicityModel(*pair, trees)
+def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
+    """From (text, label) rows: dictionaries from two thirds, calibration on the rest."""
+    nothing = ToxicityModel([], None)
+    learn, held = [r for i, r in enumerate(rows) if i % 3], rows[::3]
+    toxic, ordinary = ([t for t, y in learn if y == label] for label in (1, 0))
+    y = np.array([label for _, label in held])
+    if not toxic or not ordinary or len(set(y.tolist())) < 2:
+        return nothing
+    try:
+        pairs = [train_dictionaries(toxic, ordinary, *shape) for shape in SHAPES]
+    except zstandard.ZstdError:  # the trainer refuses too few or too short samples
+        return nothing
+    distances = Distances(pairs)
+    x = np.array([distances.features(windows(t)) for t, _ in held])
+    return ToxicityModel(pairs, BoostedTrees(trees=60, depth=3).fit(x, y))
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, ordinary: int = ORDINARY_SAMPLE) -> ToxicityModel:
@@ -141,13 +170,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE
     usable = labels.select("doc_id", "toxic").filter(crc_mod(F.col("doc_id"), 5) != 0)
     drawn = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic), (0, ordinary))]
     picked = F.broadcast(drawn[0].union(drawn[1]))
-
-    def run(ids, labels_, texts):
-        return [ids, labels_, [" ".join(windows(t)) for t in texts_of(texts)]]
-
-    joined = docs.select("doc_id", "text").join(picked, "doc_id")
-    rows = arrow_map(joined, run, "doc_id long, toxic int, words string", "doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic + ordinary).collect()
-    return fit([([intern(w) for w in r["words"].split(" ") if w], r["toxic"]) for r in rows])
+    joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic")
+    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(toxic + ordinary).select(F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
+    return fit(list(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -166,8 +191,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     at = names.index("text")
 
     def run(*columns):
-        import pyarrow as pa
-
         keep = pa.array([s < 0.5 for s in model.score(texts_of(columns[at]))], pa.bool_())
         return [c.filter(keep) for c in columns]
 

@@ -245,13 +245,28 @@ def test_chat_picks_the_best_branch_and_reads_back(spark):
     assert got.filter("tree = 't'").select(chat.loss_text(F.col("formatted"), F.col("loss"))).first()[0] == "~t[high"
 
 
-def test_toxicity_held_out(spark):
-    rows = duckdb.sql("SELECT d.doc_id, text, toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) ORDER BY doc_id LIMIT 2500").fetchall()
+@pytest.fixture(scope="module")
+def toxicity_case():
+    rows = duckdb.sql("SELECT d.doc_id, text, toxic, lang FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) ORDER BY hash(doc_id)").fetchall()
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
-    model = toxicity.fit([(toxicity.windows(t), y) for d, t, y in rows if not held(d)])
-    test = [(t, y) for d, t, y in rows if held(d)]
-    p, y = np.array(model.score([t for t, _ in test])), np.array([y for _, y in test])
-    assert ((p >= 0.5) == y).mean() > 0.93 and ((p >= 0.5) & (y == 0)).sum() <= 0.02 * (y == 0).sum()
+    learned = [(t, y) for d, t, y, _ in rows if not held(d)]
+    return learned, toxicity.fit(learned), [(t, y, lang) for d, t, y, lang in rows if held(d)]
+
+
+def test_toxicity_held_out(toxicity_case):
+    _, model, test = toxicity_case
+    p, y = np.array(model.score([t for t, _, _ in test])), np.array([y for _, y, _ in test])
+    assert ((p >= 0.5) & (y == 1)).sum() >= 0.75 * (y == 1).sum() and ((p >= 0.5) & (y == 0)).sum() <= 0.02 * (y == 0).sum()
+
+
+def test_toxicity_is_more_than_a_list_of_words(toxicity_case):
+    """Words that no text of the sample holds still tell where they share parts with toxic ones, and others do not."""
+    learned, model, _ = toxicity_case
+    seen = {w for t, _ in learned for w in toxicity.windows(t or "")}
+    near, far = (["idiotry", "moronhood", "pathetical", "worthlessly", "stupidest"], ["therhatry", "onshhood", "pandical", "wondthersly", "tionest"])
+    assert not seen & {*near, *far}
+    distances = toxicity.Distances(model.pairs)
+    assert distances.of(near)[:, ::2].max(axis=1).mean() > 3 + distances.of(far)[:, ::2].max(axis=1).mean()
 
 
 def test_toxicity_odd(spark, odd):
