@@ -9,15 +9,19 @@ Template: every turn is ``<s>role[INST] text [/INST]</s>``. Inside roles and tex
 
 Defined cases: null role or text is empty; a message whose parent is missing starts a tree; messages repeated under
 one (tree, msg) count once, the least (parent, role, text) stays; equal scores go to the leaf of least ``msg``;
-messages on a cycle belong to no path; an empty table gives an empty result.
+messages on a cycle belong to no path; an empty table gives an empty result; columns beyond the named ones are ignored,
+whatever their names. In op9_chat a conversation -7 of the table would be one with the added one. One conversation
+is one string, so its turns meet in one task; the paths themselves are found without gathering any tree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import discard, materialise, table
 
 #: Paths of up to 2 ** 30 messages.
 DOUBLINGS = 30
@@ -36,6 +40,10 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, leaf, rank, msg, depth) for the messages on the best ``keep`` root-to-leaf paths of each tree.
 
@@ -46,22 +54,30 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     leaves = messages.select("tree", "msg").join(parents, ["tree", "msg"], "left_anti")
     known = messages.select("tree", F.col("msg").alias("up"), F.lit(True).alias("_known"))
     reach = messages.withColumn("up", F.col("parent")).join(known, ["tree", "up"], "left")
-    reach = materialise(reach.select("tree", "msg", F.when(F.col("_known"), F.col("up")).alias("up"), "score", F.lit(1).cast("long").alias("depth")))
-    links = []
-    for _ in range(DOUBLINGS):
-        if reach.filter("up is not null").isEmpty():
+    written = [messages]
+    written.append(reach := materialise(reach.select("tree", "msg", F.when(F.col("_known"), F.col("up")).alias("up"), "score", F.lit(1).cast("long").alias("depth"))))
+    opened, finished = [], [reach.filter("up is null")]
+    for _ in range(DOUBLINGS):  # only messages that have not reached their root go on
+        open_ = reach.filter("up is not null")
+        if open_.isEmpty():
             break
-        links.append(reach.filter("up is not null").select("tree", "msg", "up"))
-        far = reach.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        joined = reach.join(far, ["tree", "up"], "left")
-        reach = materialise(joined.select("tree", "msg", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")))
-    rooted = reach.filter("up is null")
+        opened.append(open_)
+        known = union_of([open_, *finished])
+        far = known.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        written.append(reach := materialise(open_.join(far, ["tree", "up"]).select("tree", "msg", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))))
+        finished.append(reach.filter("up is null"))
+    rooted = union_of(finished)
     by_score = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("depth")), "msg")
     best = leaves.join(rooted, ["tree", "msg"]).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= keep)
-    path = best.select("tree", F.col("msg").alias("leaf"), "rank", "msg")
-    for link in links:  # after the k-th step: all ancestors less than 2 ** k away
-        path = path.unionByName(path.join(link, ["tree", "msg"]).select("tree", "leaf", "rank", F.col("up").alias("msg")))
-    return path.join(rooted.select("tree", "msg", "depth"), ["tree", "msg"])
+    path = materialise(best.select("tree", F.col("msg").alias("leaf"), "rank", "msg"))
+    for link in opened:  # after the k-th step: all ancestors less than 2 ** k away; a table a step keeps the plan short
+        further = path.join(link.select("tree", "msg", "up"), ["tree", "msg"]).select("tree", "leaf", "rank", F.col("up").alias("msg"))
+        longer = materialise(path.unionByName(further))
+        discard(path)
+        path = longer
+    out = materialise(path.join(rooted.select("tree", "msg", "depth"), ["tree", "msg"]))
+    discard(path, *written)
+    return out
 
 
 def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
