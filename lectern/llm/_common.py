@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lectern.session import materialise, ship, table  # noqa: F401  re-exported for the operators
+from lectern.session import discard, materialise, ship, table  # noqa: F401  re-exported for the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six characters that part words.
@@ -60,24 +60,39 @@ def release_models(owner: str) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def arrow_map(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
-    """mapInArrow over the named columns: ``fn`` gets each batch's columns as Arrow arrays and returns a list of
-    arrays or Python lists, one per column of ``schema`` (all of one length, which need not be the batch's)."""
-    spark = ship(df.sparkSession)
+def bounded_batches(spark) -> None:
+    """Bound the Arrow batches of this session, for all operators that run Python."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
 
-    owner = fn.__module__
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def arrow_stream(df: DataFrame, body, schema: str, *columns: str) -> DataFrame:
+    """mapInArrow over the named columns: ``body`` gets an iterator over the columns of each batch of a task and yields
+    lists of Arrow arrays or sequences, one per column of ``schema``."""
+    bounded_batches(df.sparkSession)
+    kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
+    owner = body.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_models(owner)
-        for batch in batches:
-            out = fn(*batch.columns)
+        for out in body(batch.columns for batch in batches):
             arrays = [x.cast(k.type) if isinstance(x, pa.Array) else pa.array(x, type=k.type) for x, k in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[k.name for k in kinds])
 
-    return df.select(*columns).mapInArrow(body, schema)
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def arrow_map(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
+    """mapInArrow over the named columns: ``fn`` gets each batch's columns as Arrow arrays and returns a list of
+    arrays or Python lists, one per column of ``schema`` (all of one length, which need not be the batch's)."""
+
+    def body(batches):
+        for columns_ in batches:
+            yield fn(*columns_)
+
+    body.__module__ = fn.__module__
+    return arrow_stream(df, body, schema, *columns)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -85,6 +100,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def bitmap_size(rows: int) -> int:
+    """Bits, as a power of two, of a bitmap of so many values: eight a value, from 128 KB up to 16 MB."""
+    return min(27, max(20, (8 * rows).bit_length()))
+
+
 def bitmap_of(df: DataFrame, column: str, log2_bits: int = 23) -> np.ndarray:
     """A one-hash membership bitmap over a long column of well-mixed values.
 

@@ -1,21 +1,31 @@
 """N-gram Jaccard join by universe partitioning and the pigeonhole principle.
 
 Each text becomes a set of word shingles. Sets of like size form bands; in a band every shingle falls into one of
-``m`` segments by hash. Two sets that pass the threshold differ in at most ``H`` shingles, so with per-segment
-allowances ``t`` of 0 or 1 and ``sum(t + 1) > H``, some segment differs by at most its allowance: the index holds
-each segment's subset and, where the allowance is 1, its one-deletion neighbourhood. The allowances of a band come
-from a cost estimate over the band's counted sets. Candidates are verified on the whole sets.
+``m`` segments by hash. Two sets that pass the threshold differ in at most ``H`` shingles. A segment of allowance 0
+is indexed by its subset, one of allowance 1 by its subset and its one-deletion neighbourhood too; with
+``sum(allowance + 1) = H + 1`` some segment of the two always shares an entry. Segments of allowance 0 may be more
+by a spare ``s``: then the two share at least ``s + 1`` entries. The allocation of a band comes from a cost estimate
+over the band's counted sets.
 
-Links become components without expanding groups: each index entry ties its members to one of them (a star), then,
-while its members are in several components, to others; at last all pairs across components follow. A bound on the
-symmetric difference thins the pairs before verification. No link between components is lost. Within each component all
-pairs are then counted, block by block, so that every text has its true number of links.
+An entry of more than ``CROWD`` sets is crowded. In the order of uncrowded before crowded entries, then by hash, two
+sets that share ``s + 1`` entries also share one outside the last ``s`` of either (prefix filtering). So
 
-Sets are told apart by 64-bit hashes of their shingles (chance of a wrong match: 2 ** -64 a comparison).
+* uncrowded entries give their pairs, counted over all entries: a pair counts when it shares ``s + 1`` entries, less
+  the crowded ones that it may share;
+* of crowded entries, a set keeps those beyond its spare, which most sets have none of. Each kept entry ties its
+  members to one of them (a star), then, while its members are in several components, to others; at last blocks of its
+  members are compared, those of different components, in numpy. Nothing is capped and no link between components lost.
+
+A bound on the symmetric difference thins the pairs before they are verified on the whole sets. Within each component
+all pairs are then counted, block by block, so that every text has its true number of links.
+
+Sets are told apart by 64-bit hashes of their shingles (chance of a wrong match: 2 ** -64 a comparison), and equal sets
+are one node by a 64-bit key of the whole set.
 
 Defined cases: a null text or one without words has the empty set and links with nothing, not even its like;
 fewer words than the shingle length make one shingle; equal sets link; repeated rows (same ``doc_id``) are each
-returned; an empty table gives an empty result; extra columns are ignored.
+returned; a null ``doc_id`` counts as larger than any other; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +35,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bitmap_of, in_bitmap, materialise, table, texts_of
+from ._common import arrow_map, arrow_stream, bitmap_of, bitmap_size, discard, in_bitmap, materialise, table, texts_of
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -38,8 +48,12 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.ones(1, np.uint64)
-#: The cost model's share of a set's shingles that other texts share, and the share of such other texts.
-COMMON, SHARING = 0.03, 0.02
+#: An entry of more sets than this is crowded.
+CROWD = 16
+#: Spare segments that the cost model may choose, as shares of ``H + 1``.
+SPARES = (0.0, 0.08, 0.15, 0.25, 0.4)
+#: Entries that a task holds before it sends them on, and that a bucket of the index should hold; bits of an entry.
+HELD_ENTRIES, BUCKET_ENTRIES, ENTRY_BITS = 800_000, 1_200_000, 48
 #: Rounds in which entries with several components are tied to one more of their members.
 HUB_TURNS = 2
 #: Sets and shingles in one block of a component, and columns of the tables by which two blocks are compared.
@@ -140,38 +154,29 @@ class Band:
     def __init__(self, index: int, low: int, high: int, limit: Threshold):
         self.index, self.low, self.high = index, low, high
         self.least, self.most_apart = limit.least_partner(low), limit.band_difference(high - 1)
-        self.zeros, self.ones, self.spare, self.light = self.most_apart + 1, 0, 0, -1
+        self.zeros, self.ones, self.spare = self.most_apart + 1, 0, 0
 
     def allocate(self, sets: int, mean_size: float) -> None:
-        """Choose how many segments get allowance 0 and 1, and how many light ones a set may leave out.
+        """Choose how many segments get allowance 0 and 1, and how many of allowance 0 are spare, by least cost.
 
-        Segments of at most ``light`` shingles tell little: many sets share them by way of an empty segment or one
-        common passage. Leaving out ``spare`` allowances on either side is safe when all sum to ``H + 1 + 2 * spare``.
-        Costs: four per index entry, one per candidate pair, with COMMON of a set's shingles in common with SHARING of
-        the other sets.
+        Costs: one per index entry; CROWD / 2 per entry of an empty segment, up to the other sets that have the same
+        segment empty; CROWD more for each empty segment beyond the spare where those are crowded.
         """
-
-        def poisson(k: int, fill: float) -> float:
-            return math.exp(-fill) * fill**k / math.factorial(k)
-
         best = None
-        for light in (-1, 0, 1):
-            need, spare = self.most_apart + 1, 0
-            for _ in range(12):  # the spare share of the sparsest sets of the band, with two deviations
-                expected = need * sum(poisson(k, self.least / need) for k in range(light + 1))
-                spare = math.ceil(expected + 2 * math.sqrt(expected)) if light >= 0 else 0
-                need = self.most_apart + 1 + 2 * spare
-                if self.least < 2 * need:
-                    break
-            for ones in (0, need // 2) if light < 0 else (0,):
-                zeros = need - 2 * ones
-                fill = mean_size / max(1, zeros + ones)
-                slack = lambda k: COMMON**k if not ones else COMMON ** max(0, k - 1)
-                met = (zeros + ones) * sum(poisson(k, fill) * slack(k) for k in range(light + 1, 12))
-                cost = 4 * sets * (zeros + ones * (1 + fill)) + SHARING * sets**2 / 2 * met
-                if (light < 0 or self.least >= 2 * need) and (best is None or cost < best[0]):
-                    best = cost, zeros, ones, spare, light
-        _, self.zeros, self.ones, self.spare, self.light = best
+        need = self.most_apart + 1
+        for ones, share in [(0, x) for x in SPARES] + [(need // 2, 0.0)]:
+            spare = math.ceil(share * need)
+            zeros = need + spare - 2 * ones
+            segments = zeros + ones
+            fill = mean_size / segments
+            empty = math.exp(-fill)
+            met = min(CROWD, sets * empty)
+            cost = zeros + ones * (1 + fill) + segments * empty * met / 2
+            if sets * empty > CROWD:
+                cost += CROWD * max(0.0, segments * empty + math.sqrt(segments * empty) - spare)
+            if best is None or cost < best[0]:
+                best = cost, zeros, ones, spare
+        _, self.zeros, self.ones, self.spare = best
 
     def entries(self, shingles: np.ndarray) -> np.ndarray:
         """Index entries of one set in this band."""
@@ -182,14 +187,10 @@ class Band:
         value = _mix(value + _A)
         total = np.zeros(m, np.uint64)
         np.add.at(total, segment, value)
-        size = np.bincount(segment, minlength=m)
-        allowed = (np.arange(m) < self.ones).astype(np.int64)  # the first segments have allowance 1
-        light = (size <= self.light) if self.spare else np.zeros(m, bool)
-        keep = ~light if int((allowed[light] + 1).sum()) <= self.spare else np.ones(m, bool)
         place = np.arange(m, dtype=np.uint64) * _C + salt
-        parts = [_mix(total[keep] ^ _mix(place[keep]))]
+        parts = [_mix(total ^ _mix(place))]
         if self.ones:
-            near = (segment < self.ones) & keep[segment]
+            near = segment < self.ones  # the first segments have allowance 1
             at = segment[near]
             parts.append(_mix((total[at] - value[near]) ^ _mix(place[at])))
         return np.concatenate(parts)
@@ -227,33 +228,134 @@ def _profile(width: int):
     return run
 
 
-def _entries(width: int, plan: list[Band], bitmap: np.ndarray | None):
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(ordered)))
+
+
+def _pack(entries: np.ndarray, owners: np.ndarray, nodes: np.ndarray, in_bands: np.ndarray) -> bytes:
+    """Sorted entries as byte planes of their steps, owners as places in a table of the members that occur."""
+    members, places = np.unique(owners, return_inverse=True)
+    wide = len(members) > 0xFFFF
+    steps = np.diff(entries, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, : ENTRY_BITS // 8]
+    head = np.array([len(entries), len(members), wide], np.int64).tobytes()
+    return b"".join([head, steps.T.tobytes(), places.astype(np.uint32 if wide else np.uint16).tobytes(), nodes[members].tobytes(), in_bands[members].tobytes()])
+
+
+def _unpack(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entries, owners, nodes, bands)."""
+    k, n, wide = np.frombuffer(blob, np.int64, 3)
+    at, planes = 24, ENTRY_BITS // 8
+    steps = np.zeros((k, 8), np.uint8)
+    steps[:, :planes] = np.frombuffer(blob, np.uint8, k * planes, at).reshape(planes, k).T
+    at += k * planes
+    owners = np.frombuffer(blob, np.uint32 if wide else np.uint16, k, at).astype(np.int64)
+    at += k * (4 if wide else 2)
+    nodes = np.frombuffer(blob, np.uint8, 8 * n, at).view(np.int64)
+    return np.cumsum(steps.reshape(-1).view(np.uint64)), owners, nodes, np.frombuffer(blob, np.uint8, 2 * n, at + 8 * n).view(np.int16)
+
+
+def _index_entries(width: int, plan: list[Band], buckets: int):
+    """Texts to rows (bucket, known, blob) of packed entries; a blob is ``known`` if all its entries are crowded.
+
+    An entry that is crowded among the sets that a task holds sends no more than CROWD + 1 of them to its bucket
+    as such, so that the entries of a bucket stay few where very many sets share one.
+    """
     least = min((b.least for b in plan), default=1 << 60)
-    seen = set()  # of the task at hand: equal sets in one task have their entries made once
 
-    def run(texts):
-        found, nodes = [], []
-        for t in texts_of(texts):
-            s = shingle_set(t, width)
-            if len(s) < least:
-                continue
-            key = set_key(s)
-            if key in seen:
-                continue
-            seen.add(key)
-            for band in plan:
-                if band.least <= len(s) < band.high:
-                    e = band.entries(s)
-                    if bitmap is not None:
-                        e = e[in_bitmap(bitmap, e)]
-                    found.append(e), nodes.append(np.full(len(e), key, np.int64))
-        if not found:
-            return [[], []]
-        return [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))]
+    def send(found, nodes, in_bands, sizes):
+        entries = np.concatenate(found) >> U(64 - ENTRY_BITS)
+        owners = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(entries, kind="stable")
+        entries, owners = entries[order], owners[order]
+        nodes, in_bands = np.array(nodes, np.int64), np.array(in_bands, np.int16)
+        starts, lengths = _runs(entries)
+        rank = np.arange(len(entries)) - np.repeat(starts, lengths)
+        bucket = ((entries >> U(ENTRY_BITS - 24)).astype(np.int64) * buckets) >> 24
+        out = [], [], []
+        for known, part in ((False, rank <= CROWD), (True, rank > CROWD)):
+            e, o, b = entries[part], owners[part], bucket[part]
+            for start, length in zip(*_runs(b)):
+                out[0].append(b[start]), out[1].append(known), out[2].append(_pack(e[start : start + length], o[start : start + length], nodes, in_bands))
+        return out
+
+    def run(batches):
+        seen: set[int] = set()  # of the task at hand: equal sets in one task have their entries made once
+        found, nodes, in_bands, sizes, held = [], [], [], [], 0
+        for (texts,) in batches:
+            for t in texts_of(texts):
+                s = shingle_set(t, width)
+                if len(s) < least or (key := set_key(s)) in seen:
+                    continue
+                seen.add(key)
+                for band in plan:
+                    if band.least <= len(s) < band.high:
+                        e = band.entries(s)
+                        found.append(e), nodes.append(key), in_bands.append(band.index), sizes.append(len(e))
+                        held += len(e)
+                if held > HELD_ENTRIES:
+                    yield send(found, nodes, in_bands, sizes)
+                    found, nodes, in_bands, sizes, held = [], [], [], [], 0
+        if held:
+            yield send(found, nodes, in_bands, sizes)
 
     return run
 
 
+def _shared_entries(batches):
+    """Rows (crowded, band, a, b, n) of whole buckets: pairs of nodes a < b that share n uncrowded entries of the bucket,
+    or node a in the crowded entry b."""
+
+    def crowded_rows(entries, owners, nodes, in_bands):
+        return [[True] * len(entries), in_bands[owners], nodes[owners], entries.view(np.int64), np.ones(len(entries), np.int32)]
+
+    def close(parts):
+        if not parts:
+            return
+        offsets = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
+        entries = np.concatenate([p[0] for p in parts])
+        owners = np.concatenate([p[1] + o for p, o in zip(parts, offsets)])
+        nodes, in_bands = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        parts.clear()
+        order = np.lexsort((nodes[owners], entries))
+        entries, owners = entries[order], owners[order]
+        node = nodes[owners]
+        fresh = np.concatenate([[True], (entries[1:] != entries[:-1]) | (node[1:] != node[:-1])])  # equal sets of several tasks
+        entries, owners, node = entries[fresh], owners[fresh], node[fresh]
+        starts, lengths = _runs(entries)
+        crowd = np.repeat(lengths > CROWD, lengths)
+        if crowd.any():
+            yield crowded_rows(entries[crowd], owners[crowd], nodes, in_bands)
+        left, right = [], []
+        for c in range(2, CROWD + 1):  # members are in order of node, so left < right
+            at = starts[lengths == c]
+            if len(at):
+                i, j = np.triu_indices(c, 1)
+                left.append((at[:, None] + i).ravel()), right.append((at[:, None] + j).ravel())
+        if left:
+            left, right = np.concatenate(left), np.concatenate(right)
+            a, b, band = node[left], node[right], in_bands[owners[left]]
+            order = np.lexsort((b, a, band))
+            a, b, band = a[order], b[order], band[order]
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (band[1:] != band[:-1])]))
+            n = np.diff(np.append(starts, len(a))).astype(np.int32)
+            yield [[False] * len(starts), band[starts], a[starts], b[starts], n]
+
+    now, parts = None, []
+    for bucket, known, blobs in batches:
+        for b, k, blob in zip(bucket.to_pylist(), known.to_pylist(), blobs):
+            if b != now:
+                yield from close(parts)
+                now = b
+            got = _unpack(blob.as_buffer())
+            if k:
+                yield crowded_rows(*got)
+            else:
+                parts.append(got)
+    yield from close(parts)
+
+
 def _whole_sets(width: int, bitmap: np.ndarray):
     def run(hashes, texts):
         keep = np.flatnonzero(in_bitmap(bitmap, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
@@ -266,7 +368,8 @@ def _whole_sets(width: int, bitmap: np.ndarray):
 
 def _sets_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(node, shingles) for at least the needed nodes, each from one of its texts."""
-    wanted = bitmap_of(nodes.join(needed, "node", "left_semi").select(F.xxhash64("rep").alias("h")), "h")
+    reps = nodes.join(needed, "node", "left_semi").select(F.xxhash64("rep").alias("h"))
+    wanted = bitmap_of(reps, "h", bitmap_size(needed.count()))
     hashed = docs.select(F.xxhash64("doc_id").alias("h"), "text")
     return arrow_map(hashed, _whole_sets(width, wanted), "node long, shingles binary", "h", "text")
 
@@ -370,17 +473,46 @@ def _degrees(limit: Threshold):
     return run
 
 
+def in_blocks(rows: DataFrame, key: str, parts, columns: list[str]) -> DataFrame:
+    """Groups of rows as pairs of blocks (x, y) with the columns as arrays, so that a large group spreads over many tasks.
+
+    A row is in block ``pmod(hash of node, parts)`` of its group and goes to every pair of blocks that holds its own.
+    """
+    placed = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.groupBy(key, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("node", "block", *columns)).alias("m"))
+    return dealt.select("x", "y", *[F.col(f"m.{c}").alias(c) for c in ("node", "block", *columns)])
+
+
+def _across(members: DataFrame, marks: list[str], limit: Threshold) -> DataFrame:
+    """Distinct pairs (a, b) of members of one entry, of different roots, that sizes and sketches allow."""
+    per = members.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("k"))
+    dealt = in_blocks(members.join(per, "entry"), "entry", F.col("k"), ["root", "n", *marks])
+
+    def run(x, y, nodes, blocks, roots, n, *sketches):
+        left, right = [], []
+        for i, (low, high) in enumerate(zip(x.to_pylist(), y.to_pylist())):
+            node, block, root, size = (c[i].values.to_numpy() for c in (nodes, blocks, roots, n))
+            drawn = np.stack([c[i].values.to_numpy() for c in sketches], axis=1).view(np.uint64)
+            p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            total = size[p][:, None] + size[q]
+            most = total - 2 * -(-limit.num * total // (limit.num + limit.den))
+            apart = sum(np.bitwise_count(drawn[p][:, None, k] ^ drawn[q][None, :, k]).astype(np.int64) for k in range(SKETCH))
+            a, b = np.nonzero((root[p][:, None] != root[q]) & (apart <= most))
+            left.append(np.minimum(node[p][a], node[q][b])), right.append(np.maximum(node[p][a], node[q][b]))
+        return [np.concatenate(left), np.concatenate(right)] if left else [[], []]
+
+    return arrow_map(dealt, run, "a long, b long", *dealt.columns).distinct()
+
+
 def true_degrees(members: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """(node, links): the rows with other sets that each node links with, for (node, root, n, copies) of whole components.
 
     A component is cut into blocks, and each two blocks are compared by one row, so a large one spreads over many tasks.
     """
     per = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("size")).filter("k > 1")
-    per = per.select("root", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_SHINGLES)).alias("parts"))
-    placed = members.join(per, "root").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "parts"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.groupBy("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("node", "block", "copies", "shingles")).alias("m"))
-    dealt = dealt.select("x", "y", *[F.col(f"m.{c}").alias(c) for c in ("node", "block", "copies", "shingles")])
+    per = per.select("root", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_SHINGLES)).alias("per_root"))
+    dealt = in_blocks(members.join(per, "root").join(sets, "node"), "root", F.col("per_root"), ["copies", "shingles"])
     return arrow_map(dealt, _degrees(limit), "node long, links long", *dealt.columns).groupBy("node").agg(F.sum("links").alias("links"))
 
 
@@ -399,7 +531,10 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     bounds = bands(limit, {}, largest)
     in_band = [F.struct(F.count_if((F.col("n") >= b.least) & (F.col("n") < b.high)), F.coalesce(F.sum(F.when((F.col("n") >= b.least) & (F.col("n") < b.high), F.col("n"))), F.lit(0))) for b in bounds]
     counted = nodes.agg(*in_band).first() if bounds else ()
-    plan = bands(limit, {i: tuple(c) for i, c in enumerate(counted)}, largest)
+    counted = {i: tuple(c) for i, c in enumerate(counted)}
+    plan = bands(limit, counted, largest)
+    if not plan:
+        return profile, nodes, nodes.select("node", F.col("node").alias("root")).limit(0)
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) that their sizes and sketches allow."""
@@ -420,18 +555,32 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
 
         return arrow_map(both, run, "a long, b long", "a", "b", "n_a", "n_b", "wide_a", "wide_b")
 
-    # Entries with their extremes: with two members that is their pair, with more the rest is tied to the least.
-    entries = arrow_map(docs, _entries(width, plan, None), "entry long, node long", "text")
-    shared = materialise(entries.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("c")).filter("a < b"))
-    crowded = shared.filter("c > 2")
-    again = arrow_map(docs, _entries(width, plan, bitmap_of(crowded, "entry")), "entry long, node long", "text")
-    members = materialise(again.join(crowded.select("entry", "a"), "entry").groupBy("entry", "node").agg(F.first("a").alias("a")))
-    stars = materialise(possible(shared.select("a", "b").union(members.filter("a < node").select("a", "node"))))
+    # The index: packed entries, whole buckets at a time.
+    total = sum(counted.get(band.index, (0, 0))[0] * (band.zeros + band.ones) + (counted.get(band.index, (0, 0))[1] if band.ones else 0) for band in plan)
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, total // BUCKET_ENTRIES + 1)
+    packed = arrow_stream(docs, _index_entries(width, plan, buckets), "bucket int, known boolean, blob binary", "text")
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    shared = materialise(arrow_stream(dealt, _shared_entries, "crowded boolean, band smallint, a long, b long, n int", "bucket", "known", "blob"))
+
+    spare = F.element_at(F.array(*[F.lit(band.spare) for band in plan]), F.col("band") + 1)
+    crowds = shared.filter("crowded").select("band", F.col("a").alias("node"), F.col("b").alias("entry")).distinct()
+    per_node = materialise(crowds.groupBy("band", "node").agg(F.count("*").alias("crowds")))
+    met = shared.filter("not crowded").groupBy("band", "a", "b").agg(F.sum("n").alias("n"))
+    met = met.join(per_node.select("band", F.col("node").alias("a"), F.col("crowds").alias("x")), ["band", "a"], "left")
+    met = met.join(per_node.select("band", F.col("node").alias("b"), F.col("crowds").alias("y")), ["band", "b"], "left")
+    met = met.filter(F.col("n") > spare - F.least(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0)))).select("a", "b")
+    beyond = per_node.filter(F.col("crowds") > spare).withColumn("kept", F.col("crowds") - spare)
+    place = F.row_number().over(Window.partitionBy("band", "node").orderBy("entry"))
+    kept = crowds.join(beyond, ["band", "node"]).withColumn("place", place).filter("place <= kept").select("entry", "node")
+    members = materialise(kept.join(kept.groupBy("entry").agg(F.min("node").alias("hub"), F.count("*").alias("c")).filter("c > 1"), "entry").select("entry", "node", "hub"))
+    tied = members.filter("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    stars = materialise(possible(met.union(tied)))
+    discard(shared, per_node)
     links = materialise(_verified(stars, _sets_of(ends_of(stars), nodes, docs, width), limit))
     roots = components(links)
 
-    # Entries that still hold several components: while their pairs are many, one member of each entry, the same one
-    # for entries that share it, is tried with all others, which merges most; then all pairs across components follow.
+    # Kept entries that still hold several components: while their pairs are many, one member of each entry, the same
+    # one for entries that share it, is tried with all others, which merges most; then blocks of members are compared.
     tried = stars
     for turn in range(HUB_TURNS + 1):
         placed = members.select("entry", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -446,12 +595,7 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
             pairs = possible(open_.join(hub, "entry").filter("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
         else:
             turn = HUB_TURNS
-            facts = open_.join(nodes.drop("rep", "wide"), "node")
-            left = facts.select("entry", *[F.col(c).alias(f"{c}_l") for c in ["node", "root", "n", *marks]])
-            right = facts.select("entry", *[F.col(c).alias(f"{c}_r") for c in ["node", "root", "n", *marks]])
-            pairs = left.join(right, (left["entry"] == right["entry"]) & (F.col("root_l") < F.col("root_r")) & _may_pass(marks, num, den))
-            pairs = pairs.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
-            pairs = widely_possible(pairs)
+            pairs = widely_possible(_across(open_.select("entry", "node", "root").join(nodes.drop("rep", "wide", "copies"), "node"), marks, limit))
         rest = materialise(pairs.join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             found = materialise(_verified(rest, _sets_of(ends_of(rest), nodes, docs, width), limit))
