@@ -42,10 +42,13 @@ BASE_SEGMENT, BASE_UNIT = 64, 8
 #: Rounds of the toxic dictionary, and the share of ordinary windows that a chosen window must exceed.
 ROUNDS, BEYOND = 3, 0.99
 EDGES = ".,;:!?#*$%&|<>\"'()[]"
-HEAD, TAIL = bytes(range(128, 160)), bytes(range(192, 208))
-#: (difference, residue): a window counts when at least the one and at most the other.
-THRESHOLDS = tuple((d, r) for d in (1, 2, 3, 4, 5) for r in (3, 4, 5))
-#: Window lengths kept in a worker; beyond that the store starts anew. Workers outlive a task, so one model is kept.
+HEAD, TAIL = bytes(range(128, 152)), bytes(range(192, 204))
+#: (difference, residue): a window counts when at least the one and at most the other; beyond the largest residue, where
+#: the toxic side found little, the difference is taken as 0.
+THRESHOLDS = tuple((d, r) for d in (1, 2, 3, 4, 5) for r in (1, 2, 3, 4))
+MOST_RESIDUE = max(r for _, r in THRESHOLDS)
+#: Windows kept in a worker; beyond that a new store starts and the one before serves it. Workers outlive a task, so one
+#: model is kept.
 KEPT_WINDOWS = 100_000
 
 _words = re.compile(WORD).findall
@@ -100,41 +103,51 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], base_bytes: int, p
 
 
 class Distances:
-    """Window lengths under pairs of dictionaries, kept per window."""
+    """Window lengths under pairs of dictionaries. A window is kept as the number of its row of differences and residues."""
 
     def __init__(self, pairs: list[tuple[bytes, bytes]]):
         self.sides = [(_compressor(toxic), _compressor(ordinary)) for toxic, ordinary in pairs]
         self.floors = [len(toxic(HEAD + b" " + TAIL)) for toxic, _ in self.sides]
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.known: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.kept: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.rows = np.zeros((0, 2 * len(pairs)), np.int32)
+        self.marks = np.zeros((0, len(pairs) * len(THRESHOLDS)), np.int32)
 
     def _of(self, word: str) -> tuple[int, ...]:
         x, out = HEAD + f" {word} ".encode() + TAIL, []
         for (toxic, ordinary), floor in zip(self.sides, self.floors):
             n = len(toxic(x))
-            out += [len(ordinary(x)) - n, n - floor]
+            out += [len(ordinary(x)) - n, n - floor] if n - floor <= MOST_RESIDUE else [0, n - floor]
         return tuple(out)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """Rows of difference and residue, by pair."""
+    def _numbers_of(self, words: list[str]) -> list[int]:
         if len(self.kept) > KEPT_WINDOWS:
-            self.kept, self.known = {}, {}
-        kept, at = self.kept, []
+            self.kept, self.older = {}, self.kept
+        kept, older, numbers = self.kept, self.older, self.numbers
         for w in words:
-            row = kept.get(w)
-            if row is None:
-                row = self._of(w)
-                row = kept[w] = self.known.setdefault(row, row)  # equal rows share one object
-            at.append(row)
-        return np.array(at or [(0, 99) * len(self.sides)], np.int32)
+            if w not in kept:
+                at = older.get(w)
+                if at is None:
+                    row = self._of(w)
+                    at = numbers.setdefault(row, len(numbers))
+                kept[w] = at
+        if len(numbers) > len(self.rows):
+            self.rows = np.array(list(numbers), np.int32)
+            self.marks = np.hstack([(self.rows[:, k, None] >= [d for d, _ in THRESHOLDS]) & (self.rows[:, k + 1, None] <= [r for _, r in THRESHOLDS]) for k in range(0, self.rows.shape[1], 2)]).astype(np.int32)
+        return [kept[w] for w in words]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Rows of difference and residue, by pair."""
+        at = self._numbers_of(words)
+        return self.rows[at]
 
     def features(self, words: list[str]) -> np.ndarray:
-        v, out = self.of(words), [len(words)]
-        for k in range(0, v.shape[1], 2):
-            d, r = v[:, k], v[:, k + 1]
-            counts = [int(((d >= x) & (r <= y)).sum()) for x, y in THRESHOLDS]
-            out += [*counts, *[c / len(d) for c in counts], int(d.max())]
-        return np.array(out, float)
+        at = self._numbers_of(words)
+        if not at:
+            return np.zeros(1 + len(self.sides) * (1 + 2 * len(THRESHOLDS)))
+        counts = self.marks[at].sum(axis=0)
+        return np.concatenate([[len(at)], counts, counts / len(at), self.rows[at, ::2].max(axis=0)])
 
 
 class ToxicityModel:
