@@ -6,28 +6,26 @@ digest with its length, and likeness is the shared length over the smaller of tw
 
 Defined cases: null and empty texts have the empty fingerprint, alike (1) to each other and unlike (0) to any
 other; equal texts have equal fingerprints; a document alone is its own next document; rows with one ``doc_id``
-follow one another by text; a null ``doc_id`` comes last; an empty table gives an empty result.
+follow one another by the md5 of their texts, alike ones in any order; a null ``doc_id`` comes last; an empty table gives
+an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from ._common import ship, table
+from ._common import arrow_stream, bounded_batches, materialise, table
 
 LEAST, NORMAL, MOST = 16, 48, 256
 STRICT, LOOSE = np.uint32(0x7F << 25), np.uint32(0x1F << 27)
 GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Rows to a range of the next-document step, by the mean text length.
-RANGE_BYTES = 16_000_000
+#: Characters of a range of the next-document step, on average, and the most ranges: beyond that they hold more.
+RANGE_BYTES, MOST_RANGES = 16_000_000, 200_000
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -93,38 +91,60 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def range_of(cuts: np.ndarray, parts_of_null: int):
+    """A pandas UDF from (doc_id, digest) to the number of a range.
+
+    ``cuts`` are sorted; an id that occurs in them k times has k ranges, by the digest from 0 to 2 ** 32. The ids below the
+    first cut have range 0, those from a cut on the range after it, null ids the last ``parts_of_null`` ones.
+    """
+    first, last = np.searchsorted(cuts, cuts, "left"), np.searchsorted(cuts, cuts, "right")
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        null, share = ids.isna().to_numpy(), digests.to_numpy(dtype=np.float64) / 2**32
+        keys = ids.fillna(0).to_numpy(dtype=np.int64)
+        place = np.searchsorted(cuts, keys, "right")
+        if len(cuts):
+            at = np.maximum(place - 1, 0)
+            hot = cuts[at] == keys
+            place = np.where(hot, first[at] + 1 + (share * (last[at] - first[at])).astype(np.int64), place)
+        return pd.Series(np.where(null, len(cuts) + 1 + (share * parts_of_null).astype(np.int64), place).astype(np.int32))
+
+    return number
+
+
 def with_next(docs: DataFrame, fn, schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Apply ``fn(doc_id, text, next text)`` to every document in ascending order of ``doc_id``, round the end.
+    """Apply ``fn(doc_id, text, next text, state)`` to every document in ascending order of ``doc_id``, round the end.
 
     Rows are dealt once into ranges of ids of about equal counts; the first document of each range is sent to the
-    range before it as well. The driver holds only the bounds of the ranges.
+    range before it as well. An id with many rows, null included, gets several ranges by text. The driver holds no more
+    than the bounds of the ranges; the first documents are a table that the plan joins, so no term of it grows.
     """
-    spark = ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    ranges = max(1, min(n, size // range_bytes + 1))
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    cuts = [int(c) for c in cuts]
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(sum(((F.col("doc_id") >= c).cast("int") for c in cuts), F.lit(0)))
-    docs = docs.withColumn("bucket", bucket)
-    # The least (doc_id, text digest) of each range is the document that the range before it ends on.
-    order = F.struct(F.col("doc_id").alias("i"), F.md5(F.coalesce("text", F.lit(""))).alias("m"))
-    firsts = sorted((r["bucket"], r["first"]["i"], r["first"]["m"]) for r in docs.groupBy("bucket").agg(F.min(order).alias("first")).collect())
-    targets = {(i, m): firsts[k - 1][0] for k, (_, i, m) in enumerate(firsts)}
-    home = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    visit = F.lit(None).cast("int")
-    for (i, m), to in targets.items():
-        visit = F.when(F.col("doc_id").eqNullSafe(F.lit(i)) & (F.md5(F.coalesce("text", F.lit(""))) == m), F.lit(to)).otherwise(visit)
-    places = F.array_compact(F.array(home, F.when(visit.isNotNull(), F.struct(visit.alias("bucket"), F.lit(True).alias("guest")))))
-    dealt = docs.withColumn("place", F.explode(places)).select("doc_id", "text", "place.bucket", "place.guest")
-    dealt = dealt.repartition(max(1, len(firsts)), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_last(), F.md5(F.coalesce("text", F.lit(""))))
-    kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    n, nulls, size = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    ranges = max(1, min(n, size // range_bytes + 1, MOST_RANGES))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = np.array(sorted(int(c) for c in docs.stat.approxQuantile("doc_id", shares, 0.2 / ranges)) if shares and n > nulls else [], np.int64)
+    number = range_of(cuts, max(1, round(ranges * nulls / max(1, n))))
+    docs = docs.withColumn("bucket", number("doc_id", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")))
+    # The least (doc_id, digest) of each range is the document that the range before it ends on; one row a range.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    firsts = materialise(docs.drop("text").groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", "first.doc_id", "first.digest"))
+    before = F.lag("bucket").over(Window.orderBy("bucket"))
+    last = firsts.agg(F.max("bucket")).first()[0]
+    to = firsts.select(F.col("doc_id").alias("first_id"), F.col("digest").alias("first_digest"), F.coalesce(before, F.lit(last)).alias("to"))
+    marked = docs.join(F.broadcast(to), docs["doc_id"].eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")), "left")
+    home, visit = F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("guest"))
+    places = F.when(F.col("to").isNull(), F.array(home)).otherwise(F.array(home, visit))
+    dealt = marked.withColumn("place", F.explode(places)).select("doc_id", "text", "digest", "place.bucket", "place.guest")
+    dealt = dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_last(), "digest")
+
+    def body(batches):
         held, state, seen = None, {}, None
-        for batch in batches:
+        for columns in batches:
             rows = []
-            for i, t, b, guest in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, t, b, guest in zip(*(c.to_pylist() for c in columns)):
                 if held is not None and held[2] == b:
                     rows.append(fn(held[0], held[1], t or "", state))
                 if b != seen:
@@ -133,10 +153,11 @@ def with_next(docs: DataFrame, fn, schema: str, range_bytes: int = RANGE_BYTES)
                     held, seen = (i, t or "", b), b
                 else:  # copies of the first document may come as guests too: one is enough
                     held = None
-            columns = zip(*rows) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k.type) for c, k in zip(columns, kinds)], names=[k.name for k in kinds])
+            if rows:
+                yield list(map(list, zip(*rows)))
 
-    return dealt.mapInArrow(body, schema)
+    body.__module__ = fn.__module__
+    return arrow_stream(dealt, body, schema, "doc_id", "text", "bucket", "guest")
 
 
 def _fingerprint_row(doc_id, text: str, following: str, state: dict) -> tuple:
