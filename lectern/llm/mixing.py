@@ -2,11 +2,11 @@
 
 Words are summed per source, every source gets a target, ``rate = target / source size``, and a document is
 emitted ``floor(rate)`` times plus once more when a hash-seeded Bernoulli draw of probability ``rate - floor(rate)``
-succeeds.
+succeeds. The draw is the md5 of the seed and ``doc_id``: one draw a document, the same in every run.
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; a source of
-size 0 has target and rate 0; repeated rows (same ``doc_id``) draw alike; an empty table gives an empty result;
-extra input columns are kept, and an input column with the name of an added one is replaced.
+size 0 has target and rate 0; repeated rows (same ``doc_id``) draw alike; an empty table gives an empty result; ``mix``
+returns the input's columns, whatever their names; ``mix_plan`` adds columns to them and replaces those of their names.
 """
 
 from __future__ import annotations
@@ -19,15 +19,8 @@ from ._common import materialise, table, word_count
 #: Above so many sources the targets reach documents by a salted shuffle join and not by broadcast.
 BROADCAST_SOURCES = 50_000
 SALTS = 64
-#: Rotations of the hash that each source may choose from.
-DRAWS = 32
-#: 2 ** 32 and the golden-ratio step between two rotations.
-SPAN, STEP = 4294967296, 2654435761
-
-
-def _drawn(k):
-    """The k-th rotation of a document's hash, as a number from 0 up to 1."""
-    return ((F.col("_hash") + k * STEP) % SPAN) / F.lit(float(SPAN))
+SEED, SPAN = "mix", 4294967296
+ADDED = ("size", "source_size", "target", "rate", "copies")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -58,44 +51,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return ranked.withColumn("target", F.least(F.col("source_size") * F.lit(float(cap)), F.lit(level) * F.col("weight")))
 
 
-def _with_source(docs: DataFrame, per_source: DataFrame, n_sources: int) -> DataFrame:
+def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Join on a null-safe source: broadcast when the sources were counted to be few, else salted against hot sources."""
-    docs = docs.withColumn("_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
-    per_source = per_source.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("_key"), *[c for c in per_source.columns if c != "source"])
-    if n_sources <= BROADCAST_SOURCES:
-        return docs.join(F.broadcast(per_source), "_key").drop("_key")
-    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    docs = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return docs.join(salted, ["_key", "_salt"]).drop("_key", "_salt")
+    key = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("key")
+    targets = targets.select(key, "source_size", "target", "rate")
+    rows = rows.select(key, "row", "size", "draw")
+    if targets.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(targets), "key")
+    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """(row, size, source_size, target, rate, copies), with each document as a struct, so that no column names clash."""
+    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    targets = materialise(source_targets(sizes, weights, share, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
+    digest = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(SPAN))
+    rows = docs.select("source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(F.col("text")).alias("size"), draw.alias("draw"))
+    extra = (F.col("draw") < F.col("rate") - F.floor("rate")).cast("int")
+    return _with_targets(rows, targets).withColumn("copies", (F.floor("rate") + extra).cast("int")).select("row", *ADDED)
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The documents with ``size, source_size, target, rate, copies``.
-
-    Each source takes the rotation of the hash whose total comes nearest to its target, so that few or long
-    documents do not leave the total to luck; every rotation is a fair draw by itself.
-    """
-    added = ["size", "source_size", "target", "rate", "copies"]
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    slim = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialise(source_targets(sizes, weights, share, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    n_sources = targets.count()
-    hashed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    fraction = F.col("rate") - F.floor("rate")
-    trial = _with_source(slim, targets, n_sources).withColumn("_hash", hashed)
-    sums = trial.groupBy("source").agg(*[F.sum(F.when(_drawn(k) < fraction, F.col("size")).otherwise(0)).alias(f"_d{k}") for k in range(DRAWS)], F.first("target").alias("target"), F.first("rate").alias("rate"), F.first("source_size").alias("source_size"))
-    off = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"_d{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)]
-    chosen = materialise(sums.select("source", "source_size", "target", "rate", F.array_min(F.array(*off))["k"].alias("_draw")))
-    out = _with_source(docs.drop(*added), chosen, n_sources).withColumn("size", word_count(F.col("text"))).withColumn("_hash", hashed)
-    lucky = (_drawn(F.col("_draw")) < fraction).cast("int")
-    return out.withColumn("copies", (F.floor("rate") + lucky).cast("int")).select(*[c for c in docs.columns if c not in added], *added)
+    """The documents with ``size, source_size, target, rate, copies``."""
+    return _planned(docs, weights, share, cap).select(*[f"row.`{c}`" for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mixed corpus: each document ``copies`` times, with the columns of ``docs``."""
-    planned = mix_plan(docs, weights, share, cap).filter("copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    planned = _planned(docs, weights, share, cap).filter("copies > 0")
+    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -106,7 +92,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)), 1, 8))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
@@ -120,13 +106,8 @@ l AS (SELECT (total - held) / open_weight AS level FROM c WHERE (total - held) /
 t AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size::DOUBLE, coalesce((SELECT level FROM l), 1e300) * weight::DOUBLE) AS target FROM r),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate FROM t),
-x AS (SELECT d.*, q.source_size, q.target, q.rate, rate - floor(rate) AS fraction FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-k AS (SELECT unnest(range({DRAWS}))::BIGINT AS k),
-v AS (
-  SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN ((h + k * {STEP}) % {SPAN})::DOUBLE / {SPAN}.0::DOUBLE < fraction THEN size ELSE 0 END)::DOUBLE - any_value(target)) AS off
-  FROM x, k GROUP BY source, k),
-b AS (SELECT source, k FROM v QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
+x AS (SELECT d.*, q.source_size, q.target, q.rate, rate - floor(rate) AS fraction FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT x.doc_id, x.size, x.source_size, x.target,
-       (x.size * (floor(rate) + CASE WHEN ((h + b.k * {STEP}) % {SPAN})::DOUBLE / {SPAN}.0::DOUBLE < fraction THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
+       (x.size * (floor(rate) + CASE WHEN h::DOUBLE / {SPAN}.0::DOUBLE < fraction THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM x
 """
