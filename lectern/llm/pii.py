@@ -9,7 +9,8 @@ The trees learn from invented lines (``training_lines``) because no table labels
 is a parameter.
 
 Defined cases: null and empty texts have no spans; offsets are code points, end exclusive; all scans are linear in
-the text, however long; repeated rows give repeated results; an empty table gives an empty result.
+the text, however long; repeated rows give repeated results; an empty table gives an empty result; extra columns are
+kept by ``redact_documents`` and ignored by ``detect_pii``, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         groups = [m.span() for m in _PART.finditer(text, run.start(), run.end())]
         for i, (start, end) in enumerate(groups):
             count = 0
-            for j in range(i, min(i + 7, len(groups))):
+            for j in range(i, len(groups)):  # a group has a digit, so 19 digits end it
                 if j > i and (groups[j][0] - groups[j - 1][1] != 1 or text[groups[j - 1][1]] not in " -"):
                     break
                 count += groups[j][1] - groups[j][0]
@@ -109,10 +110,12 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         parts = [p.span() for p in _PART.finditer(text, *m.span())]
         if len(parts) > 4:
             found.update((1, parts[i][0], parts[i + 3][1]) for i in range(len(parts) - 3) if all(_small(text[a:b]) for a, b in parts[i : i + 4]))
+    behind = 0  # each character is looked at once
     for m in _SPELLED.finditer(text):
         start, host = m.start(), _SPELLED_HOST.match(text, m.end())
-        while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+        while start > behind and text[start - 1] in _LOCAL:
             start -= 1
+        behind = m.end()
         if host and start < m.start():
             found.add((0, start, host.end()))
     return sorted(found)
@@ -133,6 +136,7 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
         s.startswith("+"), "(" in s, luhn(digits) if kind == 2 else 0, len(set(digits)),
         _side(before[-1:] or " "), _side(after[:1] or " "), _side(before[-2:-1] or " "), _side(after[1:2] or " "),
         bool(_GOOD.search(before)), bool(_BAD.search(before)), before.endswith("."), after.startswith("."), "dot" in s.lower(),
+        max((int(p) for p in s.split(".")), default=0) if kind == 1 else 0, kind == 0 and s[-2:].isalpha(),
     ]
 
 
@@ -150,12 +154,22 @@ def training_lines(n: int, seed: int = 7) -> list[tuple[str, set[tuple[int, int,
         sep = pick("", "", " ", "-")
         return sep.join(number[i : i + 4] for i in range(0, 16, 4))
 
+    def name() -> str:
+        return pick("ann", "jo.li", "k7", "mail", "post", "info", "max_m", "sales-eu", "r2d2") + pick("", "", digit(1))
+
+    def address() -> str:
+        first = pick("10", "192.168", "172.16", f"{int(rng.integers(20, 255))}.{int(rng.integers(20, 255))}")
+        rest = 4 - first.count(".") - 1
+        return ".".join([first, *(str(int(x)) for x in rng.integers(0, 255, rest))])
+
     makers = [
         (2, lambda: card(True)), (None, lambda: card(False)), (None, lambda: digit(int(rng.integers(7, 24)))),
         (3, lambda: f"+{pick('1', '7', '44', '49')} ({digit(3)}) {digit(3)}-{digit(4)}"), (3, lambda: f"({digit(3)}) {digit(3)}-{digit(4)}"),
         (3, lambda: f"{digit(3)}-{digit(3)}-{digit(4)}"), (None, lambda: f"20{digit(2)}-{digit(2)}-{digit(2)} {digit(2)} {digit(4)}"),
         (None, lambda: ".".join(str(int(x)) for x in rng.integers(0, 40, int(rng.integers(5, 8))))), (None, lambda: digit(10)),
-        (0, lambda: f"{pick('ann', 'jo.li', 'k7')} [at] {pick('mail', 'post')} [dot] {pick('com', 'org')}"), (None, lambda: f"{digit(1)}.{digit(2)} - {digit(3)} ({digit(4)})"),
+        (0, lambda: f"{name()} [at] {name()} [dot] {pick('com', 'org', 'net', 'de')}"), (0, lambda: f"{name()}(at){name()}.{pick('com', 'org', 'fr')}"),
+        (None, lambda: f"{name()} (at) {digit(2)}.{digit(2)}"), (None, lambda: f"{name()} [at] {name()}.{digit(3)}"),
+        (1, lambda: f"{256 + int(rng.integers(0, 9000))}.{address()}"), (None, lambda: f"{256 + int(rng.integers(0, 9000))}." + ".".join(str(int(x)) for x in rng.integers(0, 20, int(rng.integers(4, 7))))), (None, lambda: f"{digit(1)}.{digit(2)} - {digit(3)} ({digit(4)})"),
     ]
     words = "the of and la le der die on in en thing tion über para that with".split()
     out = []
@@ -163,11 +177,12 @@ def training_lines(n: int, seed: int = 7) -> list[tuple[str, set[tuple[int, int,
         text, spans = " ".join(rng.choice(words, 4)), set()
         for _ in range(int(rng.integers(1, 4))):
             kind, make = makers[rng.integers(len(makers))]
-            lead = pick("", "", "", "tel: ", "card ", "call ") if kind is not None else pick("", "", "order ", "ref ", "no. ", "version ")
+            lead = pick("", "", "", *{0: ("mail ", "contact "), 1: ("host ", "ip "), 2: ("card ", "pay "), 3: ("tel: ", "call ")}[kind]) if kind is not None else pick("", "", "order ", "ref ", "no. ", "version ")
             text += " " + lead
             item = make()
             if kind is not None:
-                spans.add((kind, len(text), len(text) + len(item)))
+                own = item.partition(".")[2] if kind == 1 else item  # an address glued to a number that is none of its parts
+                spans.add((kind, len(text) + len(item) - len(own), len(text) + len(item)))
             text += item
             if rng.random() < 0.5:
                 text += pick(" ", ", ", ". ") + " ".join(rng.choice(words, 2))
