@@ -5,7 +5,7 @@ pair by pair, the leftmost pair of least rank first. A segment tree over the byt
 root, so each merge costs a logarithmic number of point updates on the live neighbours, however long the piece is.
 
 Defined cases: null and empty texts give no ids and empty bytes; lone surrogates cannot occur in Spark strings;
-repeated rows give repeated results; an empty table gives an empty result.
+repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -637,15 +637,16 @@ def drop_near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> Dat
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "rows")).alias("k")
     kept = materialise(alike.groupBy("root").agg(first).select("k.doc_id", "k.text_hash", "k.rows"))
     wordless = profile.filter("node is null").select("doc_id", "text_hash").distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    # Each document is one struct, so that no column names clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
 
     def of(keys: DataFrame) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-        return hashed.join(keys, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
+        keys = keys.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+        return packed.join(keys, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
 
     single = of(kept.filter("rows = 1").select("doc_id", "text_hash").union(wordless))
-    repeated = of(kept.filter("rows > 1")).dropDuplicates(["doc_id", "_text_hash"])
-    return single.unionByName(repeated).drop("_text_hash")
+    repeated = of(kept.filter("rows > 1")).dropDuplicates(["id", "hash"])
+    return single.unionByName(repeated).select("row.*")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

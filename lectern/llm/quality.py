@@ -4,8 +4,11 @@ Each rule votes good (1), bad (0) or abstains on a document. Expectation-maximis
 patterns, at most 3 ** 6 of them and taken over all documents, estimates each rule's accuracy and the share of good
 documents; the posterior probability of good replaces "all rules must pass".
 
-Defined cases: a null or empty text has no words and fails the base; repeated rows give repeated results; an empty
-table gives an empty result.
+The share of good documents is a prior between ``LEAST_GOOD`` and ``MOST_GOOD``: outside, the expectation-maximisation may
+call one class empty, and the posterior then says nothing. No document is dropped by it.
+
+Defined cases: a null or empty text has no words and fails the base; repeated rows and ties give repeated results; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ _WORDS = re.compile(WORD).findall
 SYMBOLS = "#*$%&|<>"
 RULES = ("length", "symbols", "duplicate_lines", "repeated_words", "word_length", "letters")
 ABSTAIN = 2
+LEAST_GOOD, MOST_GOOD = 0.5, 0.98
 
 
 def measures(text: str) -> tuple[int, int, int, int, int, int]:
@@ -79,7 +83,7 @@ def learn(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float,
         good = posterior(v, share, table_)
         seen = np.stack([((1 - good) * n) @ one_hot.reshape(len(v), -1), (good * n) @ one_hot.reshape(len(v), -1)]).reshape(2, len(RULES), 3)
         table_ = (seen + prior) / (seen + prior).sum(axis=2, keepdims=True)
-        share = float(np.clip((good * n).sum() / n.sum(), 0.5, 0.98))
+        share = float(np.clip((good * n).sum() / n.sum(), LEAST_GOOD, MOST_GOOD))
     return share, table_
 
 
