@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +16,27 @@ SIZE, OVERLAP = 1600, 150
 
 
 def cut(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of at most ``size`` characters that end on the last line break, else space, of their second half."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            half = start + size // 2
-            at = text.rfind("\n", half, end)
-            at = at if at >= 0 else text.rfind(" ", half, end)
-            end = at if at >= 0 else end
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    """Chunks of the stripped text, of at most ``size`` characters each, ``overlap`` of them shared with the chunk before.
+
+    A chunk that is not the last ends on the last line break of its second half, else on the last space there. All break
+    positions are listed once; each chunk looks its end up in the two lists.
+    """
+    text = text.strip()
+    breaks = [[m.start() for m in re.finditer(c, text)] for c in ("\n", " ")]
+
+    def end_of(start: int) -> int:
+        for places in breaks:
+            i = bisect_left(places, start + size) - 1
+            if i >= 0 and places[i] >= start + size // 2:
+                return places[i]
+        return start + size
+
+    spans, start = [], 0
+    while len(text) - start > size:
+        spans.append((start, end_of(start)))
+        start = max(spans[-1][1] - overlap, start + 1)
+    spans.append((start, len(text)))
+    return [piece for a, b in spans if (piece := text[a:b].strip())]
 
 
 def chunk(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

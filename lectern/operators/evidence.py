@@ -47,6 +47,6 @@ def requires_review(conclusions: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def residual_text(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Findings (doc_id, text) whose text, white space off and folded, is still in their document."""
+    """Findings (doc_id, text) whose text, white space off and folded, has three characters or more and is still in their document."""
     bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    return findings.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").filter((bare(F.col("text")) != "") & F.contains(bare(F.col("_text")), bare(F.col("text")))).drop("_text")
+    return findings.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").filter((F.length(bare(F.col("text"))) >= 3) & F.contains(bare(F.col("_text")), bare(F.col("text")))).drop("_text")

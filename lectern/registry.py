@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -31,13 +32,14 @@ _COUNT = "len(regexp_extract_all(coalesce({0}, ''), '{1}'))::BIGINT"
 _SEEN = r"regexp_replace(text, '\s', '', 'g')"
 _N_ALNUM, _N_SUSPICIOUS, _N_TOKENS = _COUNT.format(_SEEN, r"[\p{L}\p{N}]"), _COUNT.format(_SEEN, r"[\p{Cc}\x{FFFD}]"), _COUNT.format("text", r"[\p{L}\p{Nl}\p{No}]+")
 _N_MIXED = r"len(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nl}\p{No}]+'), lambda t: regexp_matches(t, '\p{Cyrillic}') AND regexp_matches(t, '\p{Latin}')))::BIGINT"
-_PROFILE = f"p AS (SELECT doc_id, source, {_N_ALNUM} AS a, coalesce(length({_SEEN}), 0)::BIGINT AS v, {_N_SUSPICIOUS} AS s, {_N_TOKENS} AS t, {_N_MIXED} AS m FROM documents)"
-_SIGNAL = "(a >= 30 AND v > 0)"  # the replacement characters of the signal rule are among the suspicious ones; none occur here
+_PROFILE = f"p AS (SELECT doc_id, source, {_N_ALNUM} AS a, coalesce(length({_SEEN}), 0)::BIGINT AS v, {_N_SUSPICIOUS} AS s, {_COUNT.format(_SEEN, "[\\x{FFFD}\\x00]")} AS r, {_N_TOKENS} AS t, {_N_MIXED} AS m FROM documents)"
+_SIGNAL = "(a >= 30 AND v > 0 AND r / v < 0.1)"
 
 #: The chunker as a recursive query.
 _CHUNKS = r"""
   w AS (
-    SELECT doc_id, lang, text, length(text) AS n, 0 AS start, least(1600, length(text)) AS stop, 0 AS i FROM documents WHERE length(text) > 0
+    SELECT doc_id, lang, text, length(text) AS n, 0 AS start, least(1600, length(text)) AS stop, 0 AS i
+    FROM (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents) WHERE length(text) > 0
     UNION ALL
     SELECT doc_id, lang, text, n, greatest(cut - 150, start + 1), least(greatest(cut - 150, start + 1) + 1600, n), i + 1
     FROM (
@@ -177,33 +179,6 @@ def bm25_topk(spark, read):
     return retrieval.top_chunks(retrieval.bm25(_chunks(read), _questions(spark)))
 
 
-_COSINE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-  z AS (SELECT a.vec_id AS question_id, b.vec_id AS item, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id IN (0, 20, 40, 60) AND a.vec_id <> b.vec_id)"""
-
-
-def _similar(read):
-    e = read("embeddings").select("vec_id", "embedding")
-    few = F.broadcast(e.filter(F.col("vec_id").isin(0, 20, 40, 60)).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q")))  # four stated queries
-    pairs = e.join(few, F.col("vec_id") != F.col("question_id"))
-    return pairs.select("question_id", F.col("vec_id").alias("item"), F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-
-
-@query(f"WITH {_COSINE} SELECT question_id, item, score FROM z QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) <= 5")
-def cosine_topk(spark, read):
-    ranked = retrieval.top_chunks(_similar(read).select("question_id", F.lit(0).alias("doc_id"), F.col("item").alias("chunk_index"), "score"))
-    return ranked.select("question_id", F.col("chunk_index").alias("item"), "score")
-
-
-@query(f"""WITH {_COSINE}, y AS (SELECT z.question_id, item, (label + 0.0)::DOUBLE - 1 AS score FROM z JOIN embeddings ON vec_id = item),
-  ra AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) AS r FROM z),
-  rb AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) AS r FROM y WHERE score > 0)
-  SELECT question_id, item, round(coalesce(1 / (60 + ra.r)::DOUBLE, 0) + coalesce(1 / (60 + rb.r)::DOUBLE, 0), 9) AS rrf FROM ra FULL JOIN rb USING (question_id, item)""")
-def rrf_fusion(spark, read):
-    semantic = _similar(read)
-    label = read("embeddings").select(F.col("vec_id").alias("item"), (F.col("label") - 1).cast("double").alias("l"))
-    return retrieval.fuse(semantic, semantic.drop("score").join(label, "item").select("question_id", "item", F.col("l").alias("score")))
-
-
 _DUE = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
   z AS (SELECT a.vec_id AS question_id, b.vec_id AS item, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)"""
 
@@ -214,7 +189,7 @@ def _due(read, k=None):
 
 
 @query(f"WITH {_DUE} SELECT question_id, item, score FROM z QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) <= 5")
-def cosine_topk_all(spark, read):
+def cosine_topk(spark, read):
     ranked = retrieval.top_chunks(_due(read, retrieval.TOP).select("question_id", F.lit(0).alias("doc_id"), F.col("item").alias("chunk_index"), "score"))
     return ranked.select("question_id", F.col("chunk_index").alias("item"), "score")
 
@@ -223,7 +198,7 @@ def cosine_topk_all(spark, read):
   ra AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) AS r FROM z),
   rb AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item) AS r FROM y WHERE score > 0)
   SELECT question_id, item, round(coalesce(1 / (60 + ra.r)::DOUBLE, 0) + coalesce(1 / (60 + rb.r)::DOUBLE, 0), 9) AS rrf FROM ra FULL JOIN rb USING (question_id, item)""")
-def rrf_fusion_all(spark, read):
+def rrf_fusion(spark, read):
     semantic = _due(read)
     label = read("embeddings").select(F.col("vec_id").alias("item"), (F.col("label") - 1).cast("double").alias("l"))
     return retrieval.fuse(semantic, semantic.drop("score").join(label, "item").select("question_id", "item", F.col("l").alias("score")))
@@ -285,11 +260,19 @@ def mask_text(spark, read):
     return privacy.mask(read("documents").select("doc_id", "text"), _EMAIL, "EMAIL").select("doc_id", "masked", F.size("tokens").alias("n_tokens"))
 
 
-@query("SELECT doc_id, true AS restored FROM documents")
+@query(f"SELECT doc_id, lower(text) AS restored, len(list_distinct(regexp_extract_all(lower(text), '{_EMAIL}')))::INTEGER AS n_tokens FROM documents")
 def mask_roundtrip(spark, read):
     lowered = read("documents").select("doc_id", F.lower("text").alias("text"))  # one spelling a value, so restoring is exact
     m = privacy.mask(lowered, _EMAIL, "EMAIL")
-    return m.select("doc_id", (privacy.restore(F.col("masked"), F.col("tokens"), "EMAIL") == F.col("text")).alias("restored"))
+    return m.select("doc_id", privacy.restore(F.col("masked"), F.col("tokens"), "EMAIL").alias("restored"), F.size("tokens").alias("n_tokens"))
+
+
+@query()
+def mask_documents(spark, read):
+    """All detected spans masked and restored again: the restored text is the text."""
+    docs = read("documents").select("doc_id", "text")
+    m = privacy.mask_documents(docs)
+    return m.select("doc_id", "masked", "entity_count", privacy.restore_tokens(F.col("masked"), F.col("tokens")).alias("restored"))
 
 
 @query("SELECT n, CASE WHEN n <= 26 THEN chr((64 + n)::INTEGER) WHEN n <= 702 THEN chr((64 + (n - 1) // 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER) END AS suffix FROM (SELECT p_partkey % 702 + 1 AS n FROM part GROUP BY 1)")
@@ -297,36 +280,41 @@ def pseudonym_labels(spark, read):
     return read("part").select((F.col("p_partkey") % 702 + 1).alias("n")).distinct().select("n", T.alphabetic_suffix(F.col("n")).alias("suffix"))
 
 
-def _citations(read):
-    return read("benchmark").select((F.col("item_id") * 5).alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("item_id").alias("conclusion_id"), F.substring("text", 1, 40).alias("quote"), F.concat(F.lit("about "), (F.col("item_id") % 3).cast("string"), F.lit(" of it")).alias("observation"))
-
-
-def _cited_chunks(read):
-    return _chunks(read).withColumn("extraction_quality", F.when(F.col("lang") == "en", "high").otherwise("medium")).withColumn("uncertain_region_count", F.lit(0))
+def _cited(read):
+    """Every chunk states a number and cites itself twice: by its own text and by that of the chunk before it."""
+    chunks = _chunks(read).withColumn("extraction_quality", F.when(F.col("lang") == "en", "high").otherwise("medium")).withColumn("uncertain_region_count", F.lit(0))
+    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    cited = chunks.withColumn("before", before).select("doc_id", "chunk_index", (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("conclusion_id"), F.concat(F.lit("about "), (F.col("chunk_index") % 10).cast("string"), F.lit(" of it")).alias("observation"), F.explode(F.array_compact(F.array("text", "before"))).alias("quote"))
+    return cited, chunks
 
 
 _FORM = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
-_CITED = rf"""b AS (SELECT item_id, item_id * 5 AS doc_id, text[1:40] AS quote, 'about ' || item_id % 3 || ' of it' AS observation FROM benchmark),
-  j AS (SELECT b.*, c.text IS NOT NULL AS has_chunk, c.lang, coalesce({_FORM.format('quote')} <> '' AND contains({_FORM.format('c.text')}, {_FORM.format('quote')}), false) AS text_matched FROM b LEFT JOIN c ON b.doc_id = c.doc_id AND c.chunk_index = 0)"""
+_CITED = rf"""b AS (SELECT *, doc_id * 100000 + chunk_index AS conclusion_id, 'about ' || chunk_index % 10 || ' of it' AS observation, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM c),
+  e AS (SELECT *, text AS quote FROM b UNION ALL SELECT *, before AS quote FROM b WHERE before IS NOT NULL),
+  j AS (SELECT *, {_FORM.format('quote')} <> '' AND contains({_FORM.format('text')}, {_FORM.format('quote')}) AS text_matched FROM e)"""
 
 
-@query(f"WITH RECURSIVE {_CHUNKS}, {_CITED} SELECT item_id AS conclusion_id, doc_id, text_matched FROM j")
+@query(f"WITH RECURSIVE {_CHUNKS}, {_CITED} SELECT conclusion_id, doc_id, text_matched FROM j")
 def citation_match(spark, read):
-    return evidence.match_citations(_citations(read), _cited_chunks(read)).select("conclusion_id", "doc_id", "text_matched")
+    return evidence.match_citations(*_cited(read)).select("conclusion_id", "doc_id", "text_matched")
 
 
-@query(f"""WITH RECURSIVE {_CHUNKS}, {_CITED} SELECT item_id AS conclusion_id, NOT text_matched OR lang <> 'en' OR
-  len(list_filter(regexp_extract_all(observation, '[0-9]+(?:[.,][0-9]+)*'), lambda x: NOT list_contains(regexp_extract_all(quote, '[0-9]+(?:[.,][0-9]+)*'), x))) > 0 AS requires_review FROM j""")
+@query(f"""WITH RECURSIVE {_CHUNKS}, {_CITED} SELECT conclusion_id, bool_or(NOT text_matched OR lang <> 'en') OR
+  len(list_filter(regexp_extract_all(any_value(observation), '[0-9]+(?:[.,][0-9]+)*'), lambda x: NOT list_contains(flatten(list(CASE WHEN text_matched THEN regexp_extract_all(quote, '[0-9]+(?:[.,][0-9]+)*') ELSE [] END)), x))) > 0 AS requires_review FROM j GROUP BY conclusion_id""")
 def requires_review(spark, read):
-    cited = _citations(read)
-    return evidence.requires_review(cited.select("conclusion_id", "observation"), evidence.match_citations(cited, _cited_chunks(read)))
+    cited, chunks = _cited(read)
+    return evidence.requires_review(cited.select("conclusion_id", "observation").distinct(), evidence.match_citations(cited, chunks))
+
 
+_FOUND = r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|[0-9][0-9 ()-]{8,}[0-9]"
 
-@query(r"SELECT doc_id, finding FROM (SELECT d.doc_id, text[1:25] AS finding, d.text FROM documents d WHERE doc_id % 2 = 0 UNION ALL SELECT d.doc_id, 'not in any text', d.text FROM documents d) WHERE regexp_replace(finding, '\s+', '', 'g') <> '' AND contains(lower(regexp_replace(text, '\s+', '', 'g')), lower(regexp_replace(finding, '\s+', '', 'g')))")
+
+@query(rf"""WITH f AS (SELECT doc_id, text, unnest(list_concat(regexp_extract_all(text, '{_FOUND}'), ['not in any text', 'ab'])) AS finding FROM documents)
+  SELECT doc_id, finding FROM f WHERE length(regexp_replace(finding, '\s+', '', 'g')) >= 3 AND contains(lower(regexp_replace(text, '\s+', '', 'g')), lower(regexp_replace(finding, '\s+', '', 'g')))""")
 def residual_text(spark, read):
     docs = read("documents")
-    found = docs.filter("doc_id % 2 = 0").select("doc_id", F.substring("text", 1, 25).alias("text")).union(docs.select("doc_id", F.lit("not in any text")))
-    return evidence.residual_text(found, docs).select("doc_id", F.col("text").alias("finding"))
+    found = F.concat(F.regexp_extract_all("text", F.lit(_FOUND), 0), F.array(F.lit("not in any text"), F.lit("ab")))
+    return evidence.residual_text(docs.select("doc_id", F.explode(found).alias("text")), docs).select("doc_id", F.col("text").alias("finding"))
 
 
 @query(f"""WITH RECURSIVE {_CHUNKS}, p AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM c)
@@ -345,8 +333,7 @@ def greedy_batches(spark, read):
     return chunking.greedy_batches(_chunks(read))
 
 
-@query("""SELECT p_partkey, array_to_string(CASE WHEN p_size <= 3 THEN range(1, p_size + 1) ELSE list_distinct([1, round_even((p_size - 1) / 2.0, 0)::INTEGER + 1, p_size]) END, ',') AS pages FROM part WHERE false
-  UNION ALL SELECT p_partkey, array_to_string(CASE WHEN p_size <= 3 THEN list_transform(range(1, p_size + 1), lambda x: x::INTEGER) ELSE [1, round_even((p_size - 1) / 2.0, 0)::INTEGER + 1, p_size::INTEGER] END, ',') AS pages FROM part""")
+@query("SELECT p_partkey, array_to_string(CASE WHEN p_size <= 3 THEN list_transform(range(1, p_size + 1), lambda x: x::INTEGER) ELSE [1, round_even((p_size - 1) / 2.0, 0)::INTEGER + 1, p_size::INTEGER] END, ',') AS pages FROM part")
 def page_sample(spark, read):
     return read("part").select("p_partkey", F.array_join(F.transform(T.even_sample(F.col("p_size"), 3), lambda x: x.cast("string")), ",").alias("pages"))
 
@@ -371,9 +358,9 @@ def storage_usage(spark, read):
     return reports.storage(_library(read).select("owner", "size_bytes"), files)
 
 
-@query(f"WITH {_LIBRARY} SELECT doc_id, owner, status FROM b WHERE status = 'processed' AND (contains(lower(owner), 'rc1') OR contains(lower(lang), 'rc1'))")
+@query(f"WITH {_LIBRARY} SELECT doc_id, owner, status FROM b WHERE status = 'processed' AND (contains(lower(owner), 'rc1') OR contains(lower(lang), 'rc1') OR contains(lower(status), 'rc1') OR contains(lower(doc_id::VARCHAR), 'rc1') OR contains(lower(size_bytes::VARCHAR), 'rc1') OR contains(lower(text), 'rc1') OR contains('application/pdf', 'rc1'))")
 def library_search(spark, read):
-    return reports.library_search(_library(read), "  RC1 ", ["owner", "lang"], F.col("status") == "processed").select("doc_id", "owner", "status")
+    return reports.library_search(_library(read).withColumn("content_type", F.lit("application/pdf")), "  RC1 ", ["owner", "lang", "status", "doc_id", "size_bytes", "text", "content_type"], F.col("status") == "processed").select("doc_id", "owner", "status")
 
 
 def _orders_as_jobs(read):
@@ -403,10 +390,10 @@ def _events_as_jobs(read):
 
 
 @query(f"""WITH j AS (SELECT event_id AS id, user_id AS queue, ts, event_id % 4 AS s, (event_id % 5)::INTEGER AS attempts FROM events)
-  SELECT id, queue, attempts + 1 AS attempts FROM j WHERE s = 0 OR (s = 2 AND ts + INTERVAL 30 SECOND <= TIMESTAMP '{NOW}') OR (s = 1 AND ts < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND)
+  SELECT id, queue, attempts, CASE WHEN s = 1 THEN 'restarting' ELSE 'starting' END AS stage FROM j WHERE s = 0 OR (s = 2 AND ts + INTERVAL 30 SECOND <= TIMESTAMP '{NOW}') OR (s = 1 AND ts < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND)
   QUALIFY row_number() OVER (PARTITION BY queue ORDER BY ts, id) = 1""")
 def claim_next(spark, read):
-    return jobs.claim_next(_events_as_jobs(read), F.lit(NOW).cast("timestamp")).select("id", "queue", "attempts")
+    return jobs.claim_next(_events_as_jobs(read), F.lit(NOW).cast("timestamp")).select("id", "queue", "attempts", "stage")
 
 
 @query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -437,37 +424,10 @@ def rate_limit(spark, read):
     return jobs.rate_limit(read("events").select("event_id", F.col("user_id").alias("client"), "ts"), limit=3, window=7200)
 
 
-def _words(read):
-    w = read("documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.slice(F.split("text", r"\s+"), 1, 200)).alias("i", "text")).filter("text <> ''")
-    return w.select("page_id", (F.col("page_id") * 1000 + F.col("i")).alias("word_id"), "text", (F.lit(0)).alias("block"), F.lit(0).alias("paragraph"), F.floor(F.col("i") / 10).alias("line"), ((F.col("i") % 10) * 50).cast("int").alias("left"), (F.floor(F.col("i") / 10) * 20).cast("int").alias("top"), F.lit(40).alias("width"), F.lit(16).alias("height"), (F.lit(40.0) + F.col("i") % 60).alias("confidence"))
-
-
-_WORDS = r"""v AS (SELECT doc_id, text, unnest(range(200)) AS i, string_split_regex(text, '\s+') AS w FROM documents),
-  o AS (SELECT doc_id AS page_id, doc_id * 1000 + i AS word_id, w[i + 1] AS t, i // 10 AS line, i % 10 * 50 AS l, i // 10 * 20 AS top, 40.0::DOUBLE + i % 60 AS conf FROM v WHERE i < len(w) AND w[i + 1] <> '')"""
-
-
-@query(f"WITH {_WORDS}, n AS (SELECT page_id, line, string_agg(t, ' ' ORDER BY l) AS s FROM o GROUP BY ALL) SELECT page_id, string_agg(s, chr(10) ORDER BY line) AS text FROM n GROUP BY page_id")
-def line_assembly(spark, read):
-    return layout.assemble_lines(_words(read))
-
-
-@query(f"WITH {_WORDS}, n AS (SELECT word_id, ((l + 20) // 100) AS cx, ((top + 8) // 80) AS cy FROM o WHERE top + 8 < 240) SELECT word_id, (cy * 5 + cx)::BIGINT AS cell_id FROM n")
-def words_in_cells(spark, read):
-    pages = read("documents").select(F.col("doc_id").alias("page_id"))
-    cells = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("k"))
-    cells = cells.select("page_id", F.col("k").cast("long").alias("cell_id"), (F.col("k") % 5 * 100).alias("left"), (F.floor(F.col("k") / 5) * 80).alias("top"), (F.col("k") % 5 * 100 + 100).alias("right"), (F.floor(F.col("k") / 5) * 80 + 80).alias("bottom"))
-    return layout.words_in_cells(_words(read), cells)
-
-
-@query(f"WITH {_WORDS} SELECT page_id, round(sum(conf * greatest(length(t), 1)) / sum(greatest(length(t), 1)), 6) AS confidence, round(avg(CASE WHEN conf < 60 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low_ratio FROM o GROUP BY page_id")
-def ocr_confidence(spark, read):
-    return layout.weighted_confidence(_words(read))
-
-
 def _all_words(read):
     """Every word of every document, keyed by page and place: no place reaches 2 ** 31, so no two words share a key."""
     w = read("documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", r"\s+")).alias("i", "text")).filter("text <> ''")
-    return w.select("page_id", (F.col("page_id") * (1 << 31) + F.col("i")).alias("word_id"), "text", F.lit(0).alias("block"), F.lit(0).alias("paragraph"), F.floor(F.col("i") / 10).alias("line"), ((F.col("i") % 10) * 50).cast("int").alias("left"), (F.floor(F.col("i") / 10) * 20).alias("top"), F.lit(40).alias("width"), F.lit(16).alias("height"), (F.lit(40.0) + F.col("i") % 60).alias("confidence"))
+    return w.select("page_id", (F.col("page_id") * (1 << 31) + F.col("i")).alias("word_id"), "text", F.lit(0).alias("block"), F.lit(0).alias("paragraph"), (F.lit(1 << 31) - F.floor(F.col("i") / 10)).alias("line"), ((F.col("i") % 10) * 50).cast("int").alias("left"), (F.floor(F.col("i") / 10) * 20).alias("top"), F.lit(40).alias("width"), F.lit(16).alias("height"), (F.lit(40.0) + F.col("i") % 60).alias("confidence"))
 
 
 _ALL_WORDS = r"""v AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, string_split_regex(text, '\s+') AS w FROM documents)),
@@ -475,12 +435,12 @@ _ALL_WORDS = r"""v AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1)
 
 
 @query(f"WITH {_ALL_WORDS}, n AS (SELECT page_id, line, string_agg(t, ' ' ORDER BY l) AS s FROM o GROUP BY ALL) SELECT page_id, string_agg(s, chr(10) ORDER BY line) AS text FROM n GROUP BY page_id")
-def line_assembly_all(spark, read):
+def line_assembly(spark, read):
     return layout.assemble_lines(_all_words(read))
 
 
 @query(f"WITH {_ALL_WORDS} SELECT word_id, ((top + 8) // 80 * 5 + (l + 20) // 100)::BIGINT AS cell_id FROM o")
-def words_in_cells_all(spark, read):
+def words_in_cells(spark, read):
     words = _all_words(read)
     pages = words.groupBy("page_id").agg(F.floor(F.max(F.col("top") + F.col("height")) / 80).alias("last"))
     cells = pages.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") * 5 + 4)).alias("k"))
@@ -489,7 +449,7 @@ def words_in_cells_all(spark, read):
 
 
 @query(f"WITH {_ALL_WORDS} SELECT page_id, round(sum(conf * greatest(length(t), 1)) / sum(greatest(length(t), 1)), 6) AS confidence, round(avg(CASE WHEN conf < 60 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low_ratio FROM o GROUP BY page_id")
-def ocr_confidence_all(spark, read):
+def ocr_confidence(spark, read):
     return layout.weighted_confidence(_all_words(read))
 
 
@@ -498,9 +458,9 @@ def markdown_table(spark, read):
     return read("customer").select("c_custkey", layout.markdown_row(F.array("c_name", "c_mktsegment")).alias("row"))
 
 
-@query("SELECT p_partkey, greatest(least(300, floor(72 * sqrt(20000000.0::DOUBLE / ((p_size * 40)::DOUBLE * (p_size * 60)))))::INTEGER, 72)::INTEGER AS dpi FROM part")
+@query("SELECT p_partkey, CASE WHEN f >= 72 THEN least(300, f)::INTEGER END AS dpi FROM (SELECT p_partkey, floor(72 * sqrt(20000000.0::DOUBLE / ((p_size * 40)::DOUBLE * (p_size * 200)))) AS f FROM part)")
 def adaptive_dpi(spark, read):
-    return read("part").select("p_partkey", layout.adaptive_dpi((F.col("p_size") * 40).cast("double"), (F.col("p_size") * 60).cast("double")).alias("dpi"))
+    return read("part").select("p_partkey", layout.adaptive_dpi((F.col("p_size") * 40).cast("double"), (F.col("p_size") * 200).cast("double")).alias("dpi"))
 
 
 @query("SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'label' ELSE lang END AS lang FROM documents LEFT JOIN labels USING (doc_id)")
@@ -530,8 +490,11 @@ def ask_contexts(spark, read):
 
 
 def queries():
+    from . import registry_work  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import user_name
+
 # Limits of an upload.
 MAX_BYTES, MAX_PAGES, MAGIC = 50 * 1024 * 1024, 40, b"%PDF-"
 
@@ -65,9 +65,96 @@ def sweep_sessions(sessions: DataFrame, docs: DataFrame, now) -> tuple[DataFrame
     return left, kept.withColumn("session_id", F.when(F.col("_gone").isNull(), F.col("session_id"))).drop("_gone")
 
 
-def claim_ownerless(docs: DataFrame, owner: str) -> DataFrame:
-    return docs.withColumn("claimed", F.col("owner").isNull()).withColumn("owner", F.coalesce("owner", F.lit(owner)))
+def claim_ownerless(docs: DataFrame, owner: str) -> tuple[DataFrame, int]:
+    """(documents, number of those without an owner, which now have this one)."""
+    claimed = docs.filter("owner is null").count()
+    return docs.withColumn("owner", F.coalesce("owner", F.lit(owner))), claimed
+
+
+#: Fields of a document that a new text makes void.
+DERIVED = ("ai_summary", "content_review", "layout_review", "ai_error")
+
+
+def overwrite_texts(docs: DataFrame, chunks: DataFrame, changes: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) after new texts by doc_id: what was derived from the old text goes, chunks are cut anew.
+
+    ``cut`` makes (doc_id, chunk_index, text) of (doc_id, text).
+    """
+    new = changes.select("doc_id", F.col("text").alias("_text"))
+    joined = docs.join(new, "doc_id", "left")
+    changed = F.col("_text").isNotNull()
+    out = joined.select(*[F.when(changed, F.col("_text")).otherwise(F.col(c)).alias(c) if c == "text" else F.when(~changed, F.col(c)).alias(c) if c in DERIVED else F.col(c) for c in docs.columns])
+    return out, chunks.join(changes.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(cut(changes).select(*chunks.columns))
+
+
+def delete_artifacts(artifacts: DataFrame, jobs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, tool jobs): the artifacts go, and with them their results in tool jobs."""
+    keys = gone.select("artifact_id").distinct()
+    marked = jobs.join(keys.withColumn("_gone", F.lit(True)), "artifact_id", "left")
+    cleared = marked.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c in ("artifact_id", "result_path", "result_size") else F.col(c) for c in jobs.columns])
+    return artifacts.join(keys, "artifact_id", "left_anti"), cleared
+
+
+def detach_session(docs: DataFrame, session: str) -> DataFrame:
+    """Documents of a deleted session stay, without it."""
+    return docs.withColumn("session_id", F.when(~F.col("session_id").eqNullSafe(session), F.col("session_id")))
+
+
+def add_users(users: DataFrame, names: DataFrame) -> DataFrame:
+    """Users by normalised name; a name that is there, or twice among the new, is one user."""
+    new = names.select(user_name(F.col("name")).alias("normalized")).filter("normalized is not null").distinct().join(users, "normalized", "left_anti")
+    return users.unionByName(new.select(*[F.col(c) if c == "normalized" else F.lit(None).cast(users.schema[c].dataType).alias(c) for c in users.columns]))
+
+
+def session_user(sessions: DataFrame, users: DataFrame, tokens: DataFrame, now) -> DataFrame:
+    """(token, user_id): the user of the session that a token's sha256 names, null for none or an expired one."""
+    live = sessions.filter(F.col("expires_at") > now).select("token_hash", "user_id")
+    known = live.join(users.select("user_id"), "user_id")
+    return tokens.withColumn("token_hash", F.sha2("token", 256)).join(known, "token_hash", "left").select("token", "user_id")
+
+
+def seed_if_empty(docs: DataFrame, row: tuple) -> DataFrame:
+    """The table, or one demonstration row where it is empty."""
+    return docs.sparkSession.createDataFrame([row], docs.schema) if docs.isEmpty() else docs
+
+
+def reject_pages(files: DataFrame, engine) -> DataFrame:
+    """(path, page_count, reject_code) by ``engine(bytes) -> (encrypted, pages)``: encrypted or empty 400, too many pages 413."""
+    import pandas as pd
+
+    def told(content: bytes) -> tuple:
+        try:
+            encrypted, pages = engine(content)
+        except Exception:  # noqa: BLE001  whatever the engine raises makes the file unreadable
+            return None, 400
+        return pages, 400 if encrypted or pages == 0 else 413 if pages > MAX_PAGES else None
+
+    def body(batches):
+        for pdf in batches:
+            rows = [(p, *told(bytes(c))) for p, c in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame(rows, columns=["path", "page_count", "reject_code"]).astype({"page_count": "Int64", "reject_code": "Int64"})
+
+    return files.select("path", "content").mapInPandas(body, "path string, page_count int, reject_code int")
+
+
+def read_with_fallback(files: DataFrame, engines: list) -> DataFrame:
+    """Pages by the first engine that reads a file without error and finds text, else by the last."""
+
+    def ladder(content: bytes) -> list[str]:
+        for engine in engines[:-1]:
+            try:
+                pages = engine(content)
+            except Exception:  # noqa: BLE001, S112  the next engine tries
+                continue
+            if any(p.strip() for p in pages):
+                return pages
+        return engines[-1](content)
+
+    return extract_pages(files, ladder)
 
 
-def union_all(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def valid_vectors(vectors: DataFrame, size: int) -> DataFrame:
+    """Vectors with a ``problem``: wrong_size, not_finite or zero; null for good ones."""
+    v = F.col("embedding")
+    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.withColumn("problem", F.when(F.size(v) != size, "wrong_size").when(~finite, "not_finite").when(~F.exists(v, lambda x: x != 0), "zero"))

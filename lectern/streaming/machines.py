@@ -7,31 +7,53 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import LIMIT_WINDOW, SESSION_TTL, limit_step
 
-__all__ = ["StatefulProcessor", "dedupe_stream", "rate_limit_stream", "session_stream"]
 
+def rate_limit_stream(requests: DataFrame, limit: int, window: int = LIMIT_WINDOW, forget: bool = True) -> DataFrame:
+    """``rate_limit`` over a stream: the state of a client is its log of at most ``limit`` allowed times.
 
-def rate_limit_stream(requests: DataFrame, limit: int, window: int = LIMIT_WINDOW) -> DataFrame:
-    """``rate_limit`` over a stream: the state of a client is its log of at most ``limit`` allowed times."""
+    With ``forget`` a client that is silent for the window, by the clock of the cluster, is forgotten; the stream then has
+    a batch whenever that is due, so it never comes to rest.
+    """
 
     def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         waits = [limit_step(log, us / 1e6, limit, window) for us in rows["us"]]
         state.update((list(log),))
+        if forget:
+            state.setTimeoutDuration(window * 1000)
         yield pd.DataFrame({"event_id": rows["event_id"], "client": key[0], "allowed": [w == 0 for w in waits], "retry_after": waits})
 
     keyed = requests.select("event_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return keyed.groupBy("client").applyInPandasWithState(step, "event_id long, client long, allowed boolean, retry_after int", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("client").applyInPandasWithState(step, "event_id long, client long, allowed boolean, retry_after int", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
-def session_stream(events: DataFrame, key: str, ts: str, late: str = "1 hour", ttl: int = SESSION_TTL) -> DataFrame:
-    """Sessions of a stream. A touch exactly ``ttl`` after the one before still joins it here; the batch form opens a new one."""
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, f"{ttl} seconds").alias("w"), key).agg(F.count("*").alias("touches")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "touches")
+def session_stream(events: DataFrame, key: str, ts: str, ttl: int = SESSION_TTL) -> DataFrame:
+    """(key, event_id, session): touches of a stream numbered by session; a touch ``ttl`` seconds or more after the one before opens a new one.
+
+    The state of a key is its last touch and session, as in the batch form; touches must come in order of time.
+    """
+
+    def step(k, batches, state: GroupState):
+        last, session = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        numbers = []
+        for us in rows["us"]:
+            session += last is None or us - last >= ttl * 1_000_000
+            last = max(us, last or us)
+            numbers.append(session)
+        state.update((int(last), int(session)))
+        yield pd.DataFrame({"key": k[0], "event_id": rows["event_id"], "session": numbers})
+
+    keyed = events.select(F.col(key).cast("long").alias("key"), "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return keyed.groupBy("key").applyInPandasWithState(step, "key long, event_id long, session long", "last long, session long", "append", GroupStateTimeout.NoTimeout)
 
 
 def dedupe_stream(rows: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
