@@ -129,6 +129,11 @@ FAILURE = "struct<detector:string,message:string>"
 IDENTIFIERS = ("IIN", "BIN", "IIN_OR_BIN")
 
 
+#: What no span of a category can be without: most texts lack it, and their patterns need not run. All others need Cyrillic.
+NEEDS = {"EMAIL": "at"} | dict.fromkeys(("PHONE", "IBAN", "DATE", "IIN", "BIN", "BARE_ID"), "digit")
+SIGNS = {"at": re.compile("@"), "digit": re.compile(r"\d"), "cyrillic": re.compile("[\u0400-\u04ff]")}
+
+
 @lru_cache(maxsize=1)
 def _compiled():
     return [(c, conf, prio, re.compile(p)) for c, conf, prio, p in PATTERNS]
@@ -210,9 +215,10 @@ def _identifier(category: str, value: str) -> tuple[str, float] | None:
 
 def pattern_spans(text: str) -> list[dict]:
     """All pattern candidates of a text, identifiers included; overlaps are not resolved."""
-    out = [_span(a, b, "AMOUNT", 0.95, 80, "pattern") for a, b in amounts(text)]
+    there = {need for need, sign in SIGNS.items() if sign.search(text)}
+    out = [_span(a, b, "AMOUNT", 0.95, 80, "pattern") for a, b in amounts(text)] if "digit" in there else []
     for category, confidence, priority, pattern in _compiled():
-        if category == "PAYMENT_CARD":
+        if category == "PAYMENT_CARD" or NEEDS.get(category, "cyrillic") not in there:
             continue
         for m in pattern.finditer(text):
             start, raw = m.start("value"), m["value"]
@@ -237,8 +243,12 @@ def _in_context(text: str, s: dict) -> dict:
     return s | {"confidence": min(0.99, s["confidence"] + 0.1)} if s["confidence"] < 0.99 and any(w in near for w in ID_CONTEXT[s["category"]]) else s
 
 
+def _pattern_of(category: str) -> re.Pattern:
+    return next(p for c, _, _, p in _compiled() if c == category)
+
+
 def _ibans(text: str) -> list[dict]:
-    pattern = next(re.compile(p) for c, _, _, p in PATTERNS if c == "IBAN")
+    pattern = _pattern_of("IBAN")
     found = [(m.start("value"), m.end("value"), _valid_iban(m["value"])) for m in pattern.finditer(text)]
     return [_span(a, b, "IBAN", 0.99 if good else 0.72, TAXONOMY["IBAN"][1], "iban", not good) for a, b, good in found]
 
@@ -249,7 +259,7 @@ def _valid_iban(value: str) -> bool:
 
 
 def _cards(text: str) -> list[dict]:
-    pattern = next(re.compile(p) for c, _, _, p in PATTERNS if c == "PAYMENT_CARD")
+    pattern = _pattern_of("PAYMENT_CARD")
     out = []
     for m in pattern.finditer(text):
         good = _passes_luhn(m[0])
@@ -263,7 +273,8 @@ def rule_spans(text: str) -> list[dict]:
     candidates = pattern_spans(text)
     patterns = [s for s in disjoint(candidates, len(text)) if s["category"] not in (*IDENTIFIERS, "IBAN", "PAYMENT_CARD")]
     identifiers = disjoint([s for s in candidates if s["source"] == "identifier"], len(text))
-    return [*patterns, *[_in_context(text, s) for s in identifiers], *_ibans(text), *_cards(text)]
+    numbers = [*_ibans(text), *_cards(text)] if SIGNS["digit"].search(text) else []
+    return [*patterns, *[_in_context(text, s) for s in identifiers], *numbers]
 
 
 class DetectionIncomplete(RuntimeError):
