@@ -4,30 +4,31 @@ Documents are dealt into blocks by a hash of id and text; a block holds about ``
 counts its training words, the counts are summed per word over all blocks, and each block gets the totals of its own
 words back, so no table of all words is ever in one place. Words are told apart by 64-bit hashes.
 
-The neural model knows the ``WORDS`` most frequent training words, the end and one class for all others. It is
-trained in numpy by noise-contrastive estimation on every training document: each scan task starts from the same
-parameters, makes ``EPOCHS`` passes over its distinct trigrams with their counts, and the tasks' parameters are
-averaged by weight. Scores are normalised: a batched matrix product gives all logits of each distinct context, and a
-word outside the vocabulary gets the class's probability times its add-one share among such words.
+The neural model knows the ``words`` most frequent training words, the end and one class for all others. It is
+trained in numpy by noise-contrastive estimation on every training document, in ``ROUNDS`` rounds: every block starts from
+the same parameters, makes ``EPOCHS`` passes over its distinct trigrams with their counts, and the blocks' parameters are
+averaged by weight. Blocks do not depend on how the input is split into files, so neither do the scores, but for the order
+of floating-point sums. Scores are normalised: a batched matrix product gives all logits of each distinct context, and a
+word outside the vocabulary gets the class's probability times its add-one share among such words, so the counts, which
+grow with the input, reach every word.
 
 Defined cases: a null or empty text is the end token alone; without training documents all counts are 0 and the base
-is that of an unknown word; repeated rows are scored and counted each; an empty table gives an empty result.
+is that of an unknown word; repeated rows are scored and counted each, and share a block; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from ._common import crc_mod, materialise, ship, table
+from ._common import arrow_stream, bounded_batches, crc_mod, materialise, table
 from .ngram_join import word_hashes
 
-BLOCK_CHARS = 16_000_000
-WORDS, SIZE, NOISE, EPOCHS, RATE = 1024, 24, 64, 2, 0.08
+BLOCK_CHARS = 8_000_000
+#: Words of the neural model, a parameter: CPU time grows with it, scores of all other words rest on their counts.
+WORDS, SIZE, NOISE, ROUNDS, EPOCHS, RATE = 1024, 24, 64, 2, 1, 0.08
 END = np.uint64(0x0E4D0F7E87)  # stands for the end among the hashes
 
 
@@ -141,24 +142,30 @@ def contexts_of(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndar
     return far * (start + 1) + near
 
 
-def _rows(df: DataFrame, body, schema: str) -> DataFrame:
-    """mapInArrow of a generator of lists of columns."""
-    kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
-
-    def run(batches):
-        for columns in body(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k.type) for c, k in zip(columns, kinds)], names=[k.name for k in kinds])
-
-    return df.mapInArrow(run, schema)
-
-
-def _distinct_trigrams(batches, vocabulary: Vocabulary, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (two before, one before, word) triples of the texts of a task, with their counts."""
+def _blocks(batches, *merged: int):
+    """(block, columns) of each run of one block; ``merged`` columns come as lists over the whole run, batch by batch."""
+    now, held = None, None
+    for columns in batches:
+        blocks = columns[0].to_numpy()
+        cut = np.flatnonzero(np.diff(blocks)) + 1
+        for a, b in zip([0, *cut], [*cut, len(blocks)]):
+            if a == b:
+                continue
+            part = [columns[k].slice(a, b - a) for k in merged]
+            if blocks[a] != now and now is not None:
+                yield now, held
+                held = None
+            now = blocks[a]
+            held = [[*h, p] for h, p in zip(held, part)] if held else [[p] for p in part]
+    if now is not None:
+        yield now, held
+
+
+def _distinct_trigrams(texts: list, vocabulary: Vocabulary, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (two before, one before, word) triples of a block's texts, with their counts."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        parts = [tokens(t) for t in batch.column(0).to_pylist()]
-        if not parts:
-            continue
+    for part in texts:
+        parts = [tokens(t) for t in part.to_pylist()]
         w = vocabulary.of(np.concatenate(parts))
         key = contexts_of(w, np.array([len(p) for p in parts]), start) * start + w
         new, n = np.unique(key, return_counts=True)
@@ -168,59 +175,66 @@ def _distinct_trigrams(batches, vocabulary: Vocabulary, start: int) -> tuple[np.
     return np.stack([context // (start + 1), context % (start + 1), keys % start], axis=1), counts
 
 
-def _train(docs: DataFrame, model: LogBilinear, vocabulary: Vocabulary) -> LogBilinear:
-    """One round of local training on every scan task and averaging of the parameters."""
+def _train(dealt: DataFrame, model: LogBilinear, vocabulary: Vocabulary, turn: int) -> LogBilinear:
+    """One round: local training on every block and averaging of the parameters."""
     begin, noise, start = model.parameters(), model.log_noise, len(model.bias)
 
     def body(batches):
-        trigrams, weight = _distinct_trigrams(batches, vocabulary, start)
-        if len(trigrams):
-            p, w = LogBilinear(noise).load(begin).train(trigrams, weight).parameters(), float(weight.sum())
-            yield [list(range(len(p))), (p.astype(float) * w).tolist(), [w] * len(p)]
+        total, weights = np.zeros(begin.shape), 0.0
+        for _, (texts,) in _blocks(batches, 1):
+            trigrams, weight = _distinct_trigrams(texts, vocabulary, start)
+            w = float(weight.sum())
+            total += LogBilinear(noise).load(begin).train(trigrams, weight, seed=11 + turn).parameters().astype(float) * w
+            weights += w
+        if weights:
+            yield [list(range(len(total))), total.tolist(), [weights] * len(total)]
 
     width = begin.shape[1]
-    sums = _rows(docs.select("text"), body, "row int, p array<double>, w double").groupBy("row").agg(F.sum("w").alias("w"), *[F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(width)])
+    told = arrow_stream(dealt, body, "row int, p array<double>, w double", "block", "text")
+    sums = told.groupBy("row").agg(F.sum("w").alias("w"), *[F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(width)])
     rows = sums.orderBy("row").collect()  # as many as the model has words
     return model.load(np.array([[r[2 + i] / r["w"] for i in range(width)] for r in rows])) if rows else model
 
 
-def _count_block(batches):
-    """(block, word, training count) of the distinct words of each run of rows of one block."""
-    for batch in batches:
-        blocks = batch.column(0).to_numpy()
-        held = np.array(batch.column(2).to_pylist(), bool)
-        texts = batch.column(3).to_pylist()
-        for block in np.unique(blocks):
-            mine = np.flatnonzero(blocks == block)
-            parts = [tokens(texts[i]) for i in mine]
-            counted = np.repeat(~held[mine], [len(p) for p in parts])
-            words, at = np.unique(np.concatenate(parts), return_inverse=True)
-            yield [np.full(len(words), block, np.int32), words.view(np.int64), np.bincount(at, counted, len(words)).astype(np.int64)]
+def _count_blocks(batches):
+    """(block, word, training count) of the distinct words of each block."""
+    for block, (held, texts) in _blocks(batches, 1, 2):
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for h, t in zip(held, texts):
+            parts = [tokens(x) for x in t.to_pylist()]
+            counted = np.repeat(~np.array(h.to_pylist(), bool), [len(p) for p in parts])
+            new, at = np.unique(np.concatenate(parts), return_inverse=True)
+            n = np.bincount(at, counted, len(new)).astype(np.int64)
+            words, at = np.unique(np.concatenate([words, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(words)).astype(np.int64)
+        yield [np.full(len(words), block, np.int32), words.view(np.int64), counts]
 
 
 def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     chars = docs.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(1))).first()[0]
     n_blocks = int(chars // BLOCK_CHARS + 1)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     held = crc_mod(F.col("doc_id"), 7) == 2
     dealt = docs.select(block.alias("block"), "doc_id", held.alias("held"), "text")
+    dealt = materialise(dealt.repartition(n_blocks, "block").sortWithinPartitions("block", "held", "doc_id"))
 
-    local = _rows(dealt.repartition(n_blocks, "block").sortWithinPartitions("block"), _count_block, "block int, word long, n long")
-    local = local.groupBy("word", "block").agg(F.sum("n").alias("n"))
-    over = Window.partitionBy("word")
-    totals = materialise(local.select("block", "word", F.sum("n").over(over).alias("n"), (F.col("block") == F.min("block").over(over)).alias("once")))
-    once = totals.filter("once")
+    # One row for each word of a block; a common word has as many as there are blocks, so its total comes by a partial
+    # aggregate and goes back by a join, which may split it, and never by a window.
+    local = materialise(arrow_stream(dealt, _count_blocks, "block int, word long, n long", "block", "held", "text"))
+    totals = materialise(local.groupBy("word").agg(F.sum("n").alias("n")))
     end = int(END)
-    n, v, ends = once.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0))).first()
-    top = once.filter((F.col("n") > 0) & (F.col("word") != end)).orderBy(F.desc("n"), "word").limit(words).collect()
+    n, v, ends = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0))).first()
+    top = totals.filter((F.col("n") > 0) & (F.col("word") != end)).orderBy(F.desc("n"), "word").limit(words).collect()
     vocabulary = Vocabulary(np.array([end, *[r["word"] for r in top]], np.int64).view(np.uint64))
     frequent = np.array([ends, *[r["n"] for r in top]], float)
     # The class of other words: all their tokens, and one place for each of them and for the unknown.
     other_n, other_v = n - frequent.sum(), max(0, v - len(frequent) + (ends == 0))
     share = np.append(frequent + 1, other_n + other_v + 1)
-    model = _train(docs.filter(~held), LogBilinear(np.log(share / share.sum())), vocabulary)
+    model = LogBilinear(np.log(share / share.sum()))
+    for turn in range(ROUNDS):
+        model = _train(dealt.filter("not held"), model, vocabulary, turn)
     final, noise, start = model.parameters(), model.log_noise, len(share)
     floor, other_floor, log10 = np.log10(n + v + 1), np.log10(other_n + other_v + 1), np.log(10.0)
 
@@ -228,20 +242,20 @@ def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
         m, known, counts, now = LogBilinear(noise).load(final), [], [], None
         table_ = None
         for batch in batches:
-            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            blocks, kinds = batch[0].to_numpy(), batch[1].to_numpy()
             cut = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
-            for a, b in zip([0, *cut], [*cut, len(blocks)]):
-                part = batch.slice(a, b - a)
+            for a, b in zip([0, *cut], [*cut, len(blocks)] if len(blocks) else []):
+                part = [c.slice(a, b - a) for c in batch]
                 if blocks[a] != now:
                     now, known, counts, table_ = blocks[a], [], [], None
                 if kinds[a] == 0:
-                    known.append(part.column(5).to_numpy().view(np.uint64)), counts.append(part.column(6).to_numpy())
+                    known.append(part[5].to_numpy().view(np.uint64)), counts.append(part[6].to_numpy())
                     continue
                 if table_ is None:
                     all_words = np.concatenate(known)
                     order = np.argsort(all_words)
                     table_ = all_words[order], np.concatenate(counts)[order]
-                texts = [tokens(t) for t in part.column(4).to_pylist()]
+                texts = [tokens(t) for t in part[4].to_pylist()]
                 lengths, flat = np.array([len(t) for t in texts]), np.concatenate(texts)
                 c = table_[1][np.searchsorted(table_[0], flat)].astype(float)
                 w = vocabulary.of(flat)
@@ -251,13 +265,14 @@ def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 base = np.log10(c + 1)
                 logp += np.where(w == vocabulary.other, base - other_floor, 0.0)
                 sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base - floor, logp)]
-                yield [part.column(2), part.column(3), lengths, sums[0], np.full(len(texts), n, np.int64), sums[1], sums[2]]
+                yield [part[2], part[3], lengths, sums[0], np.full(len(texts), n, np.int64), sums[1], sums[2]]
 
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    word_rows = totals.select("block", F.lit(0).alias("kind"), nothing("long", "doc_id"), nothing("boolean", "held"), nothing("string", "text"), "word", "n")
+    known = local.drop("n").join(totals, "word")
+    word_rows = known.select("block", F.lit(0).alias("kind"), nothing("long", "doc_id"), nothing("boolean", "held"), nothing("string", "text"), "word", "n")
     text_rows = dealt.select("block", F.lit(1).alias("kind"), "doc_id", "held", "text", nothing("long", "word"), nothing("long", "n"))
     together = word_rows.union(text_rows).repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
-    return _rows(together, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return arrow_stream(together, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", *together.columns)
 
 
 def op4_lm_scores(spark, sf_dir: str) -> DataFrame:

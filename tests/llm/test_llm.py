@@ -196,6 +196,13 @@ def test_lm_probabilities_sum_to_one():
     assert p.sum(axis=1) == pytest.approx([1, 1], abs=1e-5)
 
 
+def test_lm_scores_do_not_depend_on_the_file_split(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 60_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score_documents(docs.repartition(k)).collect()} for k in (1, 7))
+    assert one == pytest.approx(many, rel=1e-4)
+
+
 def test_lm_odd(odd):
     assert lm.score_documents(odd).count() == 8 and lm.score_documents(odd.limit(0)).count() == 0
 
