@@ -82,13 +82,18 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver notice plans that nothing holds any more, so that their shuffle files go."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove what ``materialise`` wrote for tables that nothing will read again, and let shuffle files go with it."""
     for t in tables:
         path = t._lectern_path
         _remove(_written.pop(path), path)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        release_shuffles(tables[0].sparkSession)
 
 
 def _discard_all() -> None:
