@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lectern.session import discard, materialise, ship, table  # noqa: F401  re-exported for the operators
+from lectern.session import discard, materialise, release_shuffles, ship, table  # noqa: F401  re-exported for the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six characters that part words.
@@ -50,10 +50,13 @@ def worker_model(key: tuple, make):
 
 
 def release_models(owner: str) -> None:
-    """Drop models that other operators than ``owner`` left in this worker, which outlives stages, and return their memory."""
-    if all(k[0] == owner for k in _models):
-        return
-    _models.clear()
+    """Drop models that other operators than ``owner`` left in this worker, which outlives stages."""
+    if any(k[0] != owner for k in _models):
+        _models.clear()
+
+
+def return_memory() -> None:
+    """Give freed memory back to the machine: an idle worker keeps what its tasks took otherwise, next to the executor's heap."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
@@ -79,6 +82,8 @@ def arrow_stream(df: DataFrame, body, schema: str, *columns: str) -> DataFrame:
         for out in body(batch.columns for batch in batches):
             arrays = [x.cast(k.type) if isinstance(x, pa.Array) else pa.array(x, type=k.type) for x, k in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[k.name for k in kinds])
+            del out, arrays
+        return_memory()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -53,7 +53,7 @@ CROWD = 16
 #: Spare segments that the cost model may choose, as shares of ``H + 1``.
 SPARES = (0.0, 0.08, 0.15, 0.25, 0.4)
 #: Entries that a task holds before it sends them on, and that a bucket of the index should hold; bits of an entry.
-HELD_ENTRIES, BUCKET_ENTRIES, ENTRY_BITS = 800_000, 1_200_000, 48
+HELD_ENTRIES, BUCKET_ENTRIES, ENTRY_BITS = 400_000, 600_000, 48
 #: Rounds in which entries with several components are tied to one more of their members.
 HUB_TURNS = 2
 #: Sets and shingles in one block of a component, and columns of the tables by which two blocks are compared.
