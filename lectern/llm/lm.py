@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_stream, bounded_batches, crc_mod, materialise, table
+from ._common import arrow_stream, bounded_batches, crc_mod, materialise, release_shuffles, table
 from .ngram_join import word_hashes
 
 BLOCK_CHARS = 8_000_000
@@ -223,6 +223,7 @@ def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # One row for each word of a block; a common word has as many as there are blocks, so its total comes by a partial
     # aggregate and goes back by a join, which may split it, and never by a window.
     local = materialise(arrow_stream(dealt, _count_blocks, "block int, word long, n long", "block", "held", "text"))
+    release_shuffles(docs.sparkSession)
     totals = materialise(local.groupBy("word").agg(F.sum("n").alias("n")))
     end = int(END)
     n, v, ends = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0))).first()
@@ -236,6 +237,7 @@ def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     for turn in range(ROUNDS):
         model = _train(dealt.filter("not held"), model, vocabulary, turn)
     final, noise, start = model.parameters(), model.log_noise, len(share)
+    release_shuffles(docs.sparkSession)
     floor, other_floor, log10 = np.log10(n + v + 1), np.log10(other_n + other_v + 1), np.log(10.0)
 
     def score(batches):
