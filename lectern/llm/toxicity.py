@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, arrow_map, crc_mod, table, texts_of, worker_model
+from ._common import WORD, arrow_map, crc_mod, return_memory, table, texts_of, worker_model
 from ._gbdt import BoostedTrees
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 6000
@@ -89,7 +89,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], base_bytes: int, p
     """The toxic and the ordinary side, base included."""
     base = _trained(running(ordinary[::2], LONG_WINDOW), base_bytes, BASE_SEGMENT, BASE_UNIT)
     plain = base + _trained(running(ordinary[1::2], LONG_WINDOW), part_bytes, segment, unit) + TAIL + HEAD
-    pool, others = running(toxic, SHORT_WINDOW), running(ordinary[1::4], SHORT_WINDOW)
+    pool, others = running(toxic, SHORT_WINDOW), running(ordinary[1::8], SHORT_WINDOW)
     pool_plain, others_plain = (_lengths(_compressor(plain), x) for x in (pool, others))
     chosen = pool
     for turn in range(ROUNDS + 1):
@@ -185,7 +185,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE
     picked = F.broadcast(drawn[0].union(drawn[1]))
     joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic")
     rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(toxic + ordinary).select(F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
-    return fit(list(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())))
+    model = fit(list(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())))
+    del rows
+    return_memory()  # the driver goes on to other work
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
