@@ -26,3 +26,15 @@ def arrow_rows(df: DataFrame, fn: Callable, schema: str, columns: list[str]) ->
     return df.select(*columns).mapInArrow(body, schema)
 
 
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str, *columns: str) -> DataFrame:
+    """``fn`` of each batch's Arrow columns to a list of columns of ``schema``, all of one length."""
+    ship(df.sparkSession)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def body(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([c.cast(k.type) if isinstance(c, pa.Array) else pa.array(c, type=k.type) for c, k in zip(fn(*b.columns), kinds)], names=kinds.names)
+
+    return df.select(*columns).mapInArrow(body, schema)
