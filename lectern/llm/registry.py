@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, lm, mixing, ngram_join, pii, quality, toxicity, url_filter
+from . import bpe, chat, fingerprints, lm, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_quality": quality.op8_quality,
         "op9_chat": chat.op9_chat,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op12_sharding": sharding.op12_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op9_chat": chat.OP9_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op9_chat": chat.OP9_SQL, "op12_sharding": sharding.OP12_SQL}
