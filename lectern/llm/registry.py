@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, lm, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter
+from . import bpe, chat, collocations, fingerprints, lm, mixing, ngram_join, pii, prefix_trie, quality, sharding, toxicity, url_filter
 
 
 def queries():
@@ -17,9 +17,11 @@ def queries():
         "op8_quality": quality.op8_quality,
         "op9_chat": chat.op9_chat,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_collocations": collocations.op11_collocations,
         "op12_sharding": sharding.op12_sharding,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op9_chat": chat.OP9_SQL, "op12_sharding": sharding.OP12_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op9_chat": chat.OP9_SQL, "op11_collocations": collocations.OP11_SQL, "op12_sharding": sharding.OP12_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}

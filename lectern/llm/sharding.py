@@ -171,9 +171,9 @@ def op12_sharding(spark, sf_dir: str) -> DataFrame:
 CRC32_STEPS_SQL = "list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))"
 CRC32_SQL = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
 _HEX = "('0x' || substr({}, {}, 15))::BIGINT"
+_CHOSEN = f"list_filter(walk, lambda x: state[x + 1] < n // {SHARDS} + CASE WHEN x < n % {SHARDS} THEN 1 ELSE 0 END)[1]"
 OP12_SQL = f"""
-WITH RECURSIVE
-b AS (SELECT doc_id, coalesce(text, '') AS text, md5(md5(coalesce(text, ''))) AS m FROM documents),
+WITH b AS (SELECT doc_id, coalesce(text, '') AS text, md5(md5(coalesce(text, ''))) AS m FROM documents),
 d AS (
   SELECT doc_id, strlen(text) + 1 AS size, encode(text) AS e, {_HEX.format("m", 1)} AS place,
          row_number() OVER (ORDER BY {_HEX.format("m", 17)}, doc_id NULLS FIRST) AS turn FROM b),
@@ -182,13 +182,13 @@ nodes AS (
 near AS (SELECT turn, s, min((spot - place + {PLACES}) % {PLACES}) AS away FROM d, nodes GROUP BY turn, s),
 walks AS (SELECT turn, list(s ORDER BY away) AS walk FROM near GROUP BY turn),
 total AS (SELECT count(*) AS n FROM d),
-taken(turn, shard, loads) AS (
-  SELECT 0::BIGINT, -1::BIGINT, (SELECT list(0::BIGINT) FROM range({SHARDS}))
-  UNION ALL
-  SELECT turn, shard, list_transform(range({SHARDS}), lambda s: loads[s + 1] + CASE WHEN s = shard THEN 1 ELSE 0 END)
-  FROM (
-    SELECT w.turn, t.loads, list_filter(w.walk, lambda s: t.loads[s + 1] < n // {SHARDS} + CASE WHEN s < n % {SHARDS} THEN 1 ELSE 0 END)[1] AS shard
-    FROM taken t JOIN walks w ON w.turn = t.turn + 1, total)),
+states AS (  -- loads of the shards, then the shard of every row so far
+  SELECT list_reduce(list_concat([list_resize([]::BIGINT[], {SHARDS}, 0)], (SELECT list(walk ORDER BY turn) FROM walks)),
+           lambda state, walk: list_concat(
+             list_transform(range({SHARDS}), lambda s: state[s + 1] + ({_CHOSEN} = s)::BIGINT),
+             state[{SHARDS} + 1:], [{_CHOSEN}])) AS state
+  FROM total),
+taken AS (SELECT unnest(range(1, len(state) - {SHARDS} + 1)) AS turn, unnest(state[{SHARDS} + 1:]) AS shard FROM states),
 crc AS (
   SELECT turn, text_crc32 FROM (
     SELECT turn, {CRC32_SQL.format(bytes="list_transform(range(strlen(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)")} AS text_crc32
