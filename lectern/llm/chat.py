@@ -8,7 +8,8 @@ Template: every turn is ``<s>role[INST] text [/INST]</s>``. Inside roles and tex
 ``~l`` and ``[`` becomes ``~b``, so no control string can occur there and reading back is exact.
 
 Defined cases: null role or text is empty; a message whose parent is missing starts a tree; messages repeated under
-one (tree, msg) count once, the least (parent, role, text) stays; equal scores go to the leaf of least ``msg``;
+one (tree, msg) count once, the least (parent, role, text) stays; messages without a ``tree`` or ``msg`` are left out,
+before anything is their parent or child; equal scores go to the leaf of least ``msg``;
 messages on a cycle belong to no path; an empty table gives an empty result; columns beyond the named ones are ignored,
 whatever their names. In op9_chat a conversation -7 of the table would be one with the added one. One conversation
 is one string, so its turns meet in one task; the paths themselves are found without gathering any tree.
@@ -49,6 +50,7 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
 
     ``messages`` has tree, msg, parent and score.
     """
+    messages = messages.filter("tree is not null and msg is not null")
     messages = materialise(messages.select("tree", "msg", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
     parents = messages.select("tree", F.col("parent").alias("msg")).distinct()
     leaves = messages.select("tree", "msg").join(parents, ["tree", "msg"], "left_anti")
@@ -86,6 +88,7 @@ def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
     ``messages`` has tree, msg, parent, role, text and score; ``loss`` lists the (start, length) of each assistant
     text in ``formatted``, in code points.
     """
+    messages = messages.filter("tree is not null and msg is not null")
     whole = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
     messages = materialise(messages.groupBy("tree", "msg").agg(F.min(whole).alias("m")).select("tree", "msg", "m.*"))
     turns = reply_paths(messages, keep).join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"])

@@ -2,10 +2,11 @@
 
 Words are summed per source, every source gets a target, ``rate = target / source size``, and a document is
 emitted ``floor(rate)`` times plus once more when a hash-seeded Bernoulli draw of probability ``rate - floor(rate)``
-succeeds. The draw is the md5 of the seed and ``doc_id``: one draw a document, the same in every run.
+succeeds. The draw is the md5 of the seed and ``doc_id``, or the text's md5 where that is null: one draw a document, the
+same in every run.
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; a source of
-size 0 has target and rate 0; repeated rows (same ``doc_id``) draw alike; an empty table gives an empty result; ``mix``
+size 0 has target and rate 0; repeated rows (same ``doc_id``) draw alike; a row without a ``doc_id`` draws by its text; an empty table gives an empty result; ``mix``
 returns the input's columns, whatever their names; ``mix_plan`` adds columns to them and replaces those of their names.
 """
 
@@ -66,7 +67,8 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float
     """(row, size, source_size, target, rate, copies), with each document as a struct, so that no column names clash."""
     sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
     targets = materialise(source_targets(sizes, weights, share, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    digest = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat_ws(":", F.lit(SEED), ident))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(SPAN))
     rows = docs.select("source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(F.col("text")).alias("size"), draw.alias("draw"))
     extra = (F.col("draw") < F.col("rate") - F.floor("rate")).cast("int")
@@ -92,7 +94,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5(concat_ws(':', '{SEED}', coalesce(doc_id::VARCHAR, ':' || md5(coalesce(text, ''))))), 1, 8))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),

@@ -19,8 +19,9 @@ sets that share ``s + 1`` entries also share one outside the last ``s`` of eithe
 A bound on the symmetric difference thins the pairs before they are verified on the whole sets. Within each component
 all pairs are then counted, block by block, so that every text has its true number of links.
 
-Sets are told apart by 64-bit hashes of their shingles (chance of a wrong match: 2 ** -64 a comparison), and equal sets
-are one node by a 64-bit key of the whole set.
+Sets are told apart by 64-bit hashes of their shingles and words (random ones are alike with a chance of 2 ** -64 a
+comparison; words of over ``LONG_WORD`` bytes have a cryptographic digest), and equal sets are one node by a 64-bit key of
+the whole set.
 
 Defined cases: a null text or one without words has the empty set and links with nothing, not even its like;
 fewer words than the shingle length make one shingle; equal sets link; repeated rows (same ``doc_id``) are each
@@ -47,7 +48,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(1, np.uint64)
+#: Bytes up to which a word's hash is a polynomial.
+LONG_WORD = 64
+_POWERS = np.cumprod(np.concatenate([[U(1)], np.full(LONG_WORD, _A, np.uint64)]), dtype=np.uint64)
 #: An entry of more sets than this is crowded.
 CROWD = 16
 #: Spare segments that the cost model may choose, as shares of ``H + 1``.
@@ -68,23 +71,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased, in order."""
-    global _powers
-    data = np.frombuffer(text.encode(), np.uint8)
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 bytes, A-Z lower-cased, in order, and where each starts.
+
+    Up to ``LONG_WORD`` bytes it is a polynomial over random values of the bytes; such a polynomial modulo 2^64 is alike for
+    some longer words whatever its base, so those get a cryptographic digest.
+    """
     word = ~_SPACE[data]
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     lengths = ends - starts
     total = int(lengths.sum())
     place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    longest = int(lengths.max())
-    if longest > len(_powers):
-        _powers = np.cumprod(np.concatenate([[U(1)], np.full(2 * longest, _A | U(1), np.uint64)]), dtype=np.uint64)
-    value = _BYTE[_LOWER[data[word]]] * _powers[place]
-    return _mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64) * _C)
+    value = _BYTE[_LOWER[data[word]]] * _POWERS[np.minimum(place, LONG_WORD)]
+    out = _mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64) * _C)
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = int.from_bytes(blake2b(_LOWER[data[starts[i] : ends[i]]].astype(np.uint8).tobytes(), digest_size=8).digest(), "little")
+    return out, starts
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased, in order."""
+    return _hashed(np.frombuffer(text.encode(), np.uint8))[0]
+
+
+def words_of_texts(texts: list[str], at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, one after another, and the number of words of each: many short texts in one pass."""
+    hashes, counts, part, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        part.append(t.encode())
+        size += len(part[-1])
+        if size >= at_once or i == len(texts) - 1:
+            h, starts = _hashed(np.frombuffer(b"\n".join(part), np.uint8))
+            ends = np.cumsum([len(x) + 1 for x in part])  # each text and the line break after it
+            hashes.append(h), counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+            part, size = [], 0
+    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:

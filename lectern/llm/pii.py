@@ -121,6 +121,12 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _bounded(digits: str) -> int:
+    """The number, or a million where it is longer than six digits: groups of digits may be of any length."""
+    digits = digits.lstrip("0")
+    return 10**6 if len(digits) > 6 else int(digits or 0)
+
+
 def _side(c: str) -> int:
     return 0 if c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
 
@@ -136,7 +142,7 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
         s.startswith("+"), "(" in s, luhn(digits) if kind == 2 else 0, len(set(digits)),
         _side(before[-1:] or " "), _side(after[:1] or " "), _side(before[-2:-1] or " "), _side(after[1:2] or " "),
         bool(_GOOD.search(before)), bool(_BAD.search(before)), before.endswith("."), after.startswith("."), "dot" in s.lower(),
-        max((int(p) for p in s.split(".")), default=0) if kind == 1 else 0, kind == 0 and s[-2:].isalpha(),
+        max(_bounded(p) for p in s.split(".")) if kind == 1 else 0, kind == 0 and s[-2:].isalpha(),
     ]
 
 
