@@ -96,10 +96,16 @@ def alphabetic_suffix(n: Column) -> Column:
     return digits
 
 
+def spaced(n: Column, k: Column) -> Column:
+    """``k`` places of 0..n-1, both ends in, evenly spaced, halves to even, each once; all of them where ``k`` reaches ``n``."""
+    at = F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda i: F.bround(i * (n - 1) / F.greatest(k - 1, F.lit(1)), 0).cast("int"))
+    return F.array_distinct(at)
+
+
 def even_sample(n: Column, k: int) -> Column:
     """Up to ``k`` page numbers of 1..n, both ends in, evenly spaced, halves to even."""
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.bround(i * (n - 1) / F.lit(max(1, k - 1)), 0) + 1).cast("int"))
-    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= k, F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))).when(F.lit(k) == 1, F.array(F.lit(1))).otherwise(F.array_distinct(spaced))
+    pages = F.transform(spaced(n, F.least(n, F.lit(k))), lambda i: i + 1)
+    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(pages)
 
 
 def format_bytes(n: Column) -> Column:

@@ -7,6 +7,7 @@ from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..session import ship
@@ -42,7 +43,8 @@ def cut(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
 def chunk(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, page_number, text) to (doc_id, page_number, chunk_index, text), numbered through each document's pages.
 
-    The cuts depend on each other, so a worker makes them; the numbering is a window over the narrow page counts.
+    The cuts depend on each other, so a worker makes them; the numbering is a window over each document's chunks. Documents
+    of one page need none: see ``chunk_documents``.
     """
     import pyarrow as pa
 
@@ -60,6 +62,30 @@ def chunk(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFra
     return cuts.withColumn("chunk_index", F.row_number().over(order) - 1).drop("place")
 
 
+def chunk_documents(docs: DataFrame, *kept: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, page_number, chunk_index, text, and the columns ``kept``) of documents that are one page each, in one pass.
+
+    The worker that cuts a text numbers its chunks and repeats what goes with them, so nothing is shuffled or joined. A
+    null text has no chunk.
+    """
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+    fields = [docs.schema["doc_id"], *[docs.schema[c] for c in kept]]
+    out = StructType([fields[0], StructField("page_number", IntegerType()), StructField("chunk_index", IntegerType()), StructField("text", StringType()), *fields[1:]])
+
+    def body(batches):
+        for b in batches:
+            pieces = [cut(t or "", size, overlap) for t in b.column(1).to_pylist()]
+            rows = pa.array([i for i, p in enumerate(pieces) for _ in p], pa.int64())
+            places = [k for p in pieces for k in range(len(p))]
+            more = [b.column(2 + k).take(rows) for k in range(len(kept))]
+            columns = [b.column(0).take(rows), pa.array([1] * len(places), pa.int32()), pa.array(places, pa.int32()), pa.array([c for p in pieces for c in p], pa.string()), *more]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return docs.select("doc_id", "text", *kept).mapInArrow(body, out)
+
+
 def documents_as_pages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lit(1).alias("page_number"), "text", "lang")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Characters below which a finding is not looked for.
+LEAST_RESIDUAL = 3
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 
 
@@ -47,6 +51,33 @@ def requires_review(conclusions: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def residual_text(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Findings (doc_id, text) whose text, white space off and folded, has three characters or more and is still in their document."""
+    """Findings (doc_id, text) whose text, white space off and folded, has three characters or more and is still in their document.
+
+    Each document meets the distinct texts of all its findings at once, as one automaton, and is read once whatever their
+    number. Null texts are in nothing and hold nothing; rows without a doc_id meet no document.
+    """
     bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    return findings.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").filter((F.length(bare(F.col("text"))) >= 3) & F.contains(bare(F.col("_text")), bare(F.col("text")))).drop("_text")
+    rows = findings.withColumn("_bare", bare(F.col("text"))).filter(F.length("_bare") >= LEAST_RESIDUAL)
+    sought = rows.groupBy("doc_id").agg(F.collect_set("_bare").alias("sought"))
+    both = docs.select("doc_id", bare(F.col("text")).alias("bare")).join(sought, "doc_id")
+
+    def body(batches):
+        for b in batches:
+            keys, found = [], []
+            for key, text, sought_ in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                there = _occurring(text or "", sought_)
+                keys += [key] * len(there)
+                found += there
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], b.column(0).type), pa.array(found, pa.string())], names=["doc_id", "_bare"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    there = both.mapInArrow(body, f"doc_id {kind}, _bare string").distinct()
+    return rows.join(there, ["doc_id", "_bare"], "left_semi").drop("_bare")
+
+
+def _occurring(text: str, sought: list[str]) -> list[str]:
+    automaton = ahocorasick.Automaton()
+    for s in sought:
+        automaton.add_word(s, s)
+    automaton.make_automaton()
+    return sorted({s for _, s in automaton.iter(text)})

@@ -5,9 +5,13 @@ A finding has doc_id, id, page, category, group, text, confidence and a box of p
 
 from __future__ import annotations
 
+from math import floor, frexp
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .privacy import TAXONOMY
 
 # Shares of a page, overlap of equal boxes, versions' risks and limits of a report.
@@ -58,23 +62,64 @@ def percent_to_points(x: Column, y: Column, w: Column, h: Column, width: Column,
     }
 
 
+class _Grid:
+    """Boxes of one page by the cells they touch. Boxes are put on the level whose cells are just larger than they are, so
+    each touches four cells at most; a search looks at the cells of each level that its box touches."""
+
+    def __init__(self):
+        self.levels: dict[int, dict[tuple[int, int], list[tuple]]] = {}
+
+    def _cells(self, level: int, box: tuple) -> tuple[range, range]:
+        size = 2.0**level
+        return range(floor(box[0] / size), floor(box[2] / size) + 1), range(floor(box[1] / size), floor(box[3] / size) + 1)
+
+    def add(self, box: tuple) -> None:
+        level = max(frexp(max(box[2] - box[0], box[3] - box[1], 1.0))[1], 0)
+        columns, rows = self._cells(level, box)
+        cells = self.levels.setdefault(level, {})
+        for x in columns:
+            for y in rows:
+                cells.setdefault((x, y), []).append(box)
+
+    def near(self, box: tuple):
+        for level, cells in self.levels.items():
+            columns, rows = self._cells(level, box)
+            if len(columns) * len(rows) > len(cells):
+                yield from (b for (x, y), boxes in cells.items() if x in columns and y in rows for b in boxes)
+            else:
+                yield from (b for x in columns for y in rows for b in cells.get((x, y), ()))
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    area = lambda x0, y0, x1, y1: max(x1 - x0, 0.0) * max(y1 - y0, 0.0)
+    shared = area(max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3]))
+    return shared / max(min(area(*a), area(*b)), 1.0) > SAME_BOX
+
+
 def drop_same_boxes(findings: DataFrame) -> DataFrame:
     """Findings without those whose box shares more than three quarters of the smaller area with a better one kept on its page.
 
-    Better is by priority, confidence, top, left and id. The choice is greedy, so it folds over the findings of one page.
+    Better is by priority, confidence, top, left, id, right and bottom; of rows equal in all these one stays. The choice is
+    greedy: rows stream through a worker page by page, the better first, and a worker holds a grid of the boxes that its
+    page has kept. Whole rows go through, so an id may repeat. A box with a null corner is like no other and stays.
     """
-    row = F.struct((-priority_of(F.col("category"))).alias("p"), (-F.col("confidence")).alias("c"), F.col("y0").alias("y0"), F.col("x0").alias("x0"), F.col("id").alias("id"), F.col("x1").alias("x1"), F.col("y1").alias("y1"))
-    area = lambda b: box_area(b["x0"], b["y0"], b["x1"], b["y1"])
-
-    def same(a, b):
-        shared = box_area(F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"]), F.least(a["x1"], b["x1"]), F.least(a["y1"], b["y1"]))
-        return shared / F.greatest(F.least(area(a), area(b)), F.lit(1.0)) > SAME_BOX
-
-    pages = findings.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    nothing = F.slice("rows", 1, 0)
-    kept = F.aggregate("rows", nothing, lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.array_append(acc, x)))
-    ids = pages.select("doc_id", "page", F.explode(F.transform(kept, lambda k: k["id"])).alias("id"))
-    return findings.join(ids, ["doc_id", "page", "id"], "left_semi")
+    ship(findings.sparkSession)
+    better = {"_p": -priority_of(F.col("category")), "_c": -F.col("confidence")}
+    ordered = findings.withColumns(better).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "_p", "_c", "y0", "x0", "id", "x1", "y1").drop("_p", "_c")
+
+    def body(batches):
+        page, kept = None, _Grid()
+        for b in batches:
+            stays = []
+            for now, box in zip(zip(*(b.column(c).to_pylist() for c in ("doc_id", "page"))), zip(*(b.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")))):
+                if now != page:
+                    page, kept = now, _Grid()
+                stays.append(None in box or not any(_same(box, k) for k in kept.near(box)))
+                if stays[-1] and None not in box:
+                    kept.add(box)
+            yield b.filter(pa.array(stays, pa.bool_()))
+
+    return ordered.mapInArrow(body, ordered.schema)
 
 
 def number_findings(findings: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+from ..functions.ordering import in_order, join_spans, spans_of
 from ..session import ship
 
 # Attempts, backoff, stale time and spacing of the job queue, in seconds; session and limiter windows.
@@ -127,13 +129,23 @@ def reserve_request(jobs: DataFrame, requests: DataFrame, now: Column, spacing:
 def space_requests(requests: DataFrame, spacing: int = SPACING) -> DataFrame:
     """(id, provider, asked_at, starts_at): requests of a provider in order, each ``spacing`` seconds after the one before at least.
 
-    ``starts_at`` is the largest of asked_at(j) + (i - j) * spacing over j up to i: a running maximum, no fold.
+    ``starts_at`` is the largest of asked_at(j) + (i - j) * spacing over j up to i. Each partition of a range sort takes its
+    own running maximum; the number of rows and the maximum that a provider brings from earlier partitions are added to it,
+    so all requests may be one provider's. Requests without a provider are one provider's.
     """
-    w = Window.partitionBy("provider").orderBy("asked_at", "id")
-    step = F.row_number().over(w).cast("long") * (spacing * 1_000_000)
-    us = F.unix_micros(F.col("asked_at").cast("timestamp"))
-    moved = requests.withColumn("_step", step).withColumn("_base", us - F.col("_step"))
-    return moved.withColumn("starts_at", F.timestamp_micros(F.max("_base").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_step"))).select("id", "provider", "asked_at", "starts_at")
+    rows = in_order(requests.select("id", "provider", "asked_at", F.unix_micros(F.col("asked_at").cast("timestamp")).alias("_us")), "provider", "_us", "id")
+    gap = spacing * 1_000_000
+    base = F.col("_us") - F.col("_at").bitwiseAND((1 << 33) - 1) * gap  # of the place within the partition
+    spans = spans_of(rows.withColumn("_base", base), "provider", _most=F.max("_base"))
+    # Places count from the provider's first row: shift by the rows before the span and by its first place.
+    shift = (F.col("_first").bitwiseAND((1 << 33) - 1) - F.col("_before")) * gap
+    earlier = Window.partitionBy("provider").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_shift", shift).withColumn("_carried", F.max(F.col("_most") + F.col("_shift")).over(earlier))
+    both = join_spans(rows.withColumn("_base", base), spans, "provider")
+    within = F.max("_base").over(Window.partitionBy("_part", "provider").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.col("_at") - F.col("_first") + F.col("_before")
+    starts = F.greatest(within + F.col("_shift"), F.col("_carried")) + place * gap
+    return both.withColumn("starts_at", F.timestamp_micros(starts)).select("id", "provider", "asked_at", "starts_at")
 
 
 def upsert_jobs(jobs: DataFrame, requested: DataFrame, key: str, now: Column) -> DataFrame:
@@ -229,33 +241,39 @@ def sessionize(events: DataFrame, key: str, ts: str, ttl: int = SESSION_TTL) ->
     return numbered.groupBy(key, "session").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("touches"))
 
 
-def limit_step(times: deque, now: float, limit: int, window: float = LIMIT_WINDOW) -> int:
-    """One request against the log of allowed ones: 0 if allowed (and logged), else seconds to wait."""
+def limit_step(times: deque, now: float, limit: int, window: float = LIMIT_WINDOW, second: float = 1) -> int:
+    """One request against the log of allowed ones: 0 if allowed (and logged), else whole seconds to wait. ``second`` is the
+    unit of the times; with integers, such as microseconds, all is exact."""
     while times and now - times[0] >= window:
         times.popleft()
     if len(times) >= limit:
-        return max(1, -int(-(window - (now - times[0])) // 1))
+        return max(1, int(-(-(window - (now - times[0])) // second)))
     times.append(now)
     return 0
 
 
 def rate_limit(requests: DataFrame, limit: int, window: int = LIMIT_WINDOW) -> DataFrame:
-    """(event_id, client, allowed, retry_after): denied requests leave no trace in the window, so the log is a fold.
+    """(event_id, client, bucket, allowed, retry_after): denied requests leave no trace in the window, so the log is a fold.
 
-    Rows of a client are sorted and streamed through in batches; a worker holds one log of at most ``limit`` times.
+    A client has a log for each bucket (one where ``requests`` has no such column); requests without a client share one, as
+    do those without a bucket. Rows of a log are sorted and streamed through in batches; a worker holds one log of at most
+    ``limit`` times. ``client`` and ``bucket`` keep their types.
     """
     ship(requests.sparkSession)
-    dealt = requests.select("event_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    dealt = dealt.repartition("client").sortWithinPartitions("client", "us", "event_id")
+    if "bucket" not in requests.columns:
+        requests = requests.withColumn("bucket", F.lit(None).cast("string"))
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    dealt = requests.select("event_id", "client", "bucket", us).repartition("client", "bucket").sortWithinPartitions("client", "bucket", "us", "event_id")
+    out = StructType([*dealt.schema.fields[:3], StructField("allowed", BooleanType()), StructField("retry_after", IntegerType())])
 
     def body(batches):
-        client, log = None, deque()
-        for pdf in batches:
+        now, log = None, deque()
+        for b in batches:
             waits = []
-            for c, us in zip(pdf["client"], pdf["us"]):
-                if c != client:
-                    client, log = c, deque()
-                waits.append(limit_step(log, us / 1e6, limit, window))
-            yield pd.DataFrame({"event_id": pdf["event_id"], "client": pdf["client"], "allowed": [w == 0 for w in waits], "retry_after": waits})
+            for client, bucket, us in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
+                if (client, bucket) != now:
+                    now, log = (client, bucket), deque()
+                waits.append(limit_step(log, us, limit, window * 1_000_000, 1_000_000))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([w == 0 for w in waits], pa.bool_()), pa.array(waits, pa.int32())], names=out.names)
 
-    return dealt.mapInPandas(body, "event_id long, client long, allowed boolean, retry_after int")
+    return dealt.mapInArrow(body, out)

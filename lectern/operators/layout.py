@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..functions.ordering import in_order, join_spans, spans_of
 
 # Confidences, markers of company names and of scores, bounds on second readings.
 HIGH, LOW = 85.0, 60.0
@@ -16,6 +17,8 @@ NUMERIC_LABELS = ("балл", "оценка", "score")
 MOST_CELLS, MOST_TARGETED = 20, 12
 #: Height of the bands of a page in which words meet cells.
 BAND = 160
+#: Places of a text in which spans meet words.
+BUCKET = 1024
 
 
 def lines_of(words: DataFrame) -> DataFrame:
@@ -194,11 +197,60 @@ def tesseract_words(rows: DataFrame) -> DataFrame:
     return rows.filter((F.trim("text") != "") & (F.col("confidence") >= 0))
 
 
+def word_offsets(words: DataFrame) -> DataFrame:
+    """Words with ``start`` and ``end``, their place in the page's text: words in order of ``place``, a line break where block
+    or line changes, else a space.
+
+    ``words`` has doc_id, page, place, block, line and text. Offsets are running sums of lengths, by partitions of a range
+    sort, so a page of any number of words is no single task. A null text is empty.
+    """
+    page = F.struct("doc_id", "page")
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    rows = in_order(words.withColumn("_page", page).withColumn("_size", size + 1), "_page", "place")
+    spans = spans_of(rows, "_page", _chars=F.sum("_size"))
+    earlier = Window.partitionBy("_page").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    both = join_spans(rows, spans.withColumn("_carried", F.coalesce(F.sum("_chars").over(earlier), F.lit(0))), "_page")
+    within = F.sum("_size").over(Window.partitionBy("_part", "_page").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    end = F.col("_carried") + within - 1
+    kept = [c for c in words.columns if c not in ("start", "end")]
+    return both.withColumn("end", end).select(*kept, (F.col("end") - F.col("_size") + 1).alias("start"), "end")
+
+
+def page_texts(words: DataFrame) -> DataFrame:
+    """(doc_id, page, text) as ``word_offsets`` counts it."""
+    word = F.struct("place", "block", "line", F.coalesce("text", F.lit("")).alias("text"))
+    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    parted = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a["text"], F.when(b.isNull(), "").when(a["block"].eqNullSafe(b["block"]) & a["line"].eqNullSafe(b["line"]), " ").otherwise("\n")))
+    return pages.select("doc_id", "page", F.array_join(parted, "").alias("text"))
+
+
+def scaled_words(words: DataFrame, dpi: Column) -> DataFrame:
+    """OCR words with their boxes in points in place of pixels; words of any confidence stay."""
+    return words.withColumns({c: F.col(c) * 72 / dpi for c in ("x0", "y0", "x1", "y1")})
+
+
+def span_words(spans: DataFrame, words: DataFrame) -> DataFrame:
+    """Each pair of a span and a word of its page (of its document, where spans have no page) that overlap, once: the span's
+    columns, then the word's, its offsets as word_start and word_end.
+
+    Both sides meet in buckets of ``BUCKET`` places; a pair counts in the first bucket that both touch, so a long text pairs
+    neighbours only. Empty spans and words overlap nothing.
+    """
+    keys = [c for c in ("doc_id", "page") if c in spans.columns]
+    bucket = lambda c: F.floor(c / BUCKET)
+    touched = lambda s, e: F.explode(F.sequence(bucket(s), bucket(e - 1)))
+    at = [c for c in words.columns if c not in (*keys, "start", "end")]
+    w = words.filter("start < end").select(*keys, F.col("start").alias("word_start"), F.col("end").alias("word_end"), *at)
+    w = w.withColumn("_bucket", touched(F.col("word_start"), F.col("word_end")))
+    s = spans.filter("start < end").withColumn("_bucket", touched(F.col("start"), F.col("end")))
+    first = F.greatest(bucket(F.col("start")), bucket(F.col("word_start")))
+    return s.join(w, [*keys, "_bucket"]).filter((F.col("word_start") < F.col("end")) & (F.col("word_end") > F.col("start")) & (F.col("_bucket") == first)).drop("_bucket")
+
+
 def span_boxes(spans: DataFrame, words: DataFrame, pad: float = 1.5) -> DataFrame:
     """Box of each span: the union of the boxes of the words that it overlaps, widened by ``pad``."""
-    w = words.select("doc_id", F.col("start").alias("ws"), F.col("end").alias("we"), "x0", "y0", "x1", "y1")
-    hits = spans.join(w, "doc_id").filter("ws < end and we > start")
-    return hits.groupBy("doc_id", "start", "end").agg((F.min("x0") - pad).alias("x0"), (F.min("y0") - pad).alias("y0"), (F.max("x1") + pad).alias("x1"), (F.max("y1") + pad).alias("y1"))
+    keys = [c for c in ("doc_id", "page", "start", "end") if c in spans.columns]
+    return span_words(spans.select(*keys).distinct(), words).groupBy(*keys).agg((F.min("x0") - pad).alias("x0"), (F.min("y0") - pad).alias("y0"), (F.max("x1") + pad).alias("x1"), (F.max("y1") + pad).alias("y1"))
 
 
 def adaptive_dpi(width: Column, height: Column, most: int = 300, pixels: int = 20_000_000, least: int = 72) -> Column:

@@ -213,8 +213,12 @@ def _identifier(category: str, value: str) -> tuple[str, float] | None:
     return (found or category) if category == "IIN_OR_BIN" else category, 0.99 if found else 0.86
 
 
-def pattern_spans(text: str) -> list[dict]:
-    """All pattern candidates of a text, identifiers included; overlaps are not resolved."""
+def pattern_spans(text: str, groups: Iterable[str] = TEXT_GROUPS) -> list[dict]:
+    """All pattern candidates of a text whose category is in ``groups``, identifiers included; overlaps are not resolved."""
+    return [s for s in _candidates(text) if s["group"] in groups]
+
+
+def _candidates(text: str) -> list[dict]:
     there = {need for need, sign in SIGNS.items() if sign.search(text)}
     out = [_span(a, b, "AMOUNT", 0.95, 80, "pattern") for a, b in amounts(text)] if "digit" in there else []
     for category, confidence, priority, pattern in _compiled():
@@ -268,13 +272,14 @@ def _cards(text: str) -> list[dict]:
     return out
 
 
-def rule_spans(text: str) -> list[dict]:
-    """Spans of the built-in recognisers, before the last resolution."""
-    candidates = pattern_spans(text)
+def rule_spans(text: str, groups: Iterable[str] = TEXT_GROUPS) -> list[dict]:
+    """Spans of the built-in recognisers, before the last resolution. Other groups' candidates are gone before they can
+    take the place of any: a span that a company's name would cover is found where companies are not asked for."""
+    candidates = pattern_spans(text, groups)
     patterns = [s for s in disjoint(candidates, len(text)) if s["category"] not in (*IDENTIFIERS, "IBAN", "PAYMENT_CARD")]
     identifiers = disjoint([s for s in candidates if s["source"] == "identifier"], len(text))
     numbers = [*_ibans(text), *_cards(text)] if SIGNS["digit"].search(text) else []
-    return [*patterns, *[_in_context(text, s) for s in identifiers], *numbers]
+    return [*patterns, *[_in_context(text, s) for s in identifiers], *[s for s in numbers if s["group"] in groups]]
 
 
 class DetectionIncomplete(RuntimeError):
@@ -287,7 +292,7 @@ def detect_text(text: str, recognisers: dict[str, Callable] | None = None, group
     spans, failures, groups = [], [], set(groups)
     for name, find in {"rules": None, **(recognisers or {})}.items():
         try:
-            spans += rule_spans(text) if find is None else [_span(a, b, c, conf, TAXONOMY[c][1], name, True) for a, b, c, conf in find(text)]
+            spans += rule_spans(text, groups) if find is None else [_span(a, b, c, conf, TAXONOMY[c][1], name, True) for a, b, c, conf in find(text)]
         except Exception as e:  # noqa: BLE001  whatever a recogniser raises belongs to its text
             failures.append({"detector": name, "message": (str(e).strip() or type(e).__name__)[:240]})
     if failures and fail_closed:
@@ -358,7 +363,7 @@ def replacement_labels(findings: DataFrame) -> DataFrame:
     value = F.lower(F.trim(F.coalesce("text", F.lit(""))))
     keyed = findings.withColumn("_value", F.when(value != "", value).otherwise(F.concat(F.lit("\x00"), F.col("id").cast("string"))))
     firsts = keyed.groupBy("doc_id", "category", "_value").agg(F.min("place").alias("_first"))
-    firsts = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("_first")))
+    firsts = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("_first", "_value")))
     names = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), F.col("category")), F.lit(OTHER_LABEL))
     label = F.when(F.col("category").isin(*NUMBERED), F.concat(names, F.lit(" "), alphabetic_suffix(F.col("_n")))).otherwise(names)
     return keyed.join(firsts, ["doc_id", "category", "_value"]).select("doc_id", "id", label.alias("label"))

@@ -14,8 +14,7 @@ from ..session import materialise
 
 def analyze(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts per document, chunks) of documents with doc_id, text and lang."""
-    pages = chunking.documents_as_pages(docs)
-    chunks = chunking.chunk_facts(chunking.chunk(pages)).join(docs.select("doc_id", "lang"), "doc_id")
+    chunks = chunking.chunk_facts(chunking.chunk_documents(docs, "lang"))
     shares = chunking.language_distribution(chunks)
     facts = docs.select("doc_id", T.word_count(F.col("text")).alias("word_count"), T.char_count(F.col("text")).alias("char_count"))
     by_doc = shares.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("language_distribution"))

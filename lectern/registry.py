@@ -74,8 +74,7 @@ _BM25 = f"""
 
 
 def _chunks(read):
-    docs = read("documents")
-    return chunking.chunk_facts(chunking.chunk(chunking.documents_as_pages(docs))).join(docs.select("doc_id", "lang"), "doc_id")
+    return chunking.chunk_facts(chunking.chunk_documents(read("documents"), "lang"))
 
 
 def _questions(spark):
@@ -419,9 +418,13 @@ def sessions(spark, read):
     return jobs.sessionize(read("events"), "user_id", "ts").select("user_id", "session", "touches")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+  s AS (SELECT event_id, user_id, event_type, n, [us] AS log, true AS allowed, 0::BIGINT AS wait FROM o WHERE n = 1
+    UNION ALL SELECT event_id, user_id, event_type, n, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END, len(live) < 3, CASE WHEN len(live) < 3 THEN 0 ELSE greatest(1, (86400000000 - (us - live[1]) + 999999) // 1000000) END
+    FROM (SELECT o.*, list_filter(s.log, lambda t: o.us - t < 86400000000) AS live FROM s JOIN o ON o.user_id = s.user_id AND o.event_type = s.event_type AND o.n = s.n + 1))
+  SELECT event_id, user_id AS client, event_type AS bucket, allowed, wait::INTEGER AS retry_after FROM s""")
 def rate_limit(spark, read):
-    return jobs.rate_limit(read("events").select("event_id", F.col("user_id").alias("client"), "ts"), limit=3, window=7200)
+    return jobs.rate_limit(read("events").select("event_id", F.col("user_id").alias("client"), F.col("event_type").alias("bucket"), "ts"), limit=3, window=86400)
 
 
 def _all_words(read):
@@ -490,7 +493,7 @@ def ask_contexts(spark, read):
 
 
 def queries():
-    from . import registry_work  # noqa: F401  registers its queries
+    from . import registry_state, registry_work  # noqa: F401  register their queries
 
     return dict(QUERIES)
 

@@ -236,7 +236,16 @@ def _boxes(read):
     return read("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("id"), (F.col("l_linenumber") % 2 + 1).alias("page"), kinds.alias("category"), F.lit("personal").alias("group"), F.col("l_discount").alias("confidence"), x.alias("x0"), y.alias("y0"), (x + 12).alias("x1"), (y + 9).alias("y1"), F.col("l_returnflag").alias("text"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"))
 
 
-@query()
+_SAME = "greatest(least(k.x1, o.x1) - greatest(k.x0, o.x0), 0) * greatest(least(k.y1, o.y1) - greatest(k.y0, o.y0), 0) / greatest(least((k.x1 - k.x0) * (k.y1 - k.y0), (o.x1 - o.x0) * (o.y1 - o.y0)), 1) > 0.75"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, 'f' || l_linenumber AS id, l_linenumber % 2 + 1 AS page, ['EMAIL', 'PERSON', 'IIN', 'DATE'][l_linenumber % 4 + 1] AS category, l_discount AS c,
+    (l_partkey % 7 * 10)::DOUBLE AS x0, (l_suppkey % 3 * 10)::DOUBLE AS y0, (l_partkey % 7 * 10 + 12)::DOUBLE AS x1, (l_suppkey % 3 * 10 + 9)::DOUBLE AS y1 FROM lineitem),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE category {' '.join(f"WHEN '{c}' THEN {privacy.TAXONOMY[c][1]}" for c in ('EMAIL', 'PERSON', 'IIN', 'DATE'))} END DESC, c DESC, y0, x0, id, x1, y1) AS n FROM b),
+  s AS (SELECT doc_id, page, n, id, category, x0, y0, true AS stays, [struct_pack(x0, y0, x1, y1)] AS kept FROM o WHERE n = 1
+    UNION ALL SELECT doc_id, page, n, id, category, x0, y0, fresh, CASE WHEN fresh THEN list_append(kept, struct_pack(x0, y0, x1, y1)) ELSE kept END
+    FROM (SELECT o.*, s.kept, len(list_filter(s.kept, lambda k: {_SAME})) = 0 AS fresh FROM s JOIN o ON o.doc_id = s.doc_id AND o.page = s.page AND o.n = s.n + 1))
+  SELECT doc_id, 'finding-' || row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, id) AS id, page, category, x0, y0 FROM s WHERE stays""")
 def finding_boxes(spark, read):
     return findings.number_findings(findings.drop_same_boxes(_boxes(read))).select("doc_id", "id", "page", "category", "x0", "y0")
 
@@ -245,7 +254,7 @@ _LABEL_SQL = "CASE category " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in pr
 
 
 @query(f"""WITH f AS (SELECT l_orderkey AS doc_id, 'f' || l_linenumber AS id, ['EMAIL', 'PERSON', 'IIN', 'DATE'][l_linenumber % 4 + 1] AS category, lower(l_returnflag) AS v, l_linenumber * 1000000 + l_partkey AS place FROM lineitem),
-  m AS (SELECT doc_id, category, v, min(place) AS first FROM f GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY first) AS i FROM m)
+  m AS (SELECT doc_id, category, v, min(place) AS first FROM f GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY first, v) AS i FROM m)
   SELECT doc_id, id, {_LABEL_SQL} || CASE WHEN category = 'PERSON' THEN ' ' || chr((64 + i)::INTEGER) ELSE '' END AS label FROM f JOIN n USING (doc_id, category, v)""")
 def finding_labels(spark, read):
     return privacy.replacement_labels(_boxes(read))
@@ -285,12 +294,29 @@ def budget_chunks(spark, read):
     return review.within_budget(_chunks(read), ["doc_id"], ["chunk_index"], F.length("text"), review.RETRIEVAL_CHARS).select("doc_id", "chunk_index")
 
 
-@query()
+#: Contexts of a document in order, without what a chunk shares with the one before.
+_CONTEXTS = f"""{_CHUNKS}, p AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM c),
+  v AS (SELECT *, coalesce(list_max(list_filter(range(20, 151), lambda k: before IS NOT NULL AND k <= length(before) AND k <= length(text) AND ends_with(before, text[1:k]))), 0) AS overlap FROM p),
+  e AS (SELECT * REPLACE (CASE WHEN overlap > 0 THEN regexp_replace(text[overlap + 1:], '^\\s+', '') ELSE text END AS text) FROM v),
+  y AS (SELECT doc_id, list('[chunk=' || chunk_index || '; страница 1; ' || {_FACTS.format('; ')} ORDER BY chunk_index) AS ctx, sum(length(text))::BIGINT AS total_chars FROM e WHERE text <> '' GROUP BY doc_id)"""
+
+
+@query(f"""WITH RECURSIVE {_CONTEXTS},
+  l AS (SELECT *, list_sum(list_transform(ctx, lambda t: length(t))) AS chars FROM y),
+  k AS (SELECT *, greatest(1, least(len(ctx), 50000 // greatest(chars // len(ctx), 1)))::BIGINT AS k FROM l),
+  s AS (SELECT *, list_transform(list_sort(list_distinct(list_transform(range(k), lambda i: round_even(i * (len(ctx) - 1) / greatest(k - 1, 1), 0)::BIGINT))), lambda i: ctx[i + 1]) AS picked FROM k),
+  j AS (SELECT *, coalesce(list_max(list_filter(range(len(picked)), lambda j: coalesce(list_sum(list_transform(picked[1:j], lambda t: length(t))), 0) + length(ctx[-1]) + 2 * j <= 50000)), 0) AS j FROM s),
+  h AS (SELECT *, CASE WHEN chars + 2 * (len(ctx) - 1) <= 50000 THEN ctx WHEN k = 1 THEN [ctx[1][1:50000]] ELSE list_append(picked[1:j], ctx[-1]) END AS chosen FROM j),
+  t AS (SELECT *, array_to_string(chosen, chr(10) || chr(10)) AS prompt FROM h)
+  SELECT doc_id, prompt[1:50000] AS prompt, total_chars, CASE WHEN complete THEN total_chars ELSE least(total_chars, 50000) END AS reviewed_chars, complete
+  FROM (SELECT *, len(chosen) = len(ctx) AND length(prompt) <= 50000 AS complete FROM t)""")
 def review_quick(spark, read):
     return review.quick_review(_context_chunks(read))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CONTEXTS},
+  b AS (SELECT doc_id, total_chars, list_reduce(list_transform(ctx, lambda t: [t]), lambda s, t: CASE WHEN length(s[-1]) + 2 + length(t[1]) <= 10000 THEN list_append(s[:len(s) - 1], s[-1] || chr(10) || chr(10) || t[1]) ELSE list_concat(s, t) END) AS batches FROM y)
+  SELECT doc_id, batches, total_chars, len(batches) > 6 AS too_large FROM b""")
 def review_thorough(spark, read):
     return review.thorough_review(_context_chunks(read))
 

@@ -13,11 +13,13 @@ from ..operators.jobs import LIMIT_WINDOW, SESSION_TTL, limit_step
 
 
 def rate_limit_stream(requests: DataFrame, limit: int, window: int = LIMIT_WINDOW, forget: bool = True) -> DataFrame:
-    """``rate_limit`` over a stream: the state of a client is its log of at most ``limit`` allowed times.
+    """``rate_limit`` over a stream: the state of a client and bucket is its log of at most ``limit`` allowed times.
 
-    With ``forget`` a client that is silent for the window, by the clock of the cluster, is forgotten; the stream then has
+    With ``forget`` a log that is silent for the window, by the clock of the cluster, is forgotten; the stream then has
     a batch whenever that is due, so it never comes to rest.
     """
+    if "bucket" not in requests.columns:
+        requests = requests.withColumn("bucket", F.lit(None).cast("string"))
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -25,14 +27,15 @@ def rate_limit_stream(requests: DataFrame, limit: int, window: int = LIMIT_WINDO
             return
         log = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        waits = [limit_step(log, us / 1e6, limit, window) for us in rows["us"]]
+        waits = [limit_step(log, int(us), limit, window * 1_000_000, 1_000_000) for us in rows["us"]]
         state.update((list(log),))
         if forget:
             state.setTimeoutDuration(window * 1000)
-        yield pd.DataFrame({"event_id": rows["event_id"], "client": key[0], "allowed": [w == 0 for w in waits], "retry_after": waits})
+        out = pd.DataFrame({"event_id": rows["event_id"], "client": rows["client"], "bucket": rows["bucket"], "allowed": [w == 0 for w in waits], "retry_after": waits})
+        yield out.astype({"client": "Int64"})
 
-    keyed = requests.select("event_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return keyed.groupBy("client").applyInPandasWithState(step, "event_id long, client long, allowed boolean, retry_after int", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
+    keyed = requests.select("event_id", "client", "bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return keyed.groupBy("client", "bucket").applyInPandasWithState(step, "event_id long, client long, bucket string, allowed boolean, retry_after int", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def session_stream(events: DataFrame, key: str, ts: str, ttl: int = SESSION_TTL) -> DataFrame:

@@ -98,15 +98,56 @@ def test_chunks_are_cut_after_a_strip():
 
 
 def test_pieces_and_batches():
-    context = "[chunk=7; страница 1; extraction=ocr; quality=low; confidence=80.0]\n" + "слово " * 400
-    parts = review.split_context(context, 300)
+    heads = ["[chunk=7; страница 1; extraction=ocr; quality=low; confidence=80.0]", "[chunk=7; страница 1; extraction=ocr; quality=low; continued]", "[chunk=7]"]
+    parts = review.under_heads(heads, "слово " * 400, 300)
     assert len(parts) > 5 and all(p.startswith("[chunk=7") and len(p) <= 300 for p in parts) and "continued" in parts[1]
     assert " ".join(p.partition("\n")[2] for p in parts).split() == ["слово"] * 400
     assert review.fill_batches(["a" * 5, "b" * 3, "c" * 4], 10) == ["aaaaa\n\nbbb", "cccc"]
     assert review.split_with_placeholders("aaa bbb [PERSON_1] ccc", 12) == ["aaa bbb", "[PERSON_1]", "ccc"]
     with pytest.raises(ValueError):
         review.split_with_placeholders("[PERSON_123456789]", 8)
-    assert review.representative([str(i) * 10 for i in range(10)], 40) == ["0" * 10, "5" * 10, "9" * 10][:3] or len(review.representative([str(i) * 10 for i in range(10)], 40)) <= 3
+    assert review.under_heads(heads, "a " * 40, 40)[1].startswith("[chunk=7]\n") and review.under_heads(heads, "short", 300) == [heads[0] + "\nshort"]
+    with pytest.raises(ValueError):
+        review.under_heads(heads, "a " * 40, 10)
+    for text in ("x [A_1] y", "[[A] b] c", "no [open end " * 9, "a] b [c " * 9):
+        for most in (8, 13, 20):
+            want = _cut_by_scanning(text, most)
+            if want is None:
+                with pytest.raises(ValueError):
+                    review.split_with_placeholders(text, most)
+            else:
+                assert review.split_with_placeholders(text, most) == want
+
+
+def _cut_by_scanning(text, most):
+    out = []
+    while len(text) > most:
+        part = text[:most]
+        if part.rfind("[") > part.rfind("]"):
+            part = part[: part.rfind("[")]
+        at = max(part.rfind(" "), part.rfind("\n"))
+        part = part[:at] if at >= max(len(part) // 2, 1) else part
+        if not part:
+            return None
+        out.append(part.strip())
+        text = text[len(part) :].strip()
+    return [*out, text] if text else out
+
+
+@pytest.mark.parametrize("most", [0, 5, 40, 47, 60, 5000])
+def test_representative_contexts_fit(spark, most):
+    for n in (1, 2, 3, 10, 23):
+        contexts = [chr(97 + i) * (5 + 7 * i % 19) for i in range(n)]
+        got = one(spark, r=review.representative(F.array(*map(F.lit, contexts)), most))["r"]
+        want = contexts
+        if most <= 0:
+            want = []
+        elif len("\n\n".join(contexts)) > most:
+            k = max(1, min(n, most // max(sum(map(len, contexts)) // n, 1)))
+            want = [contexts[0][:most]] if k == 1 else [contexts[i] for i in dict.fromkeys(round(i * (n - 1) / (k - 1)) for i in range(k))]
+            while k > 1 and len(want) > 1 and len("\n\n".join(want)) > most:
+                want = [*want[:-2], want[-1]]
+        assert got == want
 
 
 def _chunks(spark, texts, **more):
