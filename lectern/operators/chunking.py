@@ -127,15 +127,29 @@ def trim_overlaps(chunks: DataFrame) -> DataFrame:
 
 
 def greedy_batches(chunks: DataFrame, limit: int = 6500, separator: int = 2) -> DataFrame:
-    """(doc_id, chunk_index, batch): chunks in order fill batches of at most ``limit`` characters; the fold runs per document."""
-    sized = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.length("text").alias("n")))).alias("c"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("size"), F.lit(None).cast("array<struct<chunk_index:int,batch:int>>").alias("out"))
-
-    def step(a, c):
-        grown = a["size"] + F.when(a["size"] > 0, separator).otherwise(0) + c["n"]
-        fresh = (a["size"] > 0) & (grown > limit)
-        batch = a["batch"] + fresh.cast("int")
-        row = F.array(F.struct(c["chunk_index"].cast("int").alias("chunk_index"), batch.alias("batch")))
-        return F.struct(batch.alias("batch"), F.when(fresh, c["n"]).otherwise(grown).alias("size"), F.when(a["out"].isNull(), row).otherwise(F.concat(a["out"], row)).alias("out"))
-
-    return sized.select("doc_id", F.inline(F.aggregate("c", start, step, lambda a: a["out"])))
+    """(doc_id, chunk_index, batch): chunks in order fill batches of at most ``limit`` characters.
+
+    Lengths alone are shuffled; a document's, sorted, stream through a worker that holds its batch and its size.
+    """
+    import pyarrow as pa
+
+    ship(chunks.sparkSession)
+    sized = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.length("text").alias("n"))
+    dealt = sized.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
+    out = StructType([*sized.schema.fields[:2], StructField("batch", IntegerType())])
+
+    def body(batches):
+        now, batch, size = (), 0, 0
+        for b in batches:
+            found = []
+            for doc, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if now != (doc,):
+                    now, batch, size = (doc,), 0, 0
+                grown = size + (separator if size else 0) + (n or 0)
+                if size and grown > limit:
+                    batch, grown = batch + 1, n or 0
+                size = grown
+                found.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int32())], names=out.names)
+
+    return dealt.mapInArrow(body, out)

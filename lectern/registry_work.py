@@ -410,3 +410,36 @@ def session_lookup(spark, read):
 def user_names(spark, read):
     none = spark.createDataFrame([("machinery",)], "normalized string")
     return stores.add_users(none, read("customer").select(F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" ")).alias("name")))
+
+
+@query(f"""WITH {_AI}, a AS (SELECT p_partkey AS artifact_id, p_partkey % 100 AS source_document_id FROM part),
+  b AS (SELECT provider, remote_name FROM j WHERE remote_name IS NOT NULL AND {_USE} GROUP BY ALL),
+  t AS (SELECT artifact_id, bool_or({_USE} OR b.remote_name IS NOT NULL) AS refused FROM j LEFT JOIN b USING (provider, remote_name) GROUP BY artifact_id),
+  r AS (SELECT DISTINCT source_document_id AS doc_id FROM a JOIN t USING (artifact_id) WHERE refused),
+  g AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM r))
+  SELECT 'documents' AS name, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g)
+  UNION ALL SELECT 'chunks', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM g)
+  UNION ALL SELECT 'tool_jobs', o_orderkey FROM orders WHERE o_custkey % 50 NOT IN (SELECT doc_id FROM g)
+  UNION ALL SELECT 'artifacts', artifact_id FROM a WHERE source_document_id NOT IN (SELECT doc_id FROM g)
+  UNION ALL SELECT 'ai_jobs', id FROM j WHERE artifact_id NOT IN (SELECT artifact_id FROM a WHERE source_document_id IN (SELECT doc_id FROM g))
+  UNION ALL SELECT 'refused', doc_id FROM r WHERE doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM documents)""")
+def document_cascade(spark, read):
+    """Every second document with all that hangs on it, but those whose artifacts are in use."""
+    docs = read("documents").select("doc_id")
+    artifacts = read("part").select(F.col("p_partkey").alias("artifact_id"), (F.col("p_partkey") % 100).alias("source_document_id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("stored_path"))
+    tools = read("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("source_document_id"), F.lit(None).cast("string").alias("result_path"))
+    left, _, refused = stores.delete_documents(docs.filter("doc_id % 2 = 0"), docs, read("labels").select("doc_id"), docs, tools, artifacts, _ai(read))
+    keys = {"documents": "doc_id", "chunks": "doc_id", "tool_jobs": "id", "artifacts": "artifact_id", "ai_jobs": "id"}
+    out = refused.select(F.lit("refused").alias("name"), F.col("doc_id").alias("id"))
+    for name, key in keys.items():
+        out = out.unionByName(left[name].select(F.lit(name).alias("name"), F.col(key).alias("id")))
+    return out
+
+
+@query("""SELECT l_orderkey AS doc_id, bool_or(l_linenumber > 4) AS invalid FROM lineitem GROUP BY l_orderkey""")
+def selection_by_id(spark, read):
+    """Selections by id alone: an order's lines beyond the fourth are no findings."""
+    chosen = read("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("id"), F.lit(1).alias("page"), *[F.lit(None).cast("double").alias(c) for c in "xywh"])
+    known = read("lineitem").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("id"))
+    counts = read("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(5).alias("page_count"))
+    return findings.selection_errors(chosen, known, counts)

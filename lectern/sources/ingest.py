@@ -71,7 +71,7 @@ def check_word(files: DataFrame, structure: bool = True) -> DataFrame:
             good = [_is_word(e, bytes(c)) for e, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(good, pa.bool_())], names=["path", "_good"])
 
-    looked = files.filter("reject_code is null").select("path", _extension(), "content").mapInArrow(body, "path string, _good boolean")
+    looked = files.filter("reject_code is null").select("path", _extension().alias("extension"), "content").mapInArrow(body, "path string, _good boolean")
     both = files.join(looked, "path", "left")
     broken = ~F.coalesce("_good", F.lit(True))
     return both.withColumn("reject_code", F.when(broken, NOT_SUPPORTED).otherwise(F.col("reject_code"))).withColumn("reason", F.when(broken, "not_a_document").otherwise(F.col("reason"))).drop("_good")
@@ -91,7 +91,7 @@ def write_batch(checked: DataFrame, batch: int, target: str) -> None:
 def ingest(spark: SparkSession, folder: str, target: str, check=check_pdfs, files_per_batch: int = 100):
     """A running query that takes new files of ``folder`` in batches, checks them and writes both tables.
 
-    Which files a batch has is in the checkpoint; started again it goes on with the batch that was not finished.
+    Files of no bytes never come: Spark's reader passes over them. Which files a batch has is in the checkpoint; started again it goes on with the batch that was not finished.
     """
     source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     files = source.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(folder)

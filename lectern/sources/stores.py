@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import user_name
+from ..operators.jobs import delete_for_artifacts
 
 # Limits of an upload.
 MAX_BYTES, MAX_PAGES, MAGIC = 50 * 1024 * 1024, 40, b"%PDF-"
@@ -65,6 +66,34 @@ def sweep_sessions(sessions: DataFrame, docs: DataFrame, now) -> tuple[DataFrame
     return left, kept.withColumn("session_id", F.when(F.col("_gone").isNull(), F.col("session_id"))).drop("_gone")
 
 
+def sweep_chunks(chunks: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Chunks without those of documents that a sweep has removed."""
+    return chunks.join(before.select("doc_id").join(after.select("doc_id"), "doc_id", "left_anti"), "doc_id", "left_anti")
+
+
+def delete_documents(gone: DataFrame, documents: DataFrame, chunks: DataFrame, analysis_jobs: DataFrame, tool_jobs: DataFrame, artifacts: DataFrame, ai_jobs: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(tables left, files to remove, documents refused) after deleting documents (doc_id) and all that hangs on them.
+
+    Chunks and analysis jobs go by doc_id, tool jobs and artifacts by source_document_id, AI jobs by their artifact. A
+    document stays, with everything, where one of its artifacts has an active AI job or a copy at a provider that an active
+    job uses. The files are the results of the tool jobs and the artifacts' own, as ``path``.
+    """
+    asked = gone.select("doc_id").distinct()
+    theirs = artifacts.join(asked.withColumnRenamed("doc_id", "source_document_id"), "source_document_id", "left_semi")
+    held = delete_for_artifacts(ai_jobs, theirs)[1]
+    refused = theirs.join(held, "artifact_id", "left_semi").select(F.col("source_document_id").alias("doc_id")).distinct()
+    going = asked.join(refused, "doc_id", "left_anti")
+    by_source = going.withColumnRenamed("doc_id", "source_document_id")
+    doomed = artifacts.join(by_source, "source_document_id", "left_semi")
+    left = {
+        "documents": documents.join(going, "doc_id", "left_anti"), "chunks": chunks.join(going, "doc_id", "left_anti"), "analysis_jobs": analysis_jobs.join(going, "doc_id", "left_anti"),
+        "tool_jobs": tool_jobs.join(by_source, "source_document_id", "left_anti"), "artifacts": artifacts.join(by_source, "source_document_id", "left_anti"), "ai_jobs": ai_jobs.join(doomed.select("artifact_id").distinct(), "artifact_id", "left_anti"),
+    }
+    results = tool_jobs.join(by_source, "source_document_id", "left_semi").select(F.col("result_path").alias("path"))
+    files = results.unionByName(doomed.select(F.col("stored_path").alias("path"))).filter("path is not null").distinct()
+    return left, files, refused
+
+
 def claim_ownerless(docs: DataFrame, owner: str) -> tuple[DataFrame, int]:
     """(documents, number of those without an owner, which now have this one)."""
     claimed = docs.filter("owner is null").count()
@@ -153,6 +182,49 @@ def read_with_fallback(files: DataFrame, engines: list) -> DataFrame:
     return extract_pages(files, ladder)
 
 
+def read_pages(files: DataFrame, engines: list, good=lambda text: bool(text.strip())) -> DataFrame:
+    """(path, page_number, text, engine, error): every page by the first engine whose text of it is ``good``, else by the last
+    that gave any.
+
+    An engine is (bytes to number of pages, (bytes, page from 0) to text). What it raises on a page makes that page's text
+    empty, and the next engine tries; a file whose pages no engine can count is one row with an error.
+    """
+
+    def counted(content: bytes) -> tuple:
+        error = None
+        for count, _ in engines:
+            try:
+                return count(content), None
+            except Exception as e:  # noqa: BLE001  whatever the engine raises belongs to the file
+                error = f"{type(e).__name__}: {e}"[:240]
+        return None, error
+
+    def page(content: bytes, i: int) -> tuple:
+        best = ("", None)
+        for k, (_, text) in enumerate(engines):
+            try:
+                found = text(content, i) or ""
+            except Exception:  # noqa: BLE001  the page is empty to this engine
+                found = ""
+            if good(found):
+                return found, k
+            best = (found, k) if found else best
+        return best
+
+    def body(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                data = bytes(content or b"")
+                n, error = counted(data)
+                rows += [(path, None, None, None, error)] if n is None else [(path, i + 1, *page(data, i), None) for i in range(n)]
+            yield pd.DataFrame(rows, columns=["path", "page_number", "text", "engine", "error"]).astype({"page_number": "Int64", "engine": "Int64"})
+
+    return files.select("path", "content").mapInPandas(body, "path string, page_number int, text string, engine int, error string")
+
+
 def valid_vectors(vectors: DataFrame, size: int) -> DataFrame:
     """Vectors with a ``problem``: wrong_size, not_finite or zero; null for good ones."""
     v = F.col("embedding")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lectern import registry_state
 from lectern.functions import answers
 from lectern.operators import privacy
-from lectern.plans import grounded
-from lectern.sources import embedding, ingest, registration
+from lectern.plans import grounded, pagewise
+from lectern.sources import embedding, ingest, registration, stores
 
 
 def _zip(*names):
@@ -45,12 +45,12 @@ def test_every_reject_code_has_a_file(spark):
 
 def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for name, content in (("a.pdf", b"%PDF-1"), ("b.pdf", b"%PDF-2"), ("c.pdf", b"")):
+    for name, content in (("a.pdf", b"%PDF-1"), ("b.pdf", b"%PDF-2"), ("c.pdf", b"GIF")):
         (tmp_path / "in" / name).write_bytes(content)
     target = f"file://{tmp_path}/out"
     ingest.ingest(spark, f"file://{tmp_path}/in", target, files_per_batch=2).awaitTermination()
     good, refused = (lambda: spark.read.parquet(f"{target}/good")), (lambda: spark.read.parquet(f"{target}/quarantine"))
-    assert good().count() == 2 and [r["reason"] for r in refused().collect()] == ["empty"]
+    assert good().count() == 2 and [r["reason"] for r in refused().collect()] == ["not_a_pdf"]
     ingest.ingest(spark, f"file://{tmp_path}/in", target).awaitTermination()  # nothing new
     again = spark.createDataFrame([("a.pdf", 6, b"%PDF-1")], FILES).withColumn("modificationTime", F.current_timestamp())
     for _ in range(2):
@@ -86,18 +86,21 @@ def test_artifacts_know_their_files_again(spark):
     assert {r["owner"]: r["used"] for r in registration.stored_bytes((made, "owner", "size_bytes"), (asked, "owner", "size")).collect()} == {"ann": 16}
 
 
-def _vector(texts):
-    if any("bad" in t for t in texts):
-        raise RuntimeError("refused")
-    return [[float(len(t) + 1), 1.0] for t in texts]
+def _embedder():
+    def vector(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("refused")
+        return [[float(len(t) + 1), 1.0] for t in texts]
+
+    return vector
 
 
 def test_equal_texts_are_embedded_once_and_the_oldest_go(spark):
     cache = spark.createDataFrame([], embedding.CACHE)
     texts = lambda names: spark.createDataFrame(list(enumerate(names)), "place long, text string")
-    first, cache = embedding.with_embeddings(texts(["a", "bb", "a", None, "bad"]).coalesce(1), cache, lambda t: _vector([x for x in t]), "m", 1, keep=3)
+    first, cache = embedding.with_embeddings(texts(["a", "bb", "a", None, "bad"]).coalesce(1), cache, _embedder(), "m", 1, keep=3)
     assert all(r["error"] for r in first.filter("text = 'bad'").collect())
-    one = lambda n, c, now, keep=3: embedding.with_embeddings(texts(n), c, _vector, "m", now, keep)
+    one = lambda n, c, now, keep=3: embedding.with_embeddings(texts(n), c, _embedder(), "m", now, keep)
     _, cache = one(["a", "bb", "a", ""], spark.createDataFrame([], embedding.CACHE), 1)
     assert cache.count() == 3
     second, cache = one(["a", "new"], cache, 2)
@@ -201,3 +204,49 @@ def test_excerpts_fill_batches_in_order(spark, most):
     df = spark.createDataFrame(rows, "key long, chunk_index int, page_number int, text string, extraction_method string, extraction_quality string, confidence double, uncertain_region_count int")
     got = {r["batch"]: r["excerpts"].count("[chunk") for r in grounded.excerpt_batches(df, most).collect()}
     assert got == ({0: 2, 1: 1, 2: 1, 3: 2} if most == 10 else {0: 6})
+
+
+def test_pages_are_analyzed_checked_and_merged(spark):
+    pages = spark.createDataFrame([(1, 1, "Total is 42. " * 3), (1, 2, " "), (1, 3, "word " * 2500), (2, 1, None), (3, 1, "bad"), (4, 1, "other page")], "doc_id long, page int, text string")
+    finding = {"category": "logic", "severity": "low", "evidence": "Total  is 42", "explanation": "x", "confidence": 0.5, "basis": "native_text"}
+
+    def generate(page, text):
+        point = F.concat(F.lit('{"text": "p", "evidence": "word", "page": '), page.cast("string"), F.lit("}"))
+        many = F.concat(F.lit("["), F.array_join(F.array_repeat(point, 9), ","), F.lit("]"))
+        found = F.concat(F.lit("["), F.array_join(F.array(*[F.concat(F.lit(json.dumps(f)[:-1] + ', "page": '), page.cast("string"), F.lit("}")) for f in (finding, finding | {"basis": "vision"})]), ","), F.lit("]"))
+        whole = F.concat(F.lit('{"task": "summary", "overview": "seen", "coverage": {}, "key_points": '), many, F.lit(', "findings": '), found, F.lit("}"))
+        return F.when(text == "bad", "{}").when(text == "other page", F.regexp_replace(whole, '"page": 1', '"page": 7')).otherwise(whole)
+
+    got = {r["doc_id"]: r for r in pagewise.analyze_pages(pages, "summary", generate).collect()}
+    one = got[1]
+    assert one["error"] is None and one["pages_reviewed"] == [1, 3] and not one["complete"]
+    assert one["overview"].split("\n") == ["Стр. 1: seen"] + ["Стр. 3: seen"] * 3
+    assert [p["page"] for p in one["key_points"]] == [1] * 9 + [3] * 11 and one["key_points"][0]["evidence_verified"] is False and one["key_points"][9]["evidence_verified"]
+    assert [(f["basis"], f["evidence_verified"], f["requires_human_review"]) for f in one["findings"][:3]] == [("ocr", True, False), ("vision", False, True), ("ocr", False, True)] and len(one["findings"]) == 8
+    assert one["limitations"] == [pagewise.UNREADABLE.format(2), pagewise.PARTLY, pagewise.CUT, pagewise.BY_PAGE]
+    assert got[2]["error"] == "no readable pages" and got[2]["overview"] is None
+    assert "$.overview: missing" in got[3]["error"] and got[4]["error"] == "cited a page that was not given"
+
+
+def test_each_page_falls_back_alone(spark):
+    def text(content, i):
+        part = content.split(b"|")[i]
+        if part == b"!":
+            raise ValueError("broken page")
+        return part.decode()
+
+    def count(content):
+        if content == b"#":
+            raise ValueError("no file")
+        return len(content.split(b"|"))
+
+    engines = [(count, text), (count, lambda c, i: "" if i == 2 else f"ocr {i}")]
+    files = spark.createDataFrame([("a", b"one|!| |four"), ("b", b"#")], "path string, content binary")
+    got = sorted(((r["path"], r["page_number"], r["text"], r["engine"], r["error"]) for r in stores.read_pages(files, engines).collect()), key=str)
+    assert got == [("a", 1, "one", 0, None), ("a", 2, "ocr 1", 1, None), ("a", 3, " ", 0, None), ("a", 4, "four", 0, None), ("b", None, None, None, "ValueError: no file")]
+
+
+def test_chunks_go_with_swept_documents(spark):
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    chunks = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in stores.sweep_chunks(chunks, docs, docs.filter("doc_id <> 2")).collect()) == [1, 9]
