@@ -8,8 +8,8 @@ The neural model knows the ``words`` most frequent training words, the end and o
 trained in numpy by noise-contrastive estimation on every training document, in ``ROUNDS`` rounds: every block starts from
 the same parameters, makes ``EPOCHS`` passes over its distinct trigrams with their counts, and the blocks' parameters are
 averaged by weight. Blocks do not depend on how the input is split into files, so neither do the scores, but for the order
-of floating-point sums. Scores are normalised: a batched matrix product gives all logits of each distinct context, and a
-word outside the vocabulary gets the class's probability times its add-one share among such words, so the counts, which
+of floating-point sums. Scores are normalised: batched matrix products give all logits of each distinct context, once a
+worker, and a word outside the vocabulary gets the class's probability times its add-one share among such words, so the counts, which
 grow with the input, reach every word.
 
 Defined cases: a null or empty text is the end token alone; without training documents all counts are 0 and the base
@@ -19,22 +19,32 @@ result; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_stream, bounded_batches, crc_mod, materialise, release_shuffles, table
-from .ngram_join import word_hashes
+from ._common import arrow_stream, bounded_batches, crc_mod, materialise, release_shuffles, table, worker_model
+from .ngram_join import words_of_texts
 
 BLOCK_CHARS = 8_000_000
 #: Words of the neural model, a parameter: CPU time grows with it, scores of all other words rest on their counts.
 WORDS, SIZE, NOISE, ROUNDS, EPOCHS, RATE = 1024, 24, 64, 2, 1, 0.08
+#: Contexts whose normalisers a worker keeps: more than there are with 4,000 words.
+KEPT_CONTEXTS = 1 << 24
 END = np.uint64(0x0E4D0F7E87)  # stands for the end among the hashes
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the words, A-Z lower-cased, then the end."""
-    return np.append(word_hashes(text or ""), END)
+    return tokens_of([text])[0]
+
+
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, each text with the end after it, and tokens of each text."""
+    words, n = words_of_texts([t or "" for t in texts])
+    return np.insert(words, np.cumsum(n), END), n + 1
 
 
 class LogBilinear:
@@ -48,6 +58,7 @@ class LogBilinear:
         self.near = rng.normal(0, 0.1, (n + 1, SIZE)).astype(np.float32)
         self.out = rng.normal(0, 0.1, (n, SIZE)).astype(np.float32)
         self.bias = log_share.astype(np.float32).copy()
+        self.norms: np.ndarray | None = None
 
     def parameters(self) -> np.ndarray:
         n = len(self.bias)
@@ -89,22 +100,32 @@ class LogBilinear:
                     _step(table_, total, at, g / len(pick) ** 0.5)
         return self
 
-    def log_probabilities(self, contexts: np.ndarray, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural logs of p(words[i] | contexts[rows[i]]): all logits of each distinct context, in batches."""
-        out = np.empty(len(rows), np.float64)
-        order = np.argsort(rows, kind="stable")
-        ends = np.searchsorted(rows[order], np.arange(0, len(contexts) + 2048, 2048))
-        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-            c = contexts[k * 2048 : (k + 1) * 2048]
-            if not len(c):
-                continue
-            logits = (self.far[c[:, 0]] + self.near[c[:, 1]]) @ self.out.T + self.bias
+    def log_probabilities(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Natural logs of p(words[i] | contexts[i]). Contexts are numbers (before last) * (words + 1) + (last).
+
+        The normaliser of a context is made in batches of a matrix product with all words, and kept where there are at most
+        ``KEPT_CONTEXTS`` contexts.
+        """
+        n = len(self.bias) + 1
+        if self.norms is None:
+            self.norms = np.full(n * n if n * n <= KEPT_CONTEXTS else 0, np.nan)
+        distinct = np.unique(contexts)
+        norms = self.norms[distinct] if len(self.norms) else np.full(len(distinct), np.nan)
+        new = np.flatnonzero(np.isnan(norms))
+        for k in range(0, len(new), 2048):
+            c = distinct[new[k : k + 2048]]
+            logits = (self.far[c // n] + self.near[c % n]) @ self.out.T + self.bias
             top = logits.max(axis=1)
-            norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-            mine = order[a:b]
-            at = rows[mine] - k * 2048
-            out[mine] = logits[at, words[mine]] - norm[at]
-        return out
+            norms[new[k : k + 2048]] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        if len(self.norms):
+            self.norms[distinct[new]] = norms[new]
+        pairs, at = np.unique(contexts * n + words, return_inverse=True)
+        c, w = pairs // n, pairs % n
+        logit = np.empty(len(pairs))
+        for k in range(0, len(pairs), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            logit[part] = np.einsum("ij,ij->i", self.far[c[part] // n] + self.near[c[part] % n], self.out[w[part]]) + self.bias[w[part]]
+        return (logit - norms[np.searchsorted(distinct, c)])[at]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -165,9 +186,9 @@ def _distinct_trigrams(texts: list, vocabulary: Vocabulary, start: int) -> tuple
     """Distinct (two before, one before, word) triples of a block's texts, with their counts."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for part in texts:
-        parts = [tokens(t) for t in part.to_pylist()]
-        w = vocabulary.of(np.concatenate(parts))
-        key = contexts_of(w, np.array([len(p) for p in parts]), start) * start + w
+        flat, lengths = tokens_of(part.to_pylist())
+        w = vocabulary.of(flat)
+        key = contexts_of(w, lengths, start) * start + w
         new, n = np.unique(key, return_counts=True)
         keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([counts, n]), len(keys))
@@ -201,9 +222,9 @@ def _count_blocks(batches):
     for block, (held, texts) in _blocks(batches, 1, 2):
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for h, t in zip(held, texts):
-            parts = [tokens(x) for x in t.to_pylist()]
-            counted = np.repeat(~np.array(h.to_pylist(), bool), [len(p) for p in parts])
-            new, at = np.unique(np.concatenate(parts), return_inverse=True)
+            flat, lengths = tokens_of(t.to_pylist())
+            counted = np.repeat(~np.array(h.to_pylist(), bool), lengths)
+            new, at = np.unique(flat, return_inverse=True)
             n = np.bincount(at, counted, len(new)).astype(np.int64)
             words, at = np.unique(np.concatenate([words, new]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(words)).astype(np.int64)
@@ -238,10 +259,11 @@ def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
         model = _train(dealt.filter("not held"), model, vocabulary, turn)
     final, noise, start = model.parameters(), model.log_noise, len(share)
     release_shuffles(docs.sparkSession)
+    mine = (__name__, sha256(final.tobytes()).hexdigest())  # tasks of one worker share the model and its normalisers
     floor, other_floor, log10 = np.log10(n + v + 1), np.log10(other_n + other_v + 1), np.log(10.0)
 
     def score(batches):
-        m, known, counts, now = LogBilinear(noise).load(final), [], [], None
+        m, known, counts, now = worker_model(mine, lambda: LogBilinear(noise).load(final)), [], [], None
         table_ = None
         for batch in batches:
             blocks, kinds = batch[0].to_numpy(), batch[1].to_numpy()
@@ -257,17 +279,15 @@ def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     all_words = np.concatenate(known)
                     order = np.argsort(all_words)
                     table_ = all_words[order], np.concatenate(counts)[order]
-                texts = [tokens(t) for t in part[4].to_pylist()]
-                lengths, flat = np.array([len(t) for t in texts]), np.concatenate(texts)
+                flat, lengths = tokens_of(part[4].to_pylist())
                 c = table_[1][np.searchsorted(table_[0], flat)].astype(float)
                 w = vocabulary.of(flat)
                 first = np.cumsum(lengths) - lengths
-                contexts, at = np.unique(contexts_of(w, lengths, start), return_inverse=True)
-                logp = m.log_probabilities(np.stack([contexts // (start + 1), contexts % (start + 1)], axis=1), at, w) / log10
+                logp = m.log_probabilities(contexts_of(w, lengths, start), w) / log10
                 base = np.log10(c + 1)
                 logp += np.where(w == vocabulary.other, base - other_floor, 0.0)
                 sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base - floor, logp)]
-                yield [part[2], part[3], lengths, sums[0], np.full(len(texts), n, np.int64), sums[1], sums[2]]
+                yield [part[2], part[3], lengths, sums[0], np.full(len(lengths), n, np.int64), sums[1], sums[2]]
 
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     known = local.drop("n").join(totals, "word")
