@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, mixing, ngram_join, pii, toxicity
-from lectern.session import materialise, table
+from lectern.session import discard, materialise, table
 
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 
@@ -49,6 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)  # all that it led to is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
