@@ -290,3 +290,35 @@ def test_old_files_go_after_their_time(spark, store):
     gone = store.vacuum(keep=1, older_than=-1.0)
     assert gone and store.versions() == [4]
     assert store.read("documents").count() == 20 and store.read("documents").filter("doc_id = 3").first()["text"] == "text 2"
+
+
+def test_a_stopped_worker_is_seen_as_gone(spark, tmp_path):
+    import time
+
+    from lectern.streaming import worker
+
+    home, done = f"file://{tmp_path}", {"analysis": [], "tools": []}
+    listener = worker.Heartbeat(spark, f"{home}/beats")
+    spark.streams.addListener(listener)
+    try:
+        for name in done:
+            spark.createDataFrame([(name, i) for i in range(3)], "queue string, job long").coalesce(1).write.parquet(f"{home}/{name}")
+        sources = {n: spark.readStream.schema("queue string, job long").parquet(f"{home}/{n}") for n in done}
+
+        def taking(name):
+            return lambda df, n: done[name].extend(r["job"] for r in df.collect())
+
+        queries = worker.work_queues(sources, {n: taking(n) for n in done}, f"{home}/checkpoint", 0.2)
+        for q in queries:
+            q.processAllAvailable()
+        until = time.time() + 30
+        while time.time() < until and (not (tmp_path / "beats").exists() or {r["name"] for r in worker.beats(spark, f"{home}/beats").filter("batch >= 0").collect()} != set(done)):
+            time.sleep(0.5)
+        assert {r["name"]: r["alive"] for r in worker.beats(spark, f"{home}/beats").collect()} == {"analysis": True, "tools": True}
+        queries[0].stop()
+        last = {r["name"]: r["at"] for r in worker.beats(spark, f"{home}/beats").collect()}
+        later = {r["name"]: r["alive"] for r in worker.beats(spark, f"{home}/beats", now=last["analysis"] + 61).collect()}
+        assert later["analysis"] is False and done == {"analysis": [0, 1, 2], "tools": [0, 1, 2]}
+        queries[1].stop()
+    finally:
+        spark.streams.removeListener(listener)
