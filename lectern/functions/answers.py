@@ -48,6 +48,15 @@ def _type(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
 
 
+def _bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is made once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _checked(rule: dict, path: Column):
+    return lambda v: _check(v, rule, path)
+
+
 def _check(v: Column, rule: dict, path: Column) -> Column:
     """Violations of a variant that is there."""
     kind, of = rule["kind"], _type(v)
@@ -81,13 +90,18 @@ def _check(v: Column, rule: dict, path: Column) -> Column:
 
 
 def _members(v: Column, rule: dict, path: Column) -> Column:
-    names = F.map_keys(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    held = F.map_keys(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    return _bound(held, lambda names: _members_of(v, names, rule, path))
+
+
+def _members_of(v: Column, names: Column, rule: dict, path: Column) -> Column:
     parts = []
     for name, inner in rule["fields"].items():
         at = F.concat(path, F.lit(f".{name}"))
         there = F.array_contains(names, name)
         absent = F.array().cast(_NONE) if inner.get("optional") else F.array(F.concat_ws(": ", at, F.lit("missing")))
-        parts.append(F.when(there, _check(F.try_variant_get(v, f"$.{name}", "variant"), inner, at)).otherwise(absent))
+        value = F.try_variant_get(v, f"$.{name}", "variant")
+        parts.append(F.when(there, _bound(value, _checked(inner, at))).otherwise(absent))
     if rule.get("closed"):
         extra = F.array_sort(F.array_except(names, F.array(*map(F.lit, rule["fields"]))))
         parts.append(F.transform(extra, lambda n: F.concat(path, F.lit("."), n, F.lit(": extra"))))
@@ -96,5 +110,4 @@ def _members(v: Column, rule: dict, path: Column) -> Column:
 
 def violations(answer: Column, rule: dict) -> Column:
     """array<string> of ``path: code`` for a JSON text; empty for a valid one. Text that is no JSON gives ``$: not_json``."""
-    v = F.try_parse_json(answer)
-    return F.when(v.isNull(), F.array(F.lit("$: not_json"))).otherwise(_check(v, rule, F.lit("$")))
+    return _bound(F.try_parse_json(answer), lambda v: F.when(v.isNull(), F.array(F.lit("$: not_json"))).otherwise(_check(v, rule, F.lit("$"))))

@@ -46,6 +46,7 @@ class Jobs:
     def __init__(self, active: dict, done: MutableMapping, held: MutableMapping):
         self.active, self.done, self.held = active, done, held
         self.changed: set[int] = set()
+        self.now = 0
         self.orders: dict[str, list] = {"ready": [], "waiting": [], "running": []}
         for name in active:
             self._enter(name)
@@ -64,11 +65,11 @@ class Jobs:
     def _is(self, order: str, entry: tuple) -> bool:
         """Whether an entry of an order still tells its job's state."""
         job = self.active.get(entry[-1])
-        if job is None:
+        if job is None or (job[0] == "running") != (order == "running"):
             return False
-        at = {"ready": job[1], "waiting": job[3], "running": job[2]}[order]
-        kind = "running" if job[0] == "running" else "waiting" if job[3] is not None else "ready"
-        return kind == order and entry[0] == at
+        if order == "ready":
+            return entry[0] == job[1] and (job[3] is None or job[3] <= self.now)
+        return entry[0] == (job[2] if order == "running" else job[3])
 
     def _first(self, order: str) -> tuple | None:
         heap = self.orders[order]
@@ -88,11 +89,9 @@ class Jobs:
 
     def runnable(self, now: int) -> int | None:
         """The oldest runnable job. What has become due joins the ready ones; what is running and stale competes by age."""
+        self.now = now
         while (first := self._first("waiting")) and first[0] <= now:
-            heappop(self.orders["waiting"])
-            name = first[-1]
-            status, created, started, _, *rest = self.active[name]
-            self._put(name, (status, created, started, None, *rest))
+            heappush(self.orders["ready"], heappop(self.orders["waiting"])[1:])
         stale = []
         while (first := self._first("running")) and first[0] < now - STALE * SECOND:
             stale.append(heappop(self.orders["running"]))
