@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import findings, jobs, layout, privacy, reports, review
+from .operators import findings, jobs, layout, lifecycle, privacy, reports, review
 from .registry import _CHUNKS, NOW, _chunks, query
 from .sources import stores
 
@@ -443,3 +443,57 @@ def selection_by_id(spark, read):
     known = read("lineitem").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("id"))
     counts = read("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(5).alias("page_count"))
     return findings.selection_errors(chosen, known, counts)
+
+
+@query(f"""WITH {_AI} SELECT id, CASE WHEN provider IN ('local', 'hybrid') AND attempts = 4 THEN 'local_model_changed' WHEN provider <> 'local' AND NOT (retryable AND artifact_id % 3 <> 0) THEN 'consent_required'
+  WHEN provider <> 'local' AND id % 9 = 0 THEN 'terms_changed' WHEN provider <> 'local' AND attempts = 5 THEN 'external_model_changed' END AS refused FROM j""")
+def consent_held(spark, read):
+    old = lambda k: F.when(F.col("attempts") == k, "old").when(F.col("attempts") == 1, None).otherwise("new")
+    agreed = _ai(read).withColumns({"external_processing": F.col("retryable"), "terms_acknowledged": F.col("artifact_id") % 3 != 0, "service_tier": F.when(F.col("id") % 9 != 0, "t1"), "local_model": old(4), "external_model": old(5)})
+    return lifecycle.held_consent(agreed, "t1", {"local": "new", "external": "new"}).select("id", "refused")
+
+
+@query(f"""WITH {_AI}, u AS (SELECT provider, remote_name FROM j WHERE remote_name IS NOT NULL AND {_USE} GROUP BY ALL),
+  d AS (SELECT DISTINCT j.provider, j.remote_name FROM j LEFT JOIN u USING (provider, remote_name) WHERE j.remote_name IS NOT NULL AND status IN ('completed', 'failed', 'cancelled') AND retention <> 'retain_48h' AND u.remote_name IS NULL),
+  r AS (SELECT *, CASE WHEN substr(remote_name, 6)::INTEGER % 3 = 0 THEN 500 WHEN substr(remote_name, 6)::INTEGER % 3 = 1 THEN 404 END AS code FROM d)
+  SELECT id, CASE WHEN code IS NULL AND r.provider IS NOT NULL OR code = 404 THEN NULL ELSE j.remote_name END AS remote_name,
+         CASE WHEN r.provider IS NULL THEN 'pending' WHEN code = 500 THEN 'failed' ELSE 'deleted' END AS cleanup_status, CASE WHEN code = 500 THEN 'before {lifecycle.WARNING.replace("'", "''")}' ELSE 'before' END AS public_error,
+         CASE WHEN code = 500 THEN 'remote_delete_failed' END AS error_code, CASE WHEN code = 500 THEN 'Remote cleanup failed: no' END AS private_error
+  FROM j LEFT JOIN r USING (provider, remote_name)""")
+def remote_removal(spark, read):
+    """Copies that nobody needs are removed: a third of the providers' answers is an error, a third says gone before."""
+    text = lambda v: F.lit(v).cast("string")
+    held = _ai(read).withColumns({"remote_uri": text(None), "remote_started_at": _now(), "cleanup_status": text("pending"), "cleanup_error": text(None), "public_error": text("before"), "error_code": text(None), "private_error": text(None)})
+    number = F.substring("remote_name", 6, 20).cast("int") % 3
+    answers = lifecycle.removals_due(held).withColumn("code", F.when(number == 0, 500).when(number == 1, 404)).withColumn("message", F.lit("no"))
+    return lifecycle.removed(held, answers).select("id", "remote_name", "cleanup_status", "public_error", "error_code", "private_error")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN d.doc_id IS NULL THEN 'failed' ELSE 'running' END AS status, lang, CASE WHEN d.doc_id IS NULL THEN 'Document no longer exists' END AS error
+  FROM orders LEFT JOIN documents d ON d.doc_id = o_custkey * 3 WHERE o_orderstatus = 'P'""")
+def job_documents(spark, read):
+    table = read("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 3).alias("doc_id"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("pending").alias("status"))
+    return lifecycle.with_documents(table, read("documents"), ["lang"]).select("id", "status", "lang", "error")
+
+
+@query(r"""SELECT doc_id, generate_subscripts(b, 1) - 1 AS block, unnest(b) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM (SELECT doc_id, regexp_replace(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '^\s+|\s+$', '', 'g') AS text FROM documents)) WHERE len(b) > 0""")
+def text_blocks(spark, read):
+    """Paragraphs of every text, a blank line set after each sentence."""
+    pages = read("documents").select("doc_id", F.lit(1).alias("page"), F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("text"))
+    return lifecycle.page_blocks(pages).select("doc_id", F.col("block").cast("long").alias("block"), "text")
+
+
+@query("""SELECT l_orderkey AS doc_id, count(DISTINCT l_linenumber % 2 + 1) AS pages, list_sort(list_filter(list_distinct(list(['EMAIL', 'PERSON', 'IIN', 'DATE'][l_linenumber % 4 + 1])), lambda c: c IN ('EMAIL', 'IIN', 'ORG'))) AS categories FROM lineitem GROUP BY l_orderkey""")
+def affected_pages(spark, read):
+    return lifecycle.affected_pages(_boxes(read), ["EMAIL", "IIN", "ORG"])
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'r' || o_orderkey || '.pdf' END AS result_filename, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS result_size FROM orders""")
+def tool_job_results(spark, read):
+    """A tool job for every order; every fourth is claimed, every second has a result, which counts for the claimed ones."""
+    o, key = read("orders"), F.col("o_orderkey")
+    text = lambda v: F.lit(v).cast("string")
+    asked = o.select(key.alias("id"), F.col("o_custkey").alias("owner"), F.lit(1).alias("source_document_id"), text("compress").alias("kind"), text("a.pdf").alias("filename"), text("application/pdf").alias("content_type"), text("/in/a.pdf").alias("path"), text("{}").alias("options"))
+    running = lifecycle.tool_jobs_of(asked, _now()).withColumn("status", F.when(F.col("id") % 4 == 0, "running").otherwise("pending"))
+    results = o.filter("o_orderkey % 2 = 0").select(key.alias("id"), F.concat(F.lit("/out/r"), key.cast("string"), F.lit(".pdf")).alias("path"), text("application/pdf").alias("content_type"), F.col("o_custkey").alias("size"))
+    return lifecycle.complete_tool_jobs(running, results, _now()).select("id", "status", "result_filename", "result_size")

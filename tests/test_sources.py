@@ -250,3 +250,15 @@ def test_chunks_go_with_swept_documents(spark):
     docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
     chunks = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in stores.sweep_chunks(chunks, docs, docs.filter("doc_id <> 2")).collect()) == [1, 9]
+
+
+def test_copies_are_stored_with_their_times(spark):
+    from lectern.operators import lifecycle
+
+    schema = "id long, retention string, remote_name string, remote_uri string, remote_expires_at int, remote_started_at int, cleanup_status string, cleanup_error string"
+    jobs = spark.createDataFrame([(1, "retain_48h", None, None, None, None, None, None), (2, "delete", "a", "u", 5, 1, "failed", "x"), (3, "delete", "b", "u", 5, 1, None, "x")], schema)
+    copies = spark.createDataFrame([(1, "n", "v", 9), (2, "a", "v", 9)], "id long, name string, uri string, expires_at int")
+    got = {r["id"]: tuple(r)[2:] for r in lifecycle.store_copies(jobs, copies, F.lit(7)).collect()}
+    assert got == {1: ("n", "v", 9, 7, "retained", None), 2: ("a", "v", 9, 1, "pending", None), 3: ("b", "u", 5, 1, None, "x")}
+    asked = spark.createDataFrame([("local", None, None), ("external", None, True), ("review", True, False), ("external", True, True), (None, True, True)], "m string, c boolean, a boolean")
+    assert [r[0] for r in asked.select(lifecycle.asked_consent(F.col("m"), F.col("c"), F.col("a"))).collect()] == [None, "consent_required", "terms_not_acknowledged", None, None]
