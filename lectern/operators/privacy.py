@@ -31,12 +31,11 @@ NAME = rf"(?:[{UPPER}A-Z][{LOWER}a-z'’\-]{{1,40}}|[{UPPER}A-Z]{{2,40}})"
 INITIALS = rf"[{UPPER}A-Z]\.\s*[{UPPER}A-Z]\.?"
 PERSON = rf"(?:{NAME}\s+{INITIALS}|{NAME}(?:\s+{NAME}){{1,2}})"
 FORM = r"(?:ТОО|ЖШС|АО|АҚ|ИП|ЖК|ГУ|ММ|КГУ|КММ|РГУ|РММ|ГККП|МКҚК|РГП|РМК|КГП|КМК|ОО|ҚБ|ОФ|ҚҚ|ПК|ӨК)"
-STREET = r"(?:ул(?:ица)?\.?|көшесі|к-сі|проспект|пр-т|даңғылы|мкр\.?|микрорайон|шағын\s+аудан|ықшам\s+аудан)"
 PATTERNS = (
     ("EMAIL", 0.98, 90, r"(?<![\w.-])(?P<value>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)(?![\w.-])"),
     ("PHONE", 0.96, 90, r"(?<!\d)(?P<value>(?:\+?7|8)[\s()\-]*\d{3}[\s()\-]*\d{3}[\s\-]*\d{2}[\s\-]*\d{2})(?!\d)"),
     ("ADDRESS", 0.94, 85, r"(?im)(?<!электронный\s)(?<!электронная\s)(?<!электрондық\s)\b(?:юридический\s+адрес|фактический\s+адрес|адрес(?:\s+(?:места\s+(?:жительства|регистрации)|местонахождения|проживания))?|место\s+проживания|мекенжай(?:ы)?|тұрғылықты\s+жер(?:інің)?(?:\s+мекенжайы)?|тіркелген\s+жерінің\s+мекенжайы)\b[ \t]*[:—–-][ \t]*(?P<value>[^\n;]{3,180}?)(?=\s+(?:тел(?:ефон)?|phone|e-?mail|электрон(?:дық|ная)\s+(?:пошта|почта)|ИИН|ЖСН|БИН|БСН)\s*[:.-]|[;\n]|$)"),
-    ("ADDRESS", 0.86, 85, rf"(?im)(?P<value>\b(?:(?:Республика\s+Казахстан|Қазақстан\s+Республикасы)\s*,\s*)?(?:(?:г(?:ород)?\.?\s*)?[{UPPER}][\w'’\-]+|[{UPPER}][\w'’\-]+\s+(?:облысы|ауданы|қаласы))(?:\s+(?:область|облысы|район|ауданы|город|қаласы|қ\.))?\s*,\s*[^\n;]{{0,120}}?{STREET}[^\n;]{{1,100}}?(?:\b(?:д(?:ом)?|үй|кв(?:артира)?|пәтер|офис|кеңсе|строение)\b\s*[:№.\-]?\s*|,\s*)\d+[A-Za-zА-Яа-яӘәҒғҚқҢңӨөҰұҮүҺһІі]?(?:[^\n;]{{0,60}}))"),
+    ("ADDRESS", 0.86, 85, rf"(?im)(?P<value>\b(?:(?:Республика\s+Казахстан|Қазақстан\s+Республикасы)\s*,\s*)?(?:(?:г(?:ород)?\.?\s*)?[{UPPER}][\w'’\-]+|[{UPPER}][\w'’\-]+\s+(?:облысы|ауданы|қаласы))(?:\s+(?:область|облысы|район|ауданы|город|қаласы|қ\.))?\s*,\s*[^\n;]{{0,120}}?(?:ул(?:ица)?\.?|көшесі|к-сі|проспект|пр-т|даңғылы|мкр\.?|микрорайон|шағын\s+аудан|ықшам\s+аудан)[^\n;]{{1,100}}?(?:\b(?:д(?:ом)?|үй|кв(?:артира)?|пәтер|офис|кеңсе|строение)\b\s*[:№.\-]?\s*|,\s*)\d+[A-Za-zА-Яа-яӘәҒғҚқҢңӨөҰұҮүҺһІі]?(?:[^\n;]{{0,60}}))"),
     ("PERSON", 0.90, 60, rf"(?<!\w)(?i:Ф\.?\s*И\.?\s*О\.?|граждан(?:ин|ка)|азамат(?:ша)?|заявитель|өтініш\s+беруші)(?!\w)(?:\s*[:—–-]\s*|\s+)(?P<value>{PERSON})"),
     ("PERSON", 0.90, 60, rf"(?<!\w)(?i:фамилия\s*,?\s*имя\s*,?\s*отчество|тегі\s*,?\s*аты\s*,?\s*әкесінің\s+аты)(?!\w)[ \t]*(?:\([^\n)]{{1,80}}\)[ \t]*)?[:—–-][ \t]*(?P<value>{PERSON})"),
     ("PERSON", 0.88, 60, rf"(?<!\w)(?i:директор|руководитель|басшы|председатель|төраға|подписал(?:а)?|қол\s+қойған|представитель|өкіл|судья|нотариус)[ \t]*(?:[:—–-][ \t]*)?(?P<value>{NAME}[ \t]+{INITIALS})"),
@@ -198,47 +197,50 @@ def amounts(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _address(value: str) -> str | None:
-    """The value up to a contact or company that follows it; null where it does not look like an address."""
-    cut = re.search(ADDRESS_SUFFIX, value)
-    if cut and cut.start() >= 3:
-        value = value[: cut.start()].rstrip(" ,")
-    return value if not re.fullmatch(ADDRESS_MAIL, value) and re.search(ADDRESS_WORD, value) else None
+def _person(value: str) -> str:
+    return "" if value.casefold() in STOP_PERSONS else value
 
 
-def _identifier(category: str, value: str) -> tuple[str, float] | None:
-    found = _checksum_class(value)
-    if category == "BARE_ID":
-        return (found, 0.90 if found == "BIN" else 0.84) if found else None
-    return (found or category) if category == "IIN_OR_BIN" else category, 0.99 if found else 0.86
+def _address(value: str) -> str:
+    """The value up to a contact or company that follows it, if that leaves something; nothing where it is no address."""
+    place = re.split(ADDRESS_SUFFIX, value, maxsplit=1)[0]
+    if 3 <= len(place) < len(value):
+        value = place.rstrip(" ,")
+    return value if re.search(ADDRESS_WORD, value) and not re.fullmatch(ADDRESS_MAIL, value) else ""
 
 
-def pattern_spans(text: str, groups: Iterable[str] = TEXT_GROUPS) -> list[dict]:
-    """All pattern candidates of a text whose category is in ``groups``, identifiers included; overlaps are not resolved."""
-    return [s for s in _candidates(text) if s["group"] in groups]
+#: What counts of a value found by a category's patterns; of the others all.
+COUNTS = {"PERSON": _person, "ADDRESS": _address}
+
+
+def _number(m: re.Match, category: str, priority: int) -> list[dict]:
+    """A number of twelve digits by its checksum: sure if it holds; a bare one counts only then, and less."""
+    kind = _checksum_class(m["value"])
+    if category == "BARE_ID" and not kind:
+        return []
+    sure = (0.90 if kind == "BIN" else 0.84) if category == "BARE_ID" else 0.99 if kind else 0.86
+    named = category if category in ("IIN", "BIN") else kind or category
+    return [_span(*m.span("value"), named, sure, priority, "identifier", sure < 0.9)]
+
+
+def _value(m: re.Match, category: str, confidence: float, priority: int) -> list[dict]:
+    """A value without the white space around it, as far as its category lets it count."""
+    start, end = m.span("value")
+    value = COUNTS.get(category, str)(m["value"].strip())
+    start += len(m["value"]) - len(m["value"].lstrip())
+    return [_span(start, start + len(value), category, confidence, priority, "pattern")] if value else []
 
 
-def _candidates(text: str) -> list[dict]:
+def pattern_spans(text: str, groups: Iterable[str] = TEXT_GROUPS) -> list[dict]:
+    """All pattern candidates of a text whose category is in ``groups``, identifiers included; overlaps are not resolved."""
     there = {need for need, sign in SIGNS.items() if sign.search(text)}
     out = [_span(a, b, "AMOUNT", 0.95, 80, "pattern") for a, b in amounts(text)] if "digit" in there else []
     for category, confidence, priority, pattern in _compiled():
         if category == "PAYMENT_CARD" or NEEDS.get(category, "cyrillic") not in there:
             continue
         for m in pattern.finditer(text):
-            start, raw = m.start("value"), m["value"]
-            if category in IDENTIFIERS or category == "BARE_ID":
-                known = _identifier(category, raw)
-                if known:
-                    out.append(_span(start, m.end("value"), *known, priority, "identifier", known[1] < 0.9))
-                continue
-            start, value = start + len(raw) - len(raw.lstrip()), raw.strip()
-            if category == "PERSON" and value.casefold() in STOP_PERSONS:
-                continue
-            if category == "ADDRESS":
-                value = _address(value)
-            if value:
-                out.append(_span(start, start + len(value), category, confidence, priority, "pattern"))
-    return out
+            out += _number(m, category, priority) if category in (*IDENTIFIERS, "BARE_ID") else _value(m, category, confidence, priority)
+    return [s for s in out if s["group"] in groups]
 
 
 def _in_context(text: str, s: dict) -> dict:
