@@ -1,11 +1,11 @@
 """Quality rules combined by weak supervision.
 
 Each rule votes good (1), bad (0) or abstains on a document. Expectation-maximisation over the counts of vote
-patterns, at most 3 ** 6 of them and taken over all documents, estimates each rule's accuracy and the share of good
+patterns, at most 3 ** 8 of them and taken over all documents, estimates each rule's accuracy and the share of good
 documents; the posterior probability of good replaces "all rules must pass".
 
-The share of good documents is a prior between ``LEAST_GOOD`` and ``MOST_GOOD``: outside, the expectation-maximisation may
-call one class empty, and the posterior then says nothing. No document is dropped by it.
+The share of good documents has a Beta prior whose weight is a fixed part of the corpus, so that the expectation-maximisation
+calls neither class empty, and a corpus of any share of bad documents is judged by what it holds.
 
 Defined cases: a null or empty text has no words and fails the base; repeated rows and ties give repeated results; an
 empty table gives an empty result; extra columns are ignored, whatever their names.
@@ -24,9 +24,12 @@ from ._common import SEPARATORS, WORD, arrow_map, materialise, table, texts_of
 
 _WORDS = re.compile(WORD).findall
 SYMBOLS = "#*$%&|<>"
-RULES = ("length", "symbols", "duplicate_lines", "repeated_words", "word_length", "letters")
+RULES = ("length", "symbols", "duplicate_lines", "repeated_words", "word_length", "letters", "plain_words", "line_ends")
 ABSTAIN = 2
-LEAST_GOOD, MOST_GOOD = 0.5, 0.98
+#: The prior share of good documents, and its weight as a part of all documents.
+PRIOR_GOOD, PRIOR_WEIGHT = 0.8, 0.1
+#: What may stand around a plain word, and at the end of a line that is a sentence's end.
+AROUND, CLOSING = ".,;:!?\"'()«»“”„’-…", tuple(".!?:;…\"')»”")
 
 
 def measures(text: str) -> tuple[int, int, int, int, int, int]:
@@ -55,7 +58,7 @@ def _vote(good: bool, bad: bool) -> int:
 
 
 def votes(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat: int, letters: int, n_lines: int) -> list[int]:
-    """One vote for each of RULES."""
+    """One vote for each of RULES but the last two."""
     w, c, mean = max(1, n_words), max(1, word_chars), word_chars / max(1, n_words)
     return [
         _vote(n_words >= 80, n_words < 20),
@@ -67,6 +70,15 @@ def votes(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_rep
     ]
 
 
+def shape_votes(text: str) -> list[int]:
+    """The votes of the last two rules: words that are letters and digits but for the punctuation around them, lines that end as sentences do."""
+    words = _WORDS(text)
+    lines = [bare for line in text.split("\n") if (bare := line.strip(SEPARATORS))]
+    plain, closed = sum(w.strip(AROUND).isalnum() for w in words), sum(line.endswith(CLOSING) for line in lines)
+    w, n = max(1, len(words)), max(1, len(lines))
+    return [_vote(plain >= 0.9 * w, plain < 0.6 * w), _vote(closed >= 0.6 * n, closed < 0.2 * n and n > 1)]
+
+
 def learn(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float, np.ndarray]:
     """(share of good, table[class, rule, vote]) by expectation-maximisation over pattern counts.
 
@@ -74,7 +86,7 @@ def learn(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float,
     on the right side: good documents seldom get a bad vote, bad ones get one from about every third rule.
     """
     prior = np.array([[[0.2, 46.8, 3.0]] * len(RULES), [[14.0, 33.0, 3.0]] * len(RULES)])[::-1]  # bad class first; votes bad, good, abstain
-    share, table_ = 0.8, prior / prior.sum(axis=2, keepdims=True)
+    share, table_ = PRIOR_GOOD, prior / prior.sum(axis=2, keepdims=True)
     if not counts:
         return share, table_
     v, n = np.array(list(counts)), np.array(list(counts.values()), float)
@@ -83,7 +95,7 @@ def learn(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float,
         good = posterior(v, share, table_)
         seen = np.stack([((1 - good) * n) @ one_hot.reshape(len(v), -1), (good * n) @ one_hot.reshape(len(v), -1)]).reshape(2, len(RULES), 3)
         table_ = (seen + prior) / (seen + prior).sum(axis=2, keepdims=True)
-        share = float(np.clip((good * n).sum() / n.sum(), LEAST_GOOD, MOST_GOOD))
+        share = float(((good * n).sum() / n.sum() + PRIOR_GOOD * PRIOR_WEIGHT) / (1 + PRIOR_WEIGHT))
     return share, table_
 
 
@@ -103,7 +115,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
         for t in texts_of(texts):
             m = measures(t)
             rows.append(m[:5])
-            ballots.append("".join(map(str, votes(*m, t.count("\n") + 1))))
+            ballots.append("".join(map(str, votes(*m, t.count("\n") + 1) + shape_votes(t))))
         columns = list(zip(*rows)) if rows else [[]] * 5
         return [ids, *map(list, columns), ballots]
 
