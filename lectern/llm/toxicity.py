@@ -22,6 +22,7 @@ gives an empty result; further columns are kept by ``drop_toxic`` and ignored el
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -30,10 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, arrow_map, crc_mod, return_memory, table, texts_of, worker_model
+from ._common import WORD, arrow_map, arrow_stream, crc_mod, table, texts_of, worker_model
 from ._gbdt import BoostedTrees
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 6000
+#: Characters of labelled text that are learned from at most.
+SAMPLE_BYTES = 64_000_000
 #: Words of a training window of the base and the ordinary dictionary, and of a window that rounds choose from.
 LONG_WINDOW, SHORT_WINDOW = 16, 2
 #: Shapes of the two pairs of dictionaries: bytes of the base and of a part, the trainer's segment and unit for parts.
@@ -178,17 +181,30 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     return ToxicityModel(pairs, BoostedTrees(trees=60, depth=3).fit(x, y))
 
 
+def _fitted(batches):
+    """The model of all rows, as one row. Rows beyond ``SAMPLE_BYTES`` of text are not used."""
+    rows, size = [], 0
+    for texts, labels in batches:
+        for text, label in zip(texts_of(texts), labels.to_pylist()):
+            size += len(text)
+            if size <= SAMPLE_BYTES:
+                rows.append((text, label))
+    yield [[pickle.dumps(fit(rows))]]
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, ordinary: int = ORDINARY_SAMPLE) -> ToxicityModel:
-    """Fit on a bounded sample of the labelled rows; the ids that reach the join are at most ``toxic + ordinary``."""
+    """Fit on a bounded sample of the labelled rows; the ids that reach the join are at most ``toxic + ordinary``.
+
+    One task of an executor gets the sample, of at most ``SAMPLE_BYTES`` characters, and fits the model; the driver gets
+    the model alone, whose size its parameters fix.
+    """
     usable = labels.select("doc_id", "toxic").filter(crc_mod(F.col("doc_id"), 5) != 0)
     drawn = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic), (0, ordinary))]
     picked = F.broadcast(drawn[0].union(drawn[1]))
     joined = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic")
-    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(toxic + ordinary).select(F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
-    model = fit(list(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())))
-    del rows
-    return_memory()  # the driver goes on to other work
-    return model
+    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(toxic + ordinary)
+    told = arrow_stream(rows.coalesce(1), _fitted, "model binary", "text", "toxic").collect()
+    return pickle.loads(told[0]["model"]) if told else ToxicityModel([], None)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
