@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .functions import answers
 from .operators import chunking, findings, layout, privacy
 from .registry import _CHUNKS, query
-from .session import shared_dir
+from .session import scratch_folder
 from .sources import registration, versions
 from .streaming import ordered, queue, sessions
 
@@ -98,7 +96,7 @@ def committed_texts(spark, read):
     """Documents and chunks in a versioned store, new texts for all labelled documents in one commit, read as a snapshot."""
     docs = read("documents").select("doc_id", "text", F.col("lang").alias("ai_summary"))
     cut = lambda d: chunking.chunk_documents(d).select("doc_id", "chunk_index", "text")
-    store = versions.Store(spark, f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}", {"documents": "doc_id", "chunks": "doc_id"})
+    store = versions.Store(spark, scratch_folder(spark), {"documents": "doc_id", "chunks": "doc_id"})
     store.create(documents=docs, chunks=cut(docs))
     changes = read("labels").select("doc_id").join(docs, "doc_id").select("doc_id", F.concat(F.lit("note "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("text"))
     now = versions.replace_texts(store, changes, cut)

@@ -60,16 +60,22 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, object] = {}
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, whose files go with the driver process."""
+    path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_discard_all)
+    _written[path] = spark
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and no executor holds the only copy.
 
     Folders go when ``discard`` is called on the result, or with the driver process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_discard_all)
-    _written[path] = spark
+    path = scratch_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path

@@ -7,7 +7,6 @@ goes on where it was. These streams need the RocksDB state store (``spark.sql.st
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import materialise, shared_dir, ship
+from ..session import materialise, scratch_folder, ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -85,7 +84,7 @@ def replay(spark: SparkSession, rows: DataFrame, at: str, end: tuple, stream: Ca
     """
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    home = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
+    home = scratch_folder(spark)
     rows.repartition(files).write.parquet(f"{home}/in")
     spark.createDataFrame([end], rows.schema).coalesce(1).write.mode("append").parquet(f"{home}/in")
     source = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{home}/in")
