@@ -61,6 +61,9 @@ HELD_ENTRIES, BUCKET_ENTRIES, ENTRY_BITS = 400_000, 600_000, 48
 HUB_TURNS = 2
 #: Sets and shingles in one block of a component, and columns of the tables by which two blocks are compared.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 8192
+#: Sketches in one block of an entry's members, and rows of a block that are compared at once. A member goes to as many
+#: pairs of blocks as its entry has blocks.
+BLOCK_SKETCHES, COMPARED = 4096, 128
 #: Ratio of a band's bounds, the words of 64 bits in a sketch, and the set size above which sets have a wide one.
 BAND, SKETCH, WIDE_FROM = 1.25, 16, 1000
 
@@ -510,7 +513,7 @@ def in_blocks(rows: DataFrame, key: str, parts, columns: list[str]) -> DataFrame
 
 def _across(members: DataFrame, marks: list[str], limit: Threshold) -> DataFrame:
     """Distinct pairs (a, b) of members of one entry, of different roots, that sizes and sketches allow."""
-    per = members.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("k"))
+    per = members.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK_SKETCHES).alias("k"))
     dealt = in_blocks(members.join(per, "entry"), "entry", F.col("k"), ["root", "n", *marks])
 
     def run(x, y, nodes, blocks, roots, n, *sketches):
@@ -518,12 +521,14 @@ def _across(members: DataFrame, marks: list[str], limit: Threshold) -> DataFrame
         for i, (low, high) in enumerate(zip(x.to_pylist(), y.to_pylist())):
             node, block, root, size = (c[i].values.to_numpy() for c in (nodes, blocks, roots, n))
             drawn = np.stack([c[i].values.to_numpy() for c in sketches], axis=1).view(np.uint64)
-            p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            total = size[p][:, None] + size[q]
-            most = total - 2 * -(-limit.num * total // (limit.num + limit.den))
-            apart = sum(np.bitwise_count(drawn[p][:, None, k] ^ drawn[q][None, :, k]).astype(np.int64) for k in range(SKETCH))
-            a, b = np.nonzero((root[p][:, None] != root[q]) & (apart <= most))
-            left.append(np.minimum(node[p][a], node[q][b])), right.append(np.maximum(node[p][a], node[q][b]))
+            every, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            for k in range(0, len(every), COMPARED):
+                p = every[k : k + COMPARED]
+                total = size[p][:, None] + size[q]
+                most = total - 2 * -(-limit.num * total // (limit.num + limit.den))
+                apart = sum(np.bitwise_count(drawn[p][:, None, s] ^ drawn[q][None, :, s]).astype(np.int32) for s in range(SKETCH))
+                a, b = np.nonzero((root[p][:, None] != root[q]) & (apart <= most))
+                left.append(np.minimum(node[p][a], node[q][b])), right.append(np.maximum(node[p][a], node[q][b]))
         return [np.concatenate(left), np.concatenate(right)] if left else [[], []]
 
     return arrow_map(dealt, run, "a long, b long", *dealt.columns).distinct()

@@ -145,6 +145,8 @@ def test_ngram_join_odd(odd):
 
 def test_ngram_join_counts_every_link(spark, texts, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK_SKETCHES", 5)
+    monkeypatch.setattr(ngram_join, "COMPARED", 2)
     monkeypatch.setattr(ngram_join, "COLUMNS", 50)
     words = " ".join(f"t{i}" for i in range(200)).split()
     alike = [[*words[:k], f"x{k}", *words[k + 1 :]] for k in range(0, 200, 9)]
