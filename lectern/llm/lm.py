@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_stream, bounded_batches, crc_mod, materialise, release_shuffles, table, worker_model
+from ._common import arrow_stream, bounded_batches, crc_mod, discard, materialise, release_shuffles, table, worker_model
 from .ngram_join import words_of_texts
 
 BLOCK_CHARS = 8_000_000
@@ -100,7 +100,11 @@ class LogBilinear:
                     _step(table_, total, at, g / len(pick) ** 0.5)
         return self
 
-    def log_probabilities(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, contexts: np.ndarray, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Natural logs of p(words[i] | contexts[rows[i]]); a context is its two classes before."""
+        return self.log_scores((contexts[:, 0] * (len(self.bias) + 1) + contexts[:, 1])[rows], words)
+
+    def log_scores(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logs of p(words[i] | contexts[i]). Contexts are numbers (before last) * (words + 1) + (last).
 
         The normaliser of a context is made in batches of a matrix product with all words, and kept where there are at most
@@ -283,14 +287,15 @@ def score_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 c = table_[1][np.searchsorted(table_[0], flat)].astype(float)
                 w = vocabulary.of(flat)
                 first = np.cumsum(lengths) - lengths
-                logp = m.log_probabilities(contexts_of(w, lengths, start), w) / log10
+                logp = m.log_scores(contexts_of(w, lengths, start), w) / log10
                 base = np.log10(c + 1)
                 logp += np.where(w == vocabulary.other, base - other_floor, 0.0)
                 sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base - floor, logp)]
                 yield [part[2], part[3], lengths, sums[0], np.full(len(lengths), n, np.int64), sums[1], sums[2]]
 
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    known = local.drop("n").join(totals, "word")
+    known = materialise(local.drop("n").join(totals, "word"))
+    discard(local, totals)  # the files of the join go before the texts are shuffled
     word_rows = known.select("block", F.lit(0).alias("kind"), nothing("long", "doc_id"), nothing("boolean", "held"), nothing("string", "text"), "word", "n")
     text_rows = dealt.select("block", F.lit(1).alias("kind"), "doc_id", "held", "text", nothing("long", "word"), nothing("long", "n"))
     together = word_rows.union(text_rows).repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
