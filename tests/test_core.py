@@ -171,3 +171,14 @@ def test_similarity_in_blocks_is_that_of_all_pairs(spark, monkeypatch):
     best = lambda df: sorted((r["question_id"], r["chunk_index"]) for r in retrieval.top_chunks(df.selectExpr("question_id", "0 AS doc_id", "item AS chunk_index", "score")).collect())
     assert best(retrieval.similar(items, questions, 5)) == best(want) and len(best(want)) == 15
     assert retrieval.similar(items, questions.limit(0), 5).count() == 0
+
+
+def test_fusion_shuffles_its_pairs_once(spark):
+    rows = [(q, i, round(1 - (i * 7 % 5) / 10, 6), None if i == 3 else float(i % 4 - 1)) for q in (1, 2) for i in range(12)]
+    fused = retrieval.fuse(spark.createDataFrame(rows, "question_id long, item long, score double, lexical double"))
+    plan = fused._jdf.queryExecution().sparkPlan().toString(), fused._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[0] and plan[1].count("Exchange") == 1
+    first = sorted(rows[:12], key=lambda r: (-r[2], r[1]))
+    second = sorted((r for r in rows[:12] if r[3] is not None and r[3] > 0), key=lambda r: (-r[3], r[1]))
+    want = {r[1]: round(1 / (61 + first.index(r)) + (1 / (61 + second.index(r)) if r in second else 0), 9) for r in first}
+    assert all({r["item"]: r["rrf"] for r in fused.filter(f"question_id = {q}").collect()} == want for q in (1, 2))
