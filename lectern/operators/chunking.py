@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..session import ship
+from ..functions.workers import bounded_batches, return_memory, slices
 
 # Chunk length and overlap in characters.
 SIZE, OVERLAP = 1600, 150
@@ -48,10 +48,10 @@ def chunk(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFra
     """
     import pyarrow as pa
 
-    ship(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def body(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [(d, p, i, c) for d, p, t in zip(*(x.to_pylist() for x in b.columns)) for i, c in enumerate(cut(t or "", size, overlap))]
             cols = list(zip(*rows)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
@@ -70,12 +70,12 @@ def chunk_documents(docs: DataFrame, *kept: str, size: int = SIZE, overlap: int
     """
     import pyarrow as pa
 
-    ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     fields = [docs.schema["doc_id"], *[docs.schema[c] for c in kept]]
     out = StructType([fields[0], StructField("page_number", IntegerType()), StructField("chunk_index", IntegerType()), StructField("text", StringType()), *fields[1:]])
 
     def body(batches):
-        for b in batches:
+        for b in slices(batches):
             pieces = [cut(t or "", size, overlap) for t in b.column(1).to_pylist()]
             rows = pa.array([i for i, p in enumerate(pieces) for _ in p], pa.int64())
             places = [k for p in pieces for k in range(len(p))]
@@ -110,20 +110,28 @@ def language_totals(shares: DataFrame) -> DataFrame:
     return shares.groupBy("lang").agg(F.round(F.sum("share"), 4).alias("total"))
 
 
-def overlap_length(previous, current, least: int = 20, most: int = OVERLAP):
-    """Length of the longest end of ``previous`` (20 to 150 characters) that ``current`` starts with, else 0."""
-    sizes = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda k: (k <= F.length(previous)) & (k <= F.length(current)) & previous.endswith(F.substring(current, F.lit(1), k)))
-    return F.coalesce(F.try_element_at(sizes, F.lit(1)), F.lit(0))
+def overlap_length(tail, head, least: int = 20, most: int = OVERLAP):
+    """Length of the longest end of ``tail`` (20 to 150 characters) that ``head`` starts with, else 0.
+
+    The two are the last and first ``most`` characters of the texts. A longer overlap begins further left, where ``tail`` holds
+    the first ``least`` characters of ``head``: mostly at the first such place or nowhere, so other lengths are seldom tried.
+    """
+    at = F.call_function("instr", tail, F.substring(head, 1, least))
+    first = F.length(tail) - at + 1
+    sizes = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda k: (k <= F.length(tail)) & (k <= F.length(head)) & tail.endswith(F.substring(head, F.lit(1), k)))
+    tried = F.coalesce(F.try_element_at(sizes, F.lit(1)), F.lit(0))
+    none = (F.length(head) < least) | (at == 0)
+    return F.coalesce(F.when(none, 0).when(head.startswith(F.call_function("substring", tail, at)), F.when(first >= least, first).otherwise(0)).otherwise(tried), F.lit(0))
 
 
 def trim_overlaps(chunks: DataFrame) -> DataFrame:
     """Cut from each chunk what the chunk before it on the same page ends with."""
     order = Window.partitionBy("doc_id").orderBy("chunk_index")
-    before = F.lag(F.struct("chunk_index", "page_number", "text")).over(order)
-    follows = (before["chunk_index"] == F.col("chunk_index") - 1) & before["page_number"].eqNullSafe(F.col("page_number"))
-    shared = F.when(follows, overlap_length(before["text"], F.col("text"))).otherwise(0)
-    marked = chunks.filter(F.trim("text") != "").withColumn("overlap", shared)
-    return marked.withColumn("text", F.expr("substring(text, overlap + 1)"))
+    before = F.lag(F.struct("chunk_index", "page_number", F.right("text", F.lit(OVERLAP)).alias("tail"))).over(order)
+    bare = chunks.filter(F.trim("text") != "").withColumn("_before", before).withColumn("_head", F.substring("text", 1, OVERLAP))
+    follows = (F.col("_before.chunk_index") == F.col("chunk_index") - 1) & F.col("_before.page_number").eqNullSafe(F.col("page_number"))
+    marked = bare.withColumn("_tail", F.when(follows, F.col("_before.tail"))).withColumn("overlap", overlap_length(F.col("_tail"), F.col("_head")))
+    return marked.withColumn("text", F.expr("substring(text, overlap + 1)")).drop("_before", "_head", "_tail")
 
 
 def greedy_batches(chunks: DataFrame, limit: int = 6500, separator: int = 2) -> DataFrame:
@@ -133,7 +141,7 @@ def greedy_batches(chunks: DataFrame, limit: int = 6500, separator: int = 2) ->
     """
     import pyarrow as pa
 
-    ship(chunks.sparkSession)
+    bounded_batches(chunks.sparkSession)
     sized = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.length("text").alias("n"))
     dealt = sized.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
     out = StructType([*sized.schema.fields[:2], StructField("batch", IntegerType())])
@@ -151,5 +159,6 @@ def greedy_batches(chunks: DataFrame, limit: int = 6500, separator: int = 2) ->
                 size = grown
                 found.append(batch)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int32())], names=out.names)
+        return_memory()
 
     return dealt.mapInArrow(body, out)

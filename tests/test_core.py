@@ -1,11 +1,14 @@
 """Exact cases of the core operators."""
 
+import random
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern import registry
 from lectern.functions import text as T
+from lectern.functions import workers
 from lectern.operators import chunking, jobs, layout, privacy, reports, retrieval
 from lectern.plans import pipelines
 from lectern.sources import stores
@@ -182,3 +185,25 @@ def test_fusion_shuffles_its_pairs_once(spark):
     second = sorted((r for r in rows[:12] if r[3] is not None and r[3] > 0), key=lambda r: (-r[3], r[1]))
     want = {r[1]: round(1 / (61 + first.index(r)) + (1 / (61 + second.index(r)) if r in second else 0), 9) for r in first}
     assert all({r["item"]: r["rrf"] for r in fused.filter(f"question_id = {q}").collect()} == want for q in (1, 2))
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng, rows = random.Random(1), []
+    for i in range(400):
+        letters, n, m = rng.choice(["a", "ab", "abcé ", "xyz"]), rng.choice([0, 19, 20, 21, 149, 150, 151, 400]), rng.choice([0, 19, 20, 30, 150, 151])
+        a = "|" + "".join(rng.choice(letters) for _ in range(n))
+        b = (a[len(a) - m :] if m <= len(a) else "") + "".join(rng.choice(letters) for _ in range(rng.choice([1, 19, 30, 200]))) + "|"
+        rows.append((i, 1, 0, a)), rows.append((i, 1, 1, b))
+    want = {i: max([k for k in range(20, 151) if k <= len(a[3]) and k <= len(b[3]) and a[3].endswith(b[3][:k])], default=0) for i, (a, b) in enumerate(zip(rows[::2], rows[1::2]))}
+    found = chunking.trim_overlaps(spark.createDataFrame(rows, "doc_id long, page_number int, chunk_index int, text string"))
+    assert {r["doc_id"]: r["overlap"] for r in found.filter("chunk_index = 1").collect()} == want and len(set(want.values())) > 5
+    assert ", tail, " in found._jdf.queryExecution().analyzed().toString()  # only ends of texts meet
+
+
+def test_workers_see_bounded_parts_of_batches(spark):
+    session = spark.newSession()
+    docs = session.createDataFrame([(i, "word " * 2000) for i in range(40)], "doc_id long, text string")
+    assert chunking.chunk_documents(docs).count() > 40 and session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 5000})
+    parts = list(workers.slices(iter([batch, batch.slice(0, 0)])))
+    assert sum(p.num_rows for p in parts) == 5000 and max(p.nbytes for p in parts) <= 1.1 * workers.SLICE_BYTES and len(parts) >= 4
