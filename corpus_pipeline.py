@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, *bpe.public_vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode_ids(docs, *bpe.public_vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

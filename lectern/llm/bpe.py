@@ -19,10 +19,12 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import arrow_map, table, texts_of, worker_model
+from ._common import arrow_stream, table, texts_of, worker_model
 
 #: Pieces kept per worker with their ids; longer pieces are never kept.
 CACHED_PIECES, CACHED_BYTES = 400_000, 64
+#: What a worker takes up at once: bytes of pieces that merge together, characters of texts.
+MERGED_BYTES, RUN_CHARS = 1 << 18, 500_000
 
 
 def segment_tree_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -92,8 +94,14 @@ class BytePairCodec:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.kept: dict[str, tuple[int, ...]] = {}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)])
-        pairs = [(ranks[t[:k]] << 20 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.pair_keys, self.pair_ranks = np.array(sorted(pairs), dtype=np.int64).T.copy() if pairs else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
+        keys, made = array("q", [-1]), array("q", [0])
+        for t, r in ranks.items():
+            for k in range(1, len(t)):
+                a, b = ranks.get(t[:k]), ranks.get(t[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 20 | b), made.append(r)
+        order = np.argsort(np.asarray(keys))
+        self.pair_keys, self.pair_ranks = np.asarray(keys)[order], np.asarray(made)[order]
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two tokens make, -1 where there is none."""
@@ -157,8 +165,9 @@ class BytePairCodec:
             elif len(raw) <= CACHED_BYTES:
                 by_width.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for group in by_width.values():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
+            step = max(1, MERGED_BYTES // max(len(raw) for _, raw in group))
+            for k in range(0, len(group), step):
+                part = group[k : k + step]
                 self.kept.update(zip([p for p, _ in part], self.merge_many([raw for _, raw in part])))
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
@@ -183,7 +192,7 @@ class BytePairCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def in_runs(texts: list[str], chars: int = 2_000_000):
+def in_runs(texts: list[str], chars: int = RUN_CHARS):
     """Runs of texts of about so many characters, so that their pieces fit in memory."""
     run, size = [], 0
     for t in texts:
@@ -214,29 +223,35 @@ def ids_digest(ids) -> str:
     return hashlib.sha256(packed.tobytes()).hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the ids of each text and the bytes they decode to."""
+def _encoded(docs: DataFrame, path: str, pattern: str, schema: str, *of) -> DataFrame:
+    """doc_id and what each function of ``of`` makes of the codec and the ids of a text. Each run of texts is its own Arrow
+    batch, so neither a worker nor the executor holds the ids of more."""
 
-    def run(ids, texts):
-        c = codec(path, pattern)
-        encoded = [e for run in in_runs(texts_of(texts)) for e in c.encode_many(run)]
-        return [ids, encoded, [c.decode(e) for e in encoded]]
+    def body(batches):
+        for ids, texts in batches:
+            c, at = codec(path, pattern), 0
+            for run in in_runs(texts_of(texts)):
+                encoded = c.encode_many(run)
+                yield [ids.slice(at, len(run)), *[[f(c, e) for e in encoded] for f in of]]
+                at += len(run)
 
-    return arrow_map(docs, run, "doc_id long, ids array<int>, decoded binary", "doc_id", "text")
+    return arrow_stream(docs, body, f"doc_id long, {schema}", "doc_id", "text")
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), made where the ids are, so that they need not leave the worker."""
+def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids): the ids of each text."""
+    return _encoded(docs, path, pattern, "ids array<int>", lambda c, e: e)
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): the ids of each text and the bytes they decode to."""
+    return _encoded(docs, path, pattern, "ids array<int>, decoded binary", lambda c, e: e, lambda c, e: c.decode(e))
 
-    def run(ids, texts):
-        c = codec(path, pattern)
-        n, a, b = [], [], []
-        for run in in_runs(texts_of(texts)):
-            for e in c.encode_many(run):
-                n.append(len(e)), a.append(ids_digest(e)), b.append(hashlib.sha256(c.decode(e)).hexdigest())
-        return [ids, n, a, b]
 
-    return arrow_map(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "doc_id", "text")
+def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), made where the ids are, so that they need not leave the worker."""
+    digests = lambda c, e: len(e), lambda c, e: ids_digest(e), lambda c, e: hashlib.sha256(c.decode(e)).hexdigest()
+    return _encoded(docs, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", *digests)
 
 
 def public_vocabulary() -> tuple[str, str]:

@@ -308,3 +308,18 @@ def test_toxicity_scores_equal_compressing_every_window(spark, sf_dir, monkeypat
         assert abs(got[i][0] - want) < 1e-12 and got[i][1] == int(want >= 0.5)
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
     assert list(toxicity._fitted([]))  # a model without rows
+
+
+def test_bpe_runs_are_batches_of_their_own(spark, monkeypatch):
+    from lectern.llm import bpe
+
+    path, pattern = bpe.public_vocabulary()
+    docs = spark.createDataFrame([(i, f"Straße {i} über Ünïcode-words" * 9) for i in range(30)] + [(98, None), (99, "")], "doc_id long, text string")
+    whole = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_documents(docs, path, pattern).collect()}
+    assert {r["doc_id"]: list(r["ids"]) for r in bpe.encode_ids(docs, path, pattern).collect()} == whole and whole[98] == whole[99] == []
+    assert [len(r) for r in bpe.in_runs(["x" * 300_000] * 5)] == [2, 2, 1]
+    c = bpe.codec(path, pattern)
+    widest, many = [], c.merge_many
+    monkeypatch.setattr(c, "merge_many", lambda pieces: widest.append(len(pieces) * max(map(len, pieces))) or many(pieces))
+    c._learn({f"q{i:x}zq" * 9 for i in range(9000)})
+    assert len(widest) > 1 and max(widest) <= bpe.MERGED_BYTES
