@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, findings, jobs, layout, privacy, review
+from lectern.operators import chunking, findings, jobs, layout, privacy, retrieval, review
 from lectern.plans import pipelines
 from lectern.sources import stores
 from lectern.streaming import machines
@@ -327,3 +328,41 @@ def test_streams_equal_their_batch_forms(spark, tmp_path):
     q.stop()
     got = {(r["key"], r["session"]): r["n"] for r in spark.table("numbered").groupBy("key", "session").agg(F.count("*").alias("n")).collect()}
     assert got == {(r["user_id"], r["session"]): r["touches"] for r in jobs.sessionize(events, "user_id", "ts").collect()} == {(1, 1): 1, (1, 2): 2, (2, 1): 1}
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_selections_equal_brute_force(spark):
+    rng, none = random.Random(4), lambda x: None if rng.random() < 0.1 else x
+    chosen = [(rng.randrange(300), none(str(rng.randrange(4))), none(rng.randrange(1, 6)), *((None,) * 4 if rng.random() < 0.3 else (1.0, 1.0, none(rng.choice([5.0, 50.0, 99.5])), 2.0))) for _ in range(500)]
+    known = [(rng.randrange(330), none(str(rng.randrange(4)))) for _ in range(700)]
+    pages = [(d, 4) for d in range(290)]
+    got = findings.selection_errors(spark.createDataFrame(chosen, "doc_id long, id string, page int, x double, y double, w double, h double"), spark.createDataFrame(known, "doc_id long, id string"), spark.createDataFrame(pages, "doc_id long, page_count int"))
+    want = {}
+    for d in {r[0] for r in chosen}:
+        rows = [r for r in chosen if r[0] == d]
+        boxed = [r for r in rows if r[3] is not None]
+        named = [r[1] for r in boxed if r[1] is not None]
+        bad = any(r[2] is None or r[5] is None or d >= 290 or r[2] > 4 or r[3] + r[5] > 100.001 or r[4] + r[6] > 100.001 for r in boxed)
+        want[d] = bad or len(named) > len(set(named)) or any(r[1] is None or (d, r[1]) not in known for r in rows if r[3] is None)
+    assert {r["doc_id"]: r["invalid"] for r in got.collect()} == want and set(want.values()) == {True, False}
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+
+
+def test_words_are_shuffled_once(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    words = session.createDataFrame([(d, i, f"w{i % 7}", 0, 0, i // 4, i % 4 * 10, i // 4 * 10, 8, 8) for d in (1, 2) for i in range(40)], "page_id long, word_id long, text string, block int, paragraph int, line int, left int, top int, width int, height int")
+    assert _exchanges(layout.assemble_lines(words)) == 1
+    cells = session.createDataFrame([(1, 1, 0, 0, 20, 200)], "page_id long, cell_id long, left int, top int, right int, bottom int")
+    assert _exchanges(layout.words_in_cells(words, cells)) == 2 and layout.words_in_cells(words, cells).count() == 20
+    placed = layout.word_offsets(words.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), (F.col("word_id") * 1500).alias("place"), "block", "line", "text"))
+    assert _exchanges(placed) == 3  # words, sums of runs, runs of a page
+    rows = sorted(map(tuple, placed.select("doc_id", "place", "start", "end").collect()))
+    assert rows == [(d, i * 1500, 3 * i, 3 * i + 2) for d in (1, 2) for i in range(40)]
+    chunks = session.createDataFrame([(1, 0, "The cat the CAT of"), (1, 1, "cat"), (1, 1, "Cat"), (2, 0, None), (2, 1, "a b")], "doc_id long, chunk_index int, text string")
+    terms = retrieval.term_frequency(chunks)
+    assert sorted(map(tuple, terms.collect())) == [(1, 0, "cat", 2), (1, 0, "the", 2), (1, 1, "cat", 2)]
+    assert _exchanges(retrieval.document_frequency(terms)) == 1
