@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
-from ..functions.ordering import in_order, join_spans, spans_of
 
 # Confidences, markers of company names and of scores, bounds on second readings.
 HIGH, LOW = 85.0, 60.0
@@ -19,6 +18,8 @@ MOST_CELLS, MOST_TARGETED = 20, 12
 BAND = 160
 #: Places of a text in which spans meet words.
 BUCKET = 1024
+#: Places of a page whose words' lengths one task sums up.
+RUN = 4096
 
 
 def lines_of(words: DataFrame) -> DataFrame:
@@ -28,15 +29,19 @@ def lines_of(words: DataFrame) -> DataFrame:
 
 
 def assemble_lines(words: DataFrame) -> DataFrame:
-    """(page_id, text): lines by their least top, then least left, one under the other."""
-    pages = lines_of(words).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("top", "left", "block", "paragraph", "line", "text"))).alias("l"))
+    """(page_id, text): lines by their least top, then least left, one under the other.
+
+    Words are shuffled once, by their page, whose lines then lie together; a page is one text, so it is one task's anyway.
+    """
+    pages = lines_of(words.repartition("page_id")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("top", "left", "block", "paragraph", "line", "text"))).alias("l"))
     return pages.select("page_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
 
 
 def words_in_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
     """(word_id, cell_id): the one cell of its page that holds the word's centre; none if there are several.
 
-    A word meets only the cells that reach into its horizontal band, so a long page does not pair all with all.
+    A word meets only the cells that reach into its horizontal band, so a long page does not pair all with all. A word_id names
+    one word of its page, so it has one band, where its hits lie together and are counted without another shuffle.
     """
     x, y = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
     band = lambda c: F.floor(c / BAND)
@@ -44,7 +49,7 @@ def words_in_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
     c = cells.select("page_id", "cell_id", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1")).filter("x1 > x0 and y1 > y0")
     c = c.withColumn("band", F.explode(F.sequence(band(F.col("y0")), band(F.col("y1")))))
     hits = w.join(c, ["page_id", "band"]).filter("x >= x0 and x < x1 and y >= y0 and y < y1")
-    return hits.groupBy("page_id", "word_id").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).filter("n = 1").select("word_id", "cell_id")
+    return hits.groupBy("page_id", "band", "word_id").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).filter("n = 1").select("word_id", "cell_id")
 
 
 def weighted_confidence(words: DataFrame, low: float = 60.0) -> DataFrame:
@@ -201,19 +206,19 @@ def word_offsets(words: DataFrame) -> DataFrame:
     """Words with ``start`` and ``end``, their place in the page's text: words in order of ``place``, a line break where block
     or line changes, else a space.
 
-    ``words`` has doc_id, page, place, block, line and text. Offsets are running sums of lengths, by partitions of a range
-    sort, so a page of any number of words is no single task. A null text is empty.
+    ``words`` has doc_id, page, place (a number that a page has once), block, line and text. Offsets are running sums of
+    lengths in runs of ``RUN`` places, each of which begins with a row that holds the sum of all runs before it, so words are
+    shuffled once and a page of any number of words is no single task. A null text is empty.
     """
-    page = F.struct("doc_id", "page")
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    rows = in_order(words.withColumn("_page", page).withColumn("_size", size + 1), "_page", "place")
-    spans = spans_of(rows, "_page", _chars=F.sum("_size"))
-    earlier = Window.partitionBy("_page").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    both = join_spans(rows, spans.withColumn("_carried", F.coalesce(F.sum("_chars").over(earlier), F.lit(0))), "_page")
-    within = F.sum("_size").over(Window.partitionBy("_part", "_page").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
-    end = F.col("_carried") + within - 1
-    kept = [c for c in words.columns if c not in ("start", "end")]
-    return both.withColumn("end", end).select(*kept, (F.col("end") - F.col("_size") + 1).alias("start"), "end")
+    page, kept = ["doc_id", "page"], [c for c in words.columns if c not in ("start", "end")]
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1
+    rows = words.select(*kept, size.alias("_size"), F.floor(F.col("place") / RUN).alias("_run"), F.lit(False).alias("_carried"))
+    earlier = Window.partitionBy(*page).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*page, "_run").agg(F.sum("_size").alias("_size"))
+    carried = sums.withColumn("_size", F.sum("_size").over(earlier)).filter("_size > 0").withColumn("_carried", F.lit(True))
+    within = Window.partitionBy(*page, "_run").orderBy(F.desc("_carried"), "place").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(carried, allowMissingColumns=True).withColumn("end", F.sum("_size").over(within) - 1)
+    return both.filter("not _carried").select(*kept, (F.col("end") - F.col("_size") + 1).alias("start"), "end")
 
 
 def page_texts(words: DataFrame) -> DataFrame:

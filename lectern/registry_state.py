@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import answers
 from .operators import chunking, findings, layout, privacy
 from .registry import _CHUNKS, query
-from .session import scratch_folder
+from .session import materialise, scratch_folder
 from .sources import registration, versions
 from .streaming import ordered, queue, sessions
 
@@ -124,9 +124,10 @@ def word_offsets(spark, read):
   SELECT x.doc_id, x.start, x.stop, f.place FROM x JOIN f ON f.doc_id = x.doc_id AND f.start < x.stop AND f.stop > x.start""")
 def span_words(spark, read):
     """Each word that a span touches; spans run from every word with a digit or an at sign over 40 to 3,039 places."""
-    words = layout.word_offsets(_placed(read)).select("doc_id", "page", "place", "start", "end", "text")
-    spans = words.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "page", "start", (F.col("start") + 40 + F.col("place") % 3000).alias("end"))
-    return layout.span_words(spans, words.drop("text")).select("doc_id", "start", F.col("end").alias("stop"), "place")
+    asked = _placed(read).withColumn("asked", F.col("text").rlike("[0-9@]"))
+    words = materialise(layout.word_offsets(asked).select("doc_id", "page", "place", "start", "end", "asked"))  # both sides read it
+    spans = words.filter("asked").select("doc_id", "page", "start", (F.col("start") + 40 + F.col("place") % 3000).alias("end"))
+    return layout.span_words(spans, words.drop("asked")).select("doc_id", "start", F.col("end").alias("stop"), "place")
 
 
 #: A line for every pattern: the line, what is found in it, its category, confidence and whether it is to be reviewed.
