@@ -323,3 +323,13 @@ def test_bpe_runs_are_batches_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(c, "merge_many", lambda pieces: widest.append(len(pieces) * max(map(len, pieces))) or many(pieces))
     c._learn({f"q{i:x}zq" * 9 for i in range(9000)})
     assert len(widest) > 1 and max(widest) <= bpe.MERGED_BYTES
+
+
+def test_url_model_takes_all_labelled_urls(spark):
+    from lectern.llm import url_filter
+
+    hosts, paths = ("a.net", "b.net", "c.com", "example.com"), ("es", "fr", "en", "de")
+    urls = [(i, f"https://{hosts[i % 4]}/{paths[i // 4 % 4]}/{i:x}?q={i % 97}") for i in range(16_000)]
+    labelled = sum(h.endswith(".com") or p in ("es", "fr") for h in hosts for p in paths) * 1000
+    model = url_filter.learn_urls(spark.createDataFrame(urls, "page_id long, url string").repartition(4))
+    assert abs(model.judged - labelled / 8) < 150 and model.accuracy > 0.95 and len(model.trees.leaves) == 50
