@@ -15,10 +15,10 @@ worker holds, finished jobs are looked up by key alone.
 
 from __future__ import annotations
 
+import json
 from collections.abc import MutableMapping
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,53 +175,64 @@ def _timed(transitions: DataFrame) -> DataFrame:
 
 
 class _Kept(MutableMapping):
-    """A map in the state store, by single keys; values are tuples."""
+    """A map over one in the state store (None: over nothing) that looks up a key at most once and holds back what changes.
 
-    def __init__(self, state):
-        self.state = state
+    ``now`` has the values that need no look.
+    """
+
+    def __init__(self, state, now: dict):
+        self.state, self.now = state, now
+
+    def get(self, k, default=None):
+        if k not in self.now:
+            value = self.state.getValue((k,)) if self.state is not None else None
+            self.now[k] = value if value is None or len(value) > 1 else value[0]
+        return default if self.now[k] is None else self.now[k]
 
     def __getitem__(self, k):
-        if not self.state.containsKey((k,)):
+        if (v := self.get(k)) is None:
             raise KeyError(k)
-        value = tuple(self.state.getValue((k,)))
-        return value if len(value) > 1 else value[0]
+        return v
 
     def __setitem__(self, k, v):
-        self.state.updateValue((k,), v if isinstance(v, tuple) else (v,))
+        self.now[k] = v
 
     def __delitem__(self, k):
-        self.state.removeKey((k,))
+        self.now[k] = None
 
     def __iter__(self):
-        return (k[0] for k in self.state.keys())
+        return (k for k, v in self.now.items() if v is not None)
 
     def __len__(self):
         return sum(1 for _ in self)
 
 
 class _Queue(InOrder):
-    #: Numbers that may be missing travel as text: a table of rows would hold them as floating-point numbers.
-    waiting, columns = EVENT.replace("job long", "job string").replace("retry_after long", "retry_after string"), COLUMNS
+    """Active jobs are one value, as each batch needs them all, and hold their dedupe keys; finished ones are kept by id, and
+    the keys of completed ones, which nothing frees, by key. Nothing is looked up in a queue where no job has finished."""
 
     def open(self, handle) -> None:
-        self.active, self.done = handle.getMapState("active", "job long", JOB), handle.getMapState("done", "job long", JOB)
+        self.active, self.done = handle.getValueState("active", "jobs string"), handle.getMapState("done", "job long", JOB)
         self.held = handle.getMapState("held", "dedupe_key string", "job long")
 
     def take(self, key, rows, known):
-        jobs = Jobs({k[0]: tuple(v) for k, v in self.active.iterator()}, _Kept(self.done), _Kept(self.held))
-        number = lambda x: None if x is None else int(x)
-        out = [(key[0], r["event_id"], *jobs.take(r | {c: number(r[c]) for c in ("job", "retry_after")})) for r in rows]
-        for name in jobs.changed:
-            if name in jobs.active:
-                self.active.updateValue((name,), jobs.active[name])
-            elif self.active.containsKey((name,)):
-                self.active.removeKey((name,))
-        names = [c.split()[0] for c in TRANSITION.split(", ")]
-        pdf = pd.DataFrame(out, columns=names)
-        return pdf.astype({"job": "Int64", "attempts": "Int32", "not_before": "Int64"}), None
+        was = self.active.get()
+        active = {job[0]: tuple(job[1:]) for job in json.loads(was[0])} if was else {}
+        kept = self.done.exists()
+        done = _Kept(self.done if kept else None, {})
+        jobs = Jobs(active, done, _Kept(self.held if kept else None, {job[-1]: name for name, job in active.items() if job[-1] is not None}))
+        out = [(key[0], r["event_id"], *jobs.take(r)) for r in rows]
+        for name in jobs.changed - active.keys():
+            job = done[name]
+            self.done.updateValue((name,), job)
+            if job[0] in REUSED and job[-1] is not None:
+                self.held.updateValue((job[-1],), (name,))
+        if jobs.changed:
+            self.active.update((json.dumps([(name, *job) for name, job in active.items()]),))
+        return out, None
 
 
 def queue_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """``replay_batch`` over a stream: active jobs, finished ones and held keys are state in a store, by queue."""
-    rows = events.select("queue", "event_id", F.col("at").cast("timestamp").alias("at"), "kind", F.col("job").cast("string").alias("job"), "dedupe_key", "retryable", F.col("retry_after").cast("string").alias("retry_after"))
+    rows = events.select("queue", "event_id", F.col("at").cast("timestamp").alias("at"), "kind", "job", "dedupe_key", "retryable", "retry_after")
     return _timed(ordered_stream(rows, "queue", "at", late, _Queue(), TRANSITION))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from .ordered import InOrder, ordered_stream
 
 
 class _Sessions(InOrder):
-    waiting, columns = "us long, event_id long", ("us", "event_id")
+    alarms = True
 
     def __init__(self, ttl: int):
         self.ttl = ttl * 1_000_000
@@ -21,7 +20,8 @@ class _Sessions(InOrder):
         self.session = handle.getValueState("session", "first long, last long, touches long")
 
     def take(self, key, rows, known):
-        first, last, touches = self.session.get() if self.session.exists() else (None, None, 0)
+        was = self.session.get()
+        first, last, touches = was or (None, None, 0)
         ended = []
         for r in rows:
             if first is not None and r["us"] - last >= self.ttl:
@@ -33,11 +33,11 @@ class _Sessions(InOrder):
         if first is not None and last + self.ttl <= known:  # a touch at that very time would have been a new session's
             ended.append((key[0], first, last, touches))
             first = None
-        if first is None:
-            self.session.clear()
-        else:
+        if first is not None:
             self.session.update((first, last, touches))
-        return pd.DataFrame(ended, columns=["key", "first", "last", "touches"]), None if first is None else last + self.ttl
+        elif was:
+            self.session.clear()
+        return ended, None if first is None else last + self.ttl
 
 
 def expiring_sessions(events: DataFrame, key: str, ts: str, ttl: int = SESSION_TTL, late: str = "10 minutes") -> DataFrame:

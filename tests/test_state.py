@@ -3,8 +3,10 @@
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lectern.operators import evidence, findings, jobs, layout, privacy
@@ -119,6 +121,70 @@ def test_queue_stream_of_a_shuffled_log_goes_on_after_a_restart(spark, streaming
     assert _told(spark.read.parquet(f"{home}/out")) == _brute(rows)
 
 
+class _Store:
+    """State in a dict, of any kind, that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls += 1
+            at = a[0] if a and isinstance(a[0], tuple) and name not in ("update", "appendValue") else ()
+            if name in ("updateValue", "update"):
+                self.held[at] = a[-1]
+            elif name == "appendValue":
+                self.held.setdefault("list", []).append(a[0])
+            elif name in ("clear", "removeKey"):
+                self.held.clear() if name == "clear" else self.held.pop(at)
+            return {"exists": bool(self.held), "get": iter(self.held["list"]) if "list" in self.held else self.held.get(()), "getValue": self.held.get(at), "containsKey": at in self.held}.get(name)
+
+        return call
+
+
+class _Handle:
+    def __init__(self):
+        self.stores = defaultdict(_Store)
+        self.alarms = []
+        self.getListState = self.getMapState = self.getValueState = lambda name, *schemas: self.stores[name]
+        self.registerTimer = self.alarms.append
+
+    def calls(self):
+        return sum(s.calls for s in self.stores.values())
+
+
+def _machine(machine, told):
+    machine.told, handle = told, _Handle()
+    machine.init(handle)
+    return machine, handle
+
+
+@pytest.mark.parametrize("batches", [1, 7])
+def test_the_store_of_a_queue_is_called_for_finished_jobs_not_for_events(batches):
+    rows = [r for r in _log(6, 400) if r[0] == 1]
+    us = lambda r: int((r[2] - START).total_seconds() * 1_000_000)
+    events = [dict(zip(queue.COLUMNS, (r[1], us(r), *r[3:]))) for r in rows]
+    machine, handle = _machine(queue._Queue(), ())
+    got = []
+    for i in range(batches):  # the state is read again in each
+        got += machine.take((1,), events[i * len(events) // batches : (i + 1) * len(events) // batches], 0)[0]
+    assert sorted(got, key=str) == _brute(rows)
+    finished = sum(1 for g in got if g[4] in ("completed", "failed", "cancelled"))
+    if batches == 1:
+        assert handle.calls() <= 2 * finished + 3 and handle.calls() < len(rows)
+
+
+def test_rows_of_a_batch_wait_as_one_value():
+    machine, handle = _machine(sessions._Sessions(900), ("key", "first", "last", "touches"))
+    row = lambda us, i: Row(us=us, row=f'{{"us":{us},"event_id":{i}}}')
+    list(machine.handleInputRows((1,), iter([row(5_000 - i, i) for i in range(100)]), None))
+    assert handle.calls() == 1 and handle.alarms == [5]
+    list(machine.handleInputRows((1,), iter([row(9_000_000_000, 100)]), None))
+    known = SimpleNamespace(getCurrentWatermarkInMs=lambda: 2_000_000)
+    assert [tuple(r) for r in machine.handleExpiredTimer((1,), known, None)] == [(1, 4_901, 5_000, 100)]
+    assert [tuple(r) for r in machine.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10_000_000), None)] == [(1, 9_000_000_000, 9_000_000_000, 1)]
+
+
 def test_sessions_expire_and_their_state_goes(spark, streaming, tmp_path):
     home = f"file://{tmp_path}"
     at = lambda s: START + timedelta(seconds=s)
