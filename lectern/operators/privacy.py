@@ -133,11 +133,52 @@ NEEDS = {"EMAIL": "at"} | dict.fromkeys(("PHONE", "IBAN", "DATE", "IIN", "BIN",
 SIGNS = {"at": re.compile("@"), "digit": re.compile(r"\d"), "cyrillic": re.compile("[\u0400-\u04ff]")}
 
 
+#: Where a match can begin, ignoring case as patterns do (dotless and dotted i, the Kelvin sign, small Cyrillic variants are
+#: letters then): most texts have few such places, and a pattern is tried at them alone. All others begin a Cyrillic word.
+STARTS = {
+    "PHONE": "[+78]", "IBAN": "[Kk\u212a][Zz]", "DATE": r"\d+", "BARE_ID": r"\d+", "PAYMENT_CARD": r"\d+", "ORG_QUOTED": "[«\"]", "IIN_OR_BIN": "[ИиЖж]",
+    "IIN": "[IiİıИиЖж](?:(?<=[ИиЖж])|[Iiİı][Nn])", "BIN": "[BbБб](?:(?<=[Бб])|[Iiİı][Nn])", "CYRILLIC": "[\u0400-\u04ff\u1c80-\u1c88]+",
+}
+
+
 @lru_cache(maxsize=1)
 def _compiled():
     return [(c, conf, prio, re.compile(p)) for c, conf, prio, p in PATTERNS]
 
 
+@lru_cache(maxsize=1)
+def _starts():
+    return {kind: re.compile(p) for kind, p in STARTS.items()}
+
+
+def _kind(category: str, pattern: re.Pattern) -> str:
+    return category if category in STARTS else "EMAIL" if category == "EMAIL" else "ORG_QUOTED" if pattern.pattern.startswith("(?P<value>[«") else "CYRILLIC"
+
+
+def _places(kind: str, text: str) -> list[int]:
+    """Places of a text, in order, one of which every match of a pattern of that kind begins at."""
+    if kind != "EMAIL":
+        return [m.start() for m in _starts()[kind].finditer(text)]
+    out, at = [], text.find("@")
+    while at >= 0:  # the run of an address before the sign, and what follows a plus in it
+        start = at
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        out += [start, *(i + 1 for i in range(start, at) if text[i] == "+")] if start < at else []
+        at = text.find("@", at + 1)
+    return out
+
+
+def matches(pattern: re.Pattern, places: list[int], text: str) -> list[re.Match]:
+    """What ``finditer`` gives of a pattern whose matches begin at these places."""
+    out, done = [], 0
+    for i in places:
+        if i >= done and (m := pattern.match(text, i)):
+            out.append(m)
+            done = m.end()
+    return out
+
+
 def disjoint(spans: Iterable[dict], length: int) -> list[dict]:
     """Greedy choice by priority, confidence, length, start and category among the spans inside the text, by start."""
     starts, kept = [], {}
@@ -235,10 +276,13 @@ def pattern_spans(text: str, groups: Iterable[str] = TEXT_GROUPS) -> list[dict]:
     """All pattern candidates of a text whose category is in ``groups``, identifiers included; overlaps are not resolved."""
     there = {need for need, sign in SIGNS.items() if sign.search(text)}
     out = [_span(a, b, "AMOUNT", 0.95, 80, "pattern") for a, b in amounts(text)] if "digit" in there else []
+    places: dict[str, list[int]] = {}
     for category, confidence, priority, pattern in _compiled():
         if category == "PAYMENT_CARD" or NEEDS.get(category, "cyrillic") not in there:
             continue
-        for m in pattern.finditer(text):
+        if (kind := _kind(category, pattern)) not in places:
+            places[kind] = _places(kind, text)
+        for m in matches(pattern, places[kind], text):
             out += _number(m, category, priority) if category in (*IDENTIFIERS, "BARE_ID") else _value(m, category, confidence, priority)
     return [s for s in out if s["group"] in groups]
 
@@ -255,7 +299,7 @@ def _pattern_of(category: str) -> re.Pattern:
 
 def _ibans(text: str) -> list[dict]:
     pattern = _pattern_of("IBAN")
-    found = [(m.start("value"), m.end("value"), _valid_iban(m["value"])) for m in pattern.finditer(text)]
+    found = [(m.start("value"), m.end("value"), _valid_iban(m["value"])) for m in matches(pattern, _places("IBAN", text), text)]
     return [_span(a, b, "IBAN", 0.99 if good else 0.72, TAXONOMY["IBAN"][1], "iban", not good) for a, b, good in found]
 
 
@@ -267,7 +311,7 @@ def _valid_iban(value: str) -> bool:
 def _cards(text: str) -> list[dict]:
     pattern = _pattern_of("PAYMENT_CARD")
     out = []
-    for m in pattern.finditer(text):
+    for m in matches(pattern, _places("PAYMENT_CARD", text), text):
         good = _passes_luhn(m[0])
         if good or re.search(CARD_CONTEXT, text[max(0, m.start() - 45) : m.end() + 20]):
             out.append(_span(*m.span(), "PAYMENT_CARD", 0.98 if good else 0.70, TAXONOMY["PAYMENT_CARD"][1], "card", not good))
@@ -302,15 +346,16 @@ def detect_text(text: str, recognisers: dict[str, Callable] | None = None, group
     return disjoint([s for s in spans if s["group"] in groups], len(text)), failures
 
 
-def detect(docs: DataFrame, id_column: str = "doc_id", recognisers: dict[str, Callable] | None = None, groups: Iterable[str] = TEXT_GROUPS, fail_closed: bool = False) -> DataFrame:
-    """(id, spans, failures, complete): candidates and overlaps are resolved in one worker call a text."""
-    groups = tuple(groups)
+def detect(docs: DataFrame, id_column: str = "doc_id", recognisers: dict[str, Callable] | None = None, groups: Iterable[str] = TEXT_GROUPS, fail_closed: bool = False, kept: Iterable[str] = ()) -> DataFrame:
+    """(id, spans, failures, complete, and the columns ``kept``): candidates and overlaps are resolved in one worker call a text."""
+    groups, kept = tuple(groups), list(kept)
 
-    def run(key, text):
+    def run(key, text, *more):
         spans, failures = detect_text(text or "", recognisers, groups, fail_closed)
-        return key, spans, failures, not failures
+        return key, spans, failures, not failures, *more
 
-    return arrow_rows(docs.select(F.col(id_column).cast("long").alias(id_column), "text"), run, f"{id_column} long, spans array<{SPAN}>, failures array<{FAILURE}>, complete boolean", [id_column, "text"])
+    schema = ", ".join([f"{id_column} long, spans array<{SPAN}>, failures array<{FAILURE}>, complete boolean", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]])
+    return arrow_rows(docs.select(F.col(id_column).cast("long").alias(id_column), "text", *kept), run, schema, [id_column, "text", *kept])
 
 
 def mask_spans(texts: list[str], spans: list[list[dict]]) -> tuple[list[str], dict[str, str]]:

@@ -388,3 +388,26 @@ def test_a_stopped_worker_is_seen_as_gone(spark, tmp_path):
         queries[1].stop()
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_patterns_are_tried_where_a_match_can_begin_and_find_what_a_scan_finds():
+    from lectern.registry_state import PLANTED
+
+    rng = random.Random(3)
+    bits = [line for line, *_ in PLANTED] + ["a@b.c+d@e.fg", "x.+y@m-n.kz", "ııN:900101300007", "БИНBIN 240140000001", "+7", "8", "1.02.20245", "электронный адрес: ул. Абая 5", "Төраға А.Б.", "\u1c80", "\u212az", "٣", "@", "«"]
+    texts = ["".join(rng.choice([str, str.upper, str.lower])(rng.choice(bits)) + rng.choice(["", " ", "\n", "я", "1"]) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    found = 0
+    for category, _, _, pattern in privacy._compiled():
+        kind = privacy._kind(category, pattern)
+        for t in texts:
+            spans = [m.span() for m in privacy.matches(pattern, privacy._places(kind, t), t)]
+            assert spans == [m.span() for m in pattern.finditer(t)], (category, t)
+            found += len(spans)
+        assert len(privacy._places(kind, "the words of a text without signs " * 50 + "ИИН: 1")) <= 2
+    assert found > 2000
+
+
+def test_detection_keeps_columns_beside_its_spans(spark):
+    docs = spark.createDataFrame([(1, "ivan@mail.kz", 7), (1, "01.02.2024", 8)], "doc_id long, text string, own int")  # one id twice: a join would mix the rows
+    got = privacy.detect(docs, kept=["own"]).select("own", F.inline("spans")).select("own", "category").collect()
+    assert sorted(map(tuple, got)) == [(7, "EMAIL"), (8, "DATE")]
