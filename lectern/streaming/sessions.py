@@ -40,14 +40,21 @@ class _Sessions(InOrder):
         return ended, None if first is None else last + self.ttl
 
 
-def expiring_sessions(events: DataFrame, key: str, ts: str, ttl: int = SESSION_TTL, late: str = "10 minutes") -> DataFrame:
+def expiring_sessions(events: DataFrame, key: str, ts: str, ttl: int = SESSION_TTL, late: str = "10 minutes", drop_late: bool = False) -> DataFrame:
     """(key, first, last, touches) of each session of a stream when it has ended: ``ttl`` seconds after its last touch.
 
-    A touch exactly ``ttl`` after the one before opens a new session. Between its sessions a key has no state.
+    A touch exactly ``ttl`` after the one before opens a new session, so Spark's windows, which take in a touch at their very
+    end, are a microsecond shorter. State is a row for each session that is not over. Of the rows later than ``late`` only those
+    are dropped whose own session would be over; one that belonged to a session already told opens another. With ``drop_late`` all of
+    them are dropped, by a buffer that waits for the watermark row by row and takes many times as long.
     """
     rows = events.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("at"), "event_id")
-    ended = ordered_stream(rows, "key", "at", late, _Sessions(ttl), "key long, first long, last long, touches long")
-    return ended.select("key", F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "touches")
+    if drop_late:
+        ended = ordered_stream(rows, "key", "at", late, _Sessions(ttl), "key long, first long, last long, touches long")
+        return ended.select("key", F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "touches")
+    window = F.session_window("at", f"{ttl * 1_000_000 - 1} microseconds")
+    ended = rows.withWatermark("at", late).groupBy("key", window).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("touches"))
+    return ended.select("key", "first", "last", "touches")
 
 
 def sweep_with(read, write):

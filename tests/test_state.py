@@ -210,6 +210,34 @@ def test_sessions_expire_and_their_state_goes(spark, streaming, tmp_path):
     assert sorted(tuple(r) for r in docs[-1].select("doc_id", "session_id", "owner").collect()) == [(11, None, "ann"), (12, 77, None)]
 
 
+@pytest.mark.parametrize("drop_late", [False, True])
+def test_sessions_of_a_shuffled_stream_with_a_restart_equal_a_scan(spark, streaming, tmp_path, drop_late):
+    rng = random.Random(11)
+    touches, at = [], {}
+    for i in range(300):
+        k = rng.choice([1, 1, 2, 3])
+        at[k] = at.get(k, START) + timedelta(microseconds=rng.choice([0, 1_000_000, 899_999_999, 900_000_000, 900_000_001, 5_000_000_000]))
+        touches.append((k, i, at[k]))
+    want = defaultdict(list)
+    for k, _, t in touches:
+        if want[k] and t - want[k][-1][1] < timedelta(seconds=900):
+            want[k][-1][1:] = [t, want[k][-1][2] + 1]
+        else:
+            want[k].append([t, t, 1])
+    rng.shuffle(touches)
+    home, kinds = f"file://{tmp_path}", "user long, event_id long, ts timestamp"
+    run = lambda: sessions.expiring_sessions(streaming.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{home}/in"), "user", "ts", 900, "60 days", drop_late)
+    for part in (touches[:120], touches[120:], [(-1, -1, START + timedelta(days=200))]):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(f"{home}/in")
+        query = run().writeStream.format("parquet").option("checkpointLocation", f"{home}/c").trigger(availableNow=True).start(f"{home}/out")
+        query.awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{home}/out").collect()]
+    assert sorted(got) == sorted((k, *s) for k, each in want.items() for s in each)
+    if not drop_late:  # no Python sees a row: only the session windows of Spark have state
+        state = [o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]]
+        assert state and set(state) == {"sessionWindowStateStoreSaveExec"}
+
+
 @pytest.mark.parametrize("providers", [[1], [1, 2, None]])
 def test_spacing_with_one_provider_for_all_rows(spark, providers):
     rng = random.Random(6)
