@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lectern import registry
@@ -207,3 +208,13 @@ def test_workers_see_bounded_parts_of_batches(spark):
     batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 5000})
     parts = list(workers.slices(iter([batch, batch.slice(0, 0)])))
     assert sum(p.num_rows for p in parts) == 5000 and max(p.nbytes for p in parts) <= 1.1 * workers.SLICE_BYTES and len(parts) >= 4
+
+
+@pytest.mark.parametrize("name", ["review_thorough", "committed_texts", "budget_chunks", "primary_language"])
+def test_queries_bound_what_reaches_a_worker(spark, sf_dir, name):
+    session = spark.newSession()
+    registry.queries()[name](session, sf_dir)
+    sizes = lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in bs)
+    told = lambda rows: session.range(0, rows, 1, 1).selectExpr("id", f"repeat('x', {40_000_000 // rows}) AS t").mapInArrow(sizes, "n long, size long").collect()
+    assert max(r["n"] for r in told(4000)) <= workers.BATCH_ROWS and sum(r["n"] for r in told(4000)) == 4000
+    assert max(r["size"] for r in told(40)) <= 1.5 * workers.BATCH_BYTES and sum(r["n"] for r in told(40)) == 40
