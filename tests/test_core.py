@@ -1,6 +1,7 @@
 """Exact cases of the core operators."""
 
 import random
+import re
 from collections import deque
 
 import pyarrow as pa
@@ -188,6 +189,31 @@ def test_fusion_shuffles_its_pairs_once(spark):
     assert all({r["item"]: r["rrf"] for r in fused.filter(f"question_id = {q}").collect()} == want for q in (1, 2))
 
 
+def test_fusion_of_similar_vectors_is_that_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    vector = lambda i: [float(rng.randint(-2, 2)), float(i % 3), 0.0] if i % 11 else [float("nan"), 0.0, 1.0] if i % 2 else [0.0] * 3
+    rows = [(i * 7 % 300, vector(i), None if i % 13 == 0 else float("nan") if i % 17 == 0 else float(i % 4 - 1)) for i in range(300)]
+    items = spark.createDataFrame(rows, "item long, embedding array<float>, lexical double").repartition(5)
+    twice = [(q, [float(q % 2), 1.0, 0.5]) for q in (20, 20, 1000)]  # a question with two vectors, one that is no item
+    questions = items.filter("item % 20 = 0 AND item <> 20").selectExpr("item AS question_id", "embedding").union(spark.createDataFrame(twice, "q long, v array<float>"))
+    want = retrieval.fuse(retrieval.similar(items, questions, None, "lexical"))
+    found = lambda df: (sorted(map(tuple, df.filter("question_id <> 20").collect())), df.filter("question_id = 20").groupBy("item").count().filter("count = 2").count())
+    whole = retrieval.fuse_similar(items, questions)
+    monkeypatch.setattr(retrieval, "HELD", 1), monkeypatch.setattr(retrieval, "PACKED", 200), monkeypatch.setattr(retrieval, "GIVEN", 7)
+    parted = retrieval.fuse_similar(items, questions)
+    assert len(found(want)[0]) == 14 * 299 + 300 and found(whole) == found(parted) == found(want) and whole.schema.simpleString() == want.schema.simpleString()
+    assert sum(r["rrf"] for r in parted.filter("question_id = 20").collect()) == pytest.approx(sum(r["rrf"] for r in want.filter("question_id = 20").collect()))
+    assert retrieval.fuse_similar(items, questions.limit(0)).count() == retrieval.fuse_similar(items.limit(0), questions).count() == 0
+    with pytest.raises(Exception, match="one length"):
+        retrieval.fuse_similar(items.union(spark.createDataFrame([(301, [1.0], 1.0)], items.schema).repartition(1)).coalesce(1), questions).count()
+
+
+def test_pairs_of_the_fusion_are_not_shuffled(spark, sf_dir):
+    plan = registry.queries()["rrf_fusion"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = re.split("CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert len(above) == 2 and "Exchange" not in above[0] and "Sort" not in above[0]
+
+
 def test_overlaps_equal_brute_force(spark):
     rng, rows = random.Random(1), []
     for i in range(400):
